@@ -21,9 +21,17 @@ def parse_price(text: Column) -> Column:
     return plain.try_cast("double")
 
 
+def two_decimals(amount: Column) -> Column:
+    """Text with two decimals, rounded on the exact binary value, true ties to even.
+
+    ``round`` and ``bround`` work on the shortest decimal form of a double and so
+    differ where that form only looks like a tie (1.225, 2.675).
+    """
+    return F.call_function("format_number", amount, F.lit("0.00"))
+
+
 def round_cents(amount: Column) -> Column:
-    """Two decimals, halves to even."""
-    return F.bround(amount, 2)
+    return two_decimals(amount).try_cast("double")
 
 
 def parse_rating(text: Column) -> Column:
@@ -178,7 +186,7 @@ def format_elapsed(seconds: Column) -> Column:
     """``x.xx seconds``, ``minutes`` from 60 and ``hours`` from 3600."""
 
     def amount(value: Column, unit: str) -> Column:
-        return F.format_string(f"%.2f {unit}", F.bround(value, 2))
+        return F.concat(two_decimals(value), F.lit(f" {unit}"))
 
     seconds = seconds.cast("double")
     return (

@@ -258,7 +258,10 @@ def parse_response(response: Column, fallback: Column | None = None) -> Column:
             F.lit("").alias("selector"), F.lit("link").alias("type"), F.lit(None).cast("string").alias("parameter")
         ).alias("pagination"),
     )
-    good = parsed.isNotNull() & parsed["_bad"].isNull() & (F.json_object_keys(text).isNotNull())
+    # One JSON object and nothing behind it, with fields of the expected types.
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    strict = F.try_parse_json(text).isNotNull() & F.json_object_keys(text).isNotNull()
+    good = F.coalesce(strict & alone & parsed["_bad"].isNull(), F.lit(False))
     config = F.struct(parsed["selectors"].alias("selectors"), parsed["pagination"].alias("pagination"))
     return F.when(good, config).otherwise(empty if fallback is None else fallback)
 

@@ -35,16 +35,22 @@ def read_json(
     )
 
 
-def read_catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per ``*.json`` file; the file name is the task, unreadable files have no config."""
+def read_catalogue(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Selector configs by task.
+
+    A folder of ``<task>.json`` files, where an unreadable file is a task without a
+    config; with ``lines``, files of many JSON lines that carry their ``task_id``.
+    """
+    if lines:
+        return read_json(spark, path, schemas.CATALOGUE, multi_line=False).drop(BAD)
     name = F.regexp_replace("_metadata.file_name", r"\.json\z", "")
-    files = read_json(spark, folder, schemas.CONFIG)
+    files = read_json(spark, path, schemas.CONFIG)
     return files.select(name.alias("task_id"), *schemas.CONFIG.names)
 
 
-def read_feedback(spark: SparkSession, folder: str) -> DataFrame:
+def read_feedback(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Feedback rows; a bad file costs its own row only (text in ``_corrupt_record``)."""
-    return read_json(spark, folder, schemas.FEEDBACK)
+    return read_json(spark, path, schemas.FEEDBACK, multi_line=not lines)
 
 
 def read_records(

@@ -83,7 +83,7 @@ def test_field_cleaners(spark):
                                "title string, price string, url string, details string, cost double")
     out = clean.clean_html_fields(clean.clean_urls(clean.clean_prices(clean.normalise_case(df)))).first()
     assert (out.title, out.price, out.price_raw, out.url, out.details, out.cost) == (
-        "The End", 1005.0, None, "https://a.b/c%20d", "x<", 1.26)
+        "The End", 1005.0, None, "https://a.b/c%20d", "x<", 1.25)
     free = clean.clean_prices(spark.createDataFrame([("Free",)], "price string")).first()
     assert (free.price, free.price_raw) == (None, "Free")
 

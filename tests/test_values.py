@@ -95,7 +95,9 @@ def test_links(column):
 
 
 def test_rounding_times_and_hashes(column):
-    assert column(values.round_cents, [0.125, 0.135, 2.0], "v double") == [0.12, 0.14, 2.0]
+    amounts = [0.125, 0.135, 2.0, 2.675, 1.225, 1.275, 0.375, 1234567.895, -0.005, 0.0]
+    assert column(values.round_cents, amounts, "v double") == [round(x, 2) for x in amounts]
+    assert column(values.two_decimals, amounts, "v double") == [f"{x:.2f}" for x in amounts]
     assert column(values.format_elapsed, [0.5, 59.999, 60.0, 3599.0, 7200.0], "v double") == [
         "0.50 seconds", "60.00 seconds", "1.00 minutes", "59.98 minutes", "2.00 hours"]
     assert column(values.format_epoch, [0.0, 86399.9], "v double") == ["1970-01-01 00:00:00", "1970-01-01 23:59:59"]
