@@ -229,7 +229,7 @@ def c3_price(spark, sf):
 
 @query
 def c4_date(spark, sf):
-    return inputs.dates(spark, sf).select("id", values.parse_date(F.col("published_date")).alias("published_date"))
+    return readers.spread(inputs.dates(spark, sf)).select("id", values.parse_date(F.col("published_date")).alias("published_date"))
 
 
 @query
@@ -386,7 +386,8 @@ def e3_clean_string(spark, sf):
 
 @query
 def e3_clean_documents(spark, sf):
-    return inputs.table(spark, sf, "documents").select("doc_id", text.clean_string(F.col("text")).alias("text"))
+    docs = readers.spread(inputs.table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", text.clean_string(F.col("text")).alias("text"))
 
 
 @query
@@ -448,7 +449,7 @@ def f1_sanitise(spark, sf):
 
 @query
 def f2_query_params(spark, sf):
-    params = urls.query_params(urls.SplitUrl(F.col("url")).query)
+    params = urls.query_params(urls.query_string(F.col("url")))
     rows = inputs.links(spark, sf).select("page_id", F.inline(params))
     return rows.select("page_id", "key", F.posexplode("values").alias("nth", "value")).withColumn("nth", F.col("nth").cast("bigint"))
 

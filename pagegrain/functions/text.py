@@ -77,7 +77,7 @@ def clean_string(text: Column) -> Column:
     Plain-ASCII strings without ``&`` need neither step that Spark lacks; they
     cross to Python as nulls and are cleaned in the JVM.
     """
-    needs_python = text.rlike(r"[&\P{ASCII}]")
+    needs_python = text.contains("&") | (F.octet_length(text) != F.length(text))
     cleaned = _arrow_text(_clean_piece, T.StringType())(F.when(needs_python, text))
     return collapse(F.coalesce(cleaned, strip_tags(text)))
 

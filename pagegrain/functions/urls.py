@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# scheme, host part, path, query, fragment
+# scheme, host part, path, query, fragment; matches every text
 _URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
+_MARK = "\x00"
 _LEADING_NOISE = "".join(chr(code) for code in range(33))
 
 
@@ -15,41 +16,44 @@ def _one(expression: Column, then) -> Column:
     return F.element_at(F.transform(F.array(expression), then), 1)
 
 
+def _cut(url: Column) -> Column:
+    """The five parts of a URL as an array; an absent part is the empty string."""
+    clean = F.regexp_replace(F.ltrim(url, F.lit(_LEADING_NOISE)), r"[\t\r\n\x00]", "")
+    return F.split(F.regexp_replace(clean, _URL, _MARK.join(f"${n}" for n in range(1, 6))), _MARK)
+
+
 class SplitUrl:
-    """The five parts of a URL as columns; an absent part is the empty string."""
+    """Named parts of a cut URL."""
 
-    def __init__(self, url: Column):
-        clean = F.regexp_replace(F.ltrim(url, F.lit(_LEADING_NOISE)), r"[\t\r\n]", "")
-        parts = [F.regexp_extract(clean, _URL, group) for group in range(1, 6)]
+    def __init__(self, parts: Column):
         self.scheme = F.lower(parts[0])
-        self.netloc, self.path, self.query, self.fragment = parts[1:]
+        self.netloc, self.path, self.query, self.fragment = (parts[n] for n in range(1, 5))
 
     def base(self) -> Column:
         return F.concat(self.scheme, F.lit("://"), self.netloc)
 
-    def rebuild(self, path: Column | None = None, query: Column | None = None) -> Column:
-        return build_url(
-            self.scheme,
-            self.netloc,
-            self.path if path is None else path,
-            self.query if query is None else query,
-            self.fragment,
-        )
+    def rebuild(self, query: Column) -> Column:
+        return build_url(self.scheme, self.netloc, self.path, query, self.fragment)
+
+
+def with_parts(url: Column, then) -> Column:
+    """``then(SplitUrl)`` with the URL cut once."""
+    return _one(_cut(url), lambda parts: then(SplitUrl(parts)))
+
+
+def query_string(url: Column) -> Column:
+    return SplitUrl(_cut(url)).query
 
 
 def build_url(scheme: Column, netloc: Column, path: Column, query: Column, fragment: Column) -> Column:
     # A lone ";" at the end of the last segment holds no parameters and is dropped.
     path = F.regexp_replace(path, r"^((?:.*/)?[^;/]*);\z", "$1")
-    rooted = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
+    rooted = F.concat(F.when((path == "") | path.startswith("/"), F.lit("")).otherwise(F.lit("/")), path)
     web = scheme.isin("http", "https", "ftp", "file", "ws", "wss")
-    authority = (
-        F.when(netloc != "", F.concat(F.lit("//"), netloc, rooted))
-        .when(path.startswith("//") | (web & ((path == "") | path.startswith("/"))), F.concat(F.lit("//"), path))
-        .otherwise(path)
-    )
+    bare = ((path == "") | path.startswith("/")) & (web | path.startswith("//"))
     return F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-        authority,
+        F.when((netloc != "") | bare, F.concat(F.lit("//"), netloc, rooted)).otherwise(path),
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
         F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")),
     )
@@ -134,13 +138,11 @@ def build_query(params: Column, encoder=encode) -> Column:
 
 def sanitise_url(url: Column) -> Column:
     """Rebuild a URL with its query string decoded and encoded afresh."""
-    parts = SplitUrl(url)
-    return parts.rebuild(query=build_query(query_params(parts.query)))
+    return with_parts(url, lambda parts: parts.rebuild(build_query(query_params(parts.query))))
 
 
 def append_param(url: Column, name: Column, value: Column) -> Column:
     """Set one query parameter; blank parameters fall away, the rest is form-encoded."""
-    parts = SplitUrl(url)
 
     def replaced(params: Column) -> Column:
         fresh = F.struct(name.alias("key"), F.array(value).alias("values"))
@@ -148,20 +150,23 @@ def append_param(url: Column, name: Column, value: Column) -> Column:
         known = F.exists(params, lambda p: p["key"] == name)
         return F.when(known, swapped).otherwise(F.concat(params, F.array(fresh)))
 
-    params = _one(parse_query(parts.query, keep_blank=False), replaced)
-    return parts.rebuild(query=build_query(params, encode_form))
+    def rebuilt(parts: SplitUrl) -> Column:
+        params = _one(parse_query(parts.query, keep_blank=False), replaced)
+        return parts.rebuild(build_query(params, encode_form))
+
+    return with_parts(url, rebuilt)
 
 
 # -- hosts -----------------------------------------------------------------------
 
 
 def base_url(url: Column) -> Column:
-    return SplitUrl(url).base()
+    return with_parts(url, SplitUrl.base)
 
 
 def domain(url: Column) -> Column:
     """Host part with port and user information, as written."""
-    return SplitUrl(url).netloc
+    return SplitUrl(_cut(url)).netloc
 
 
 def bare_domain(url: Column) -> Column:
@@ -169,8 +174,8 @@ def bare_domain(url: Column) -> Column:
 
 
 def is_url(text: Column) -> Column:
-    parts = SplitUrl(text)
-    return F.coalesce((parts.scheme != "") & (parts.netloc != ""), F.lit(False))
+    parts = _cut(text)
+    return F.coalesce((parts[0] != "") & (parts[1] != ""), F.lit(False))
 
 
 def split_domain(url: Column) -> Column:
@@ -208,24 +213,27 @@ def join_url(base: Column, relative: Column) -> Column:
     """Join below ``base``, which counts as a directory; ``/x`` is not root-relative."""
     folder = F.when(base.endswith("/"), base).otherwise(F.concat(base, F.lit("/")))
     rest = F.when(relative.startswith("/"), F.substr(relative, F.lit(2))).otherwise(relative)
-    b, r = SplitUrl(folder), SplitUrl(rest)
 
-    base_folder = F.regexp_replace(b.path, r"[^/]+\z", "")
-    base_folder = F.when(base_folder == "", F.lit("/")).otherwise(base_folder)
-    merged = F.when(r.path.startswith("/"), r.path).otherwise(F.concat(base_folder, r.path))
-    same_path = build_url(
-        b.scheme, b.netloc, b.path, F.when(r.query != "", r.query).otherwise(b.query), r.fragment
-    )
-    other_host = build_url(b.scheme, r.netloc, r.path, r.query, r.fragment)
-    below = build_url(b.scheme, b.netloc, _resolve(merged), r.query, r.fragment)
-    return (
-        F.when(relative.startswith("http"), relative)
-        .when(rest == "", folder)
-        .when((r.scheme != "") & (r.scheme != b.scheme), rest)
-        .when(r.netloc != "", other_host)
-        .when(r.path == "", same_path)
-        .otherwise(below)
-    )
+    def joined(cut: Column) -> Column:
+        b, r = SplitUrl(cut["base"]), SplitUrl(cut["rest"])
+        root = F.regexp_replace(b.path, r"[^/]+\z", "")
+        below = F.concat(F.when(root == "", F.lit("/")).otherwise(root), r.path)
+        same_path = (r.netloc == "") & (r.path == "")
+        path = (
+            F.when(r.netloc != "", r.path)
+            .when(same_path, b.path)
+            .otherwise(_resolve(F.when(r.path.startswith("/"), r.path).otherwise(below)))
+        )
+        netloc = F.when(r.netloc != "", r.netloc).otherwise(b.netloc)
+        query = F.when(same_path & (r.query == ""), b.query).otherwise(r.query)
+        return (
+            F.when(relative.startswith("http"), relative)
+            .when(rest == "", folder)
+            .when((r.scheme != "") & (r.scheme != b.scheme), rest)
+            .otherwise(build_url(b.scheme, netloc, path, query, r.fragment))
+        )
+
+    return _one(F.struct(_cut(folder).alias("base"), _cut(rest).alias("rest")), joined)
 
 
 # -- next-page addresses ---------------------------------------------------------------
@@ -233,14 +241,15 @@ def join_url(base: Column, relative: Column) -> Column:
 
 def _absolute(current: Column, href: Column, keep_slash: bool) -> Column:
     """Root-relative, absolute or folder-relative link; no dot segments are resolved."""
-    parts = SplitUrl(current)
-    folder = F.regexp_replace(parts.path, r"/?[^/]*\z", "")
-    slash = F.when(folder.endswith("/"), F.lit("")).otherwise(F.lit("/")) if keep_slash else F.lit("/")
-    return (
-        F.when(href.startswith("/"), F.concat(parts.base(), href))
-        .when(href.startswith("http"), href)
-        .otherwise(F.concat(parts.base(), folder, slash, href))
-    )
+
+    def resolved(bound: Column) -> Column:
+        parts, href = SplitUrl(bound["parts"]), bound["href"]
+        folder = F.regexp_replace(parts.path, r"/?[^/]*\z", "")
+        slash = F.when(folder.endswith("/") & F.lit(keep_slash), F.lit("")).otherwise(F.lit("/"))
+        inside = F.when(href.startswith("/"), F.lit("")).otherwise(F.concat(folder, slash))
+        return F.when(href.startswith("http"), href).otherwise(F.concat(parts.base(), inside, href))
+
+    return _one(F.struct(_cut(current).alias("parts"), href.alias("href")), resolved)
 
 
 def next_by_link(current: Column, href: Column) -> Column:
@@ -255,17 +264,20 @@ def next_by_button(current: Column, onclick: Column) -> Column:
 
 def next_by_parameter(current: Column, found: Column, name: Column) -> Column:
     """Count an integer query parameter up by one; ``found`` says the page has the element."""
-    params = parse_query(SplitUrl(current).query, keep_blank=False)
+    params = parse_query(query_string(current), keep_blank=False)
     mine = F.filter(params, lambda p: p["key"] == name)
     first = F.coalesce(F.get(F.get(mine, F.lit(0))["values"], F.lit(0)), F.lit("1"))
     number = first.try_cast("bigint")
     return F.when(found & number.isNotNull(), append_param(current, name, (number + 1).cast("string")))
 
 
-def next_page(kind: Column, current: Column, raw: Column, name: Column) -> Column:
+def next_page(kind: Column | str, current: Column, raw: Column, name: Column) -> Column:
     """Next address by pagination kind; ``raw`` is the matched attribute, null if no match."""
-    return (
-        F.when(kind == "link", next_by_link(current, raw))
-        .when(kind == "button", next_by_button(current, raw))
-        .when(kind == "parameter", next_by_parameter(current, raw.isNotNull(), name))
-    )
+    rules = {
+        "link": lambda: next_by_link(current, raw),
+        "button": lambda: next_by_button(current, raw),
+        "parameter": lambda: next_by_parameter(current, raw.isNotNull(), name),
+    }
+    if isinstance(kind, str):
+        return rules[kind]() if kind in rules else F.lit(None).cast("string")
+    return F.coalesce(*[F.when(kind == rule, address()) for rule, address in rules.items()])

@@ -50,35 +50,33 @@ def parse_rating(text: Column) -> Column:
     )
 
 
-# Day may be a space and one digit, as the usual %d directive allows.
-_DAY = r"( [1-9]|\d{1,2})"
+# A day may be a space and one digit, as the usual %d directive allows.
+_YEAR = r"((?!0000)[0-9]{4})"
+_DAY = r"(?: (?=[1-9](?![0-9])))?([0-9]{1,2})"
 _MONTH = (
     "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|"
     "aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
-_SPACE = r"[\s\x1c-\x1f]+"
-_YEAR_FIRST = rf"^(\d{{4}})([-/])(\d{{1,2}})\2{_DAY}\z"
-_YEAR_LAST = rf"^{_DAY}([-/]){_DAY}\2(\d{{4}})\z"
-_MONTH_DAY = rf"(?iU)^{_MONTH}{_SPACE}( [1-9]|[0-9]{{1,2}}),{_SPACE}([0-9]{{4}})\z"
-_DAY_MONTH = rf"(?iU)^([0-9]{{1,2}}){_SPACE}{_MONTH}{_SPACE}([0-9]{{4}})\z"
+_SPACE = fixed.SPACE_RUN
+_YEAR_FIRST = rf"^{_YEAR}([-/])([0-9]{{1,2}})\2{_DAY}\z"
+_DAY_FIRST = rf"^([0-9]{{1,2}})([-/])([0-9]{{1,2}})\2{_YEAR}\z"
+_MONTH_FIRST = rf"^([0-9]{{1,2}})([-/]){_DAY}\2{_YEAR}\z"
+_NAME_DAY = rf"(?i)^{_MONTH}{_SPACE}{_DAY},{_SPACE}{_YEAR}\z"
+_DAY_NAME = rf"(?i)^([0-9]{{1,2}}){_SPACE}{_MONTH}{_SPACE}{_YEAR}\z"
 _CLOCK = r"((?:2[0-3]|[01][0-9]|[0-9]):(?:[0-5][0-9]|[0-9]):(?:[0-5][0-9]|[0-9]))"
 # A fraction, and a Z behind it, only after the T form.
 _DATE_TIME = (
-    r"(?iU)^([0-9]{4})-([0-9]{1,2})-( [1-9]|[0-9]{1,2})"
-    rf"(?:{_SPACE}{_CLOCK}|T{_CLOCK}(?:\.([0-9]{{1,6}})Z?)?)\z"
+    rf"^{_YEAR}-([0-9]{{1,2}})-{_DAY}"
+    rf"(?:{_SPACE}{_CLOCK}|[Tt]{_CLOCK}(?:(\.[0-9]{{1,6}})[Zz]?)?)\z"
 )
-_ANY_YEAR_FIRST = r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})"
-_ANY_YEAR_LAST = r"(\d{1,2})[-/](\d{1,2})[-/](\d{4})"
+_ANY_YEAR_FIRST = r"[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}"
+_ANY_DAY_FIRST = r"([0-9]{1,2})[-/]([0-9]{1,2})[-/]([0-9]{4})"
 
 
-def _groups(text: Column, pattern: str, count: int) -> list[Column]:
-    return [F.regexp_extract(text, pattern, group) for group in range(1, count + 1)]
-
-
-def _date(year: Column, month: Column, day: Column) -> Column:
-    """Calendar date from digit strings; null unless it exists (years start at 1)."""
-    text = F.concat_ws("-", year, month, F.ltrim(day))
-    return F.when((year != "0000") & ~month.startswith(" "), text.try_cast("date"))
+def _date(text: Column) -> Column:
+    """ISO text at midnight of a ``year-month-day`` text; null unless such a day exists."""
+    day = F.when(~text.startswith("0000"), text).try_cast("date")
+    return F.concat(day.cast("string"), F.lit("T00:00:00"))
 
 
 def _month_number(name: Column) -> Column:
@@ -86,20 +84,16 @@ def _month_number(name: Column) -> Column:
     return F.floor((place + 2) / 3).cast("string")
 
 
-def _midnight(date: Column) -> Column:
-    return F.concat(date.cast("string"), F.lit("T00:00:00"))
+def _named_month(text: Column, pattern: str, year: int, month: int, day: int) -> Column:
+    """Date text with a month name: bring the parts in order, then put the number in."""
+    parts = F.split(F.regexp_replace(text, pattern, f"${year}-${month}-${day}"), "-")
+    return F.concat_ws("-", F.get(parts, F.lit(0)), _month_number(F.get(parts, F.lit(1))), F.get(parts, F.lit(2)))
 
 
 def _date_time(text: Column) -> Column:
-    year, month, day, spaced, joined, fraction = _groups(text, _DATE_TIME, 6)
-    clock = F.transform(F.split(F.concat(spaced, joined), ":"), lambda part: F.lpad(part, 2, "0"))
-    micros = F.rpad(fraction, 6, "0")
-    return F.concat(
-        _date(year, month, day).cast("string"),
-        F.lit("T"),
-        F.array_join(clock, ":"),
-        F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros)),
-    )
+    moment = F.regexp_replace(text, _DATE_TIME, "$1-$2-$3 $4$5$6").try_cast("timestamp_ntz")
+    shown = F.translate(moment.cast("string"), " ", "T")
+    return F.when(shown.contains("."), F.rpad(shown, 26, "0")).otherwise(shown)
 
 
 def parse_date(text: Column) -> Column:
@@ -110,39 +104,26 @@ def parse_date(text: Column) -> Column:
     that is no calendar date ends the search.
     """
     text = strip(text)
-    year_first = _groups(text, _YEAR_FIRST, 4)
-    year_last = _groups(text, _YEAR_LAST, 4)
-    month_day = _groups(text, _MONTH_DAY, 3)
-    day_month = _groups(text, _DAY_MONTH, 3)
-    found_first = _groups(text, _ANY_YEAR_FIRST, 3)
-    found_last = _groups(text, _ANY_YEAR_LAST, 3)
-
-    in_text = F.when(text.rlike(_ANY_YEAR_FIRST), _date(*found_first)).otherwise(
-        _date(found_last[2], found_last[1], found_last[0])
-    )
+    reorder = F.regexp_replace
+    found = F.regexp_substr(text, F.lit(_ANY_YEAR_FIRST))
+    found_late = F.regexp_substr(text, F.lit(_ANY_DAY_FIRST))
     parsed = F.coalesce(
-        F.when(text.rlike(_YEAR_FIRST), _midnight(_date(year_first[0], year_first[2], year_first[3]))),
+        F.when(text.rlike(_YEAR_FIRST), _date(reorder(text, _YEAR_FIRST, "$1-$3-$4"))),
         F.when(
-            text.rlike(_YEAR_LAST),
-            _midnight(
-                F.coalesce(
-                    _date(year_last[3], year_last[2], year_last[0]),
-                    _date(year_last[3], year_last[0], year_last[2]),
-                )
+            text.rlike(_MONTH_FIRST),
+            F.coalesce(
+                _date(reorder(text, _DAY_FIRST, "$4-$3-$1")),
+                _date(reorder(text, _MONTH_FIRST, "$4-$1-$3")),
             ),
         ),
         F.when(text.rlike(_DATE_TIME), _date_time(text)),
-        F.when(
-            text.rlike(_MONTH_DAY),
-            _midnight(_date(month_day[2], _month_number(month_day[0]), month_day[1])),
-        ),
-        F.when(
-            text.rlike(_DAY_MONTH),
-            _midnight(_date(day_month[2], _month_number(day_month[1]), day_month[0])),
+        F.when(text.rlike(_NAME_DAY), _date(_named_month(text, _NAME_DAY, 3, 1, 2))),
+        F.when(text.rlike(_DAY_NAME), _date(_named_month(text, _DAY_NAME, 3, 2, 1))),
+        F.when(found.isNotNull(), _date(F.translate(found, "/", "-"))).otherwise(
+            _date(reorder(found_late, _ANY_DAY_FIRST, "$3-$2-$1"))
         ),
-        _midnight(in_text),
     )
-    return F.coalesce(F.when(text.rlike("[0-9]"), parsed), text)
+    return F.coalesce(F.when(text.rlike("[0-9]{4}"), parsed), text)
 
 
 def iso_timestamp(text: Column) -> Column:

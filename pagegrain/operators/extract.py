@@ -151,12 +151,8 @@ def next_page_url(html: Column, url: Column, pagination: dict) -> Column:
     if not pagination or not pagination.get("selector"):
         return F.lit(None).cast("string")
     raw = F.get(page_items(html, pagination_rule(pagination)), F.lit(0))["raw"]
-    return urls.next_page(
-        F.lit(pagination.get("type") or "link"),
-        url,
-        raw,
-        F.lit(pagination.get("parameter") or "page"),
-    )
+    name = F.lit(pagination.get("parameter") or "page")
+    return urls.next_page(pagination.get("type") or "link", url, raw, name)
 
 
 def raw_rule(selector: Column, kind: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.functions import urls
-from pagegrain.operators.extract import page_items_by_row, raw_rule
+from pagegrain.operators.extract import page_items, page_items_by_row, pagination_rule, raw_rule
 from pagegrain.storage import cut_lineage
 
 
@@ -22,12 +22,15 @@ def page_addresses(pages: DataFrame) -> DataFrame:
     return pages.groupBy(at).agg(F.min("page_id").alias("page_id"))
 
 
-def _raw_links(hits: DataFrame, pages: DataFrame) -> DataFrame:
+def _raw_links(hits: DataFrame, pages: DataFrame, pagination: dict | None) -> DataFrame:
     """``page_id, _rule, _raw``: each visited page read once per distinct rule."""
     work = hits.select("page_id", "_rule").distinct().join(pages.select("page_id", "html"), "page_id")
-    rule = raw_rule(F.col("_rule.selector"), F.col("_rule.type"))
-    first = F.get(page_items_by_row(F.col("html"), rule), F.lit(0))
-    return work.select("page_id", "_rule", F.get(first["raw"], F.lit(0)).alias("_raw"))
+    if pagination is not None:
+        raw = F.get(page_items(F.col("html"), pagination_rule(pagination)), F.lit(0))["raw"]
+    else:
+        rule = raw_rule(F.col("_rule.selector"), F.col("_rule.type"))
+        raw = F.get(F.get(page_items_by_row(F.col("html"), rule), F.lit(0))["raw"], F.lit(0))
+    return work.select("page_id", "_rule", raw.alias("_raw"))
 
 
 def walk_pages(
@@ -47,6 +50,8 @@ def walk_pages(
     visited page and rule, however many tasks meet there. Each round's visits are
     checkpointed, so round n does not replay the rounds before it.
     """
+    if pagination is not None and not pagination.get("selector"):
+        max_pages = 1
     rule = _rule_column(pagination)
     addresses = cut_lineage(page_addresses(pages))
     if max_pages is None:
@@ -64,11 +69,10 @@ def walk_pages(
         if number == max_pages or hits.isEmpty():
             break
         going = hits.where((F.col("_pages") > number) & (F.col("_rule.selector") != ""))
-        following = urls.next_page(
-            F.col("_rule.type"), F.col("url"), F.col("_raw"), F.col("_rule.parameter")
-        )
+        kind = F.col("_rule.type") if pagination is None else pagination.get("type") or "link"
+        following = urls.next_page(kind, F.col("url"), F.col("_raw"), F.col("_rule.parameter"))
         frontier = (
-            going.join(_raw_links(going, pages), ["page_id", "_rule"])
+            going.join(_raw_links(going, pages, pagination), ["page_id", "_rule"])
             .withColumn("_next", following)
             .where(F.col("_next") != F.col("url"))
             .select("task_id", "_pages", "_rule", F.col("_next").alias("url"))
