@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,14 +46,13 @@ def normalise_text(text: Column) -> Column:
 def _map_leaves(values: pa.Array, fn) -> pa.Array:
     """Apply ``fn`` to every string at any depth of an Arrow array."""
     kind = values.type
-    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+    if pa.types.is_string(kind):
         return pa.array([None if s is None else fn(s) for s in values.to_pylist()], kind)
     if pa.types.is_list(kind):
-        return pa.array(
-            [None if v is None else _map_leaves(pa.array(v, kind.value_type), fn).to_pylist()
-             for v in values.to_pylist()],
-            kind,
-        )
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(values), 0))
+        starts = pa.concat_arrays([pa.array([0], ends.type), ends])
+        leaves = _map_leaves(values.flatten(), fn)
+        return pa.ListArray.from_arrays(starts, leaves, type=kind, mask=values.is_null())
     if pa.types.is_struct(kind):
         parts = [_map_leaves(part, fn) for part in values.flatten()]
         return pa.StructArray.from_arrays(parts, fields=list(kind), mask=values.is_null())
@@ -68,7 +68,7 @@ def _arrow_text(fn, dtype: T.DataType):
 
 
 def _clean_piece(text: str) -> str:
-    return unicodedata.normalize("NFKC", re.sub(r"<[^>]+>", "", html.unescape(text)))
+    return unicodedata.normalize("NFKC", re.sub(fixed.TAG_PATTERN, "", html.unescape(text)))
 
 
 def clean_string(text: Column) -> Column:

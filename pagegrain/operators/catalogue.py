@@ -9,6 +9,7 @@ from pagegrain import fixed_values as fixed
 from pagegrain import schemas
 from pagegrain.functions import text as texts
 from pagegrain.functions import urls, values
+from pagegrain.storage import cut_lineage
 
 
 def _safe(name: str = "task_id") -> Column:
@@ -115,8 +116,10 @@ def find_similar(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
         .groupBy("domain", "words")
         .agg(F.min("task_id").alias("task_id"))
     )
+    # Both small forms are used several times below; compute each once.
+    stored = cut_lineage(stored)
     sets = asked.select(F.col("_domain").alias("domain"), F.col("_words").alias("words"))
-    sets = sets.where(F.size("words") > 0).distinct()
+    sets = cut_lineage(sets.where(F.size("words") > 0).distinct())
 
     equal = sets.join(stored, ["domain", "words"]).select(
         "domain", "words", F.lit(1.0).alias("score"), "task_id"

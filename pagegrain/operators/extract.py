@@ -78,45 +78,46 @@ def extract_records(
 def page_items_by_row(markup: Column, rules: Column) -> Column:
     """``array<map<field, values>>`` of a page under the selector list of its own row.
 
-    A selector outside the grammar matches nothing; a bad container yields no item.
+    ``rules`` is the list as JSON text. A selector outside the grammar matches
+    nothing; a bad container yields no item.
     """
 
     @F.arrow_udf("array<map<string,array<string>>>")
     def read(pages: pa.Array, lists: pa.Array) -> pa.Array:
-        compiled: dict = {}
+        compiled = {text: rules_of.compile_known(text) for text in lists.unique().to_pylist()}
         found = []
-        for page, raw in zip(pages, lists):
-            key = raw.as_py()
-            if key not in compiled:
-                compiled[key] = rules_of.compile_known(key)
-            one = compiled[key]
-            if one is None or not page.is_valid:
-                found.append([])
-                continue
+        for page, text in zip(pages, lists.to_pylist()):
+            known = compiled[text]
+            items = rules_of.read_items(page.as_py(), known) if known and page.is_valid else []
             found.append(
                 [
                     [(name, [value] if isinstance(value, str) else value) for name, value in item.items()]
-                    for item in rules_of.read_items(page.as_py(), one)
+                    for item in items
                 ]
             )
         return pa.array(found, pa.list_(pa.map_(pa.string(), pa.list_(pa.string()))))
 
-    return read(markup, F.to_json(rules))
+    return read(markup, rules)
 
 
-def extract_by_task(visits: DataFrame, catalogue: DataFrame) -> DataFrame:
+def extract_by_task(visits: DataFrame, pages: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Records of visited pages, each under the selectors of its task.
 
-    ``visits(task_id, html, ...)`` meets ``catalogue(task_id, selectors, ...)`` on
-    the task. The catalogue has one row per task, so Spark broadcasts it while its
-    measured size allows and otherwise splits hot tasks on the page side. One row
-    per record: the visit's columns, ``_item`` and ``record`` as a map of values.
+    ``visits(task_id, page_id, ...)``, ``pages(page_id, html)``, ``catalogue(task_id,
+    selectors)``. One row per record: the visit's columns, ``_item`` and ``record``, a
+    map of values (see ``record_columns``).
+
+    A page is read once per distinct selector list, however many tasks visit it:
+    markup moves for those pairs only, and what comes back is joined as records.
+    All joins have one side that is unique in the key, so Spark broadcasts that
+    side while its measured size allows and otherwise splits hot keys of the other.
     """
-    kept = [name for name in visits.columns if name != "html"]
-    rules = catalogue.select("task_id", F.col("selectors").alias("_rules"))
-    return (
-        visits.join(rules, "task_id")
-        .select(*kept, F.posexplode(page_items_by_row(F.col("html"), F.col("_rules"))).alias(ITEM, "record"))
+    rules = catalogue.select("task_id", F.to_json("selectors").alias("_rules"))
+    ruled = visits.join(rules, "task_id")
+    work = ruled.select("page_id", "_rules").distinct().join(pages.select("page_id", "html"), "page_id")
+    items = work.select("page_id", "_rules", page_items_by_row(F.col("html"), F.col("_rules")).alias("_items"))
+    return ruled.join(items, ["page_id", "_rules"]).select(
+        *visits.columns, F.posexplode("_items").alias(ITEM, "record")
     )
 
 
@@ -156,8 +157,8 @@ def next_page_url(html: Column, url: Column, pagination: dict) -> Column:
 
 
 def raw_rule(selector: Column, kind: Column) -> Column:
-    """``pagination_rule`` for columns."""
-    return F.array(
+    """``pagination_rule`` for columns, as JSON text."""
+    rule = F.array(
         F.struct(
             F.lit("raw").alias("name"),
             selector.alias("selector"),
@@ -165,3 +166,4 @@ def raw_rule(selector: Column, kind: Column) -> Column:
             F.when(kind == "button", F.lit("onclick")).otherwise(F.lit("href")).alias("attribute"),
         )
     )
+    return F.to_json(rule)

@@ -22,6 +22,17 @@ def scrape(
     return clean_records(process_records(records, processed_at, kept), kept)
 
 
+def scrape_site(
+    pages: DataFrame, config: dict, url: str, page_count: int = 1, processed_at: str | None = None
+) -> DataFrame:
+    """One address, one config: follow its pagination over stored pages, then as ``scrape``."""
+    start = pages.sparkSession.range(1).select(
+        F.lit(url).alias("task_id"), F.lit(url).alias("url"), F.lit(page_count).alias("pages")
+    )
+    visits = walk_pages(start, pages, config.get("pagination") or {}, page_count)
+    return scrape(with_html(visits, pages), config, ("page_no", "page_id"), processed_at)
+
+
 def scrape_tasks(tasks: DataFrame, pages: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Walk the pages of every task that has a config and extract its records.
 
@@ -29,8 +40,7 @@ def scrape_tasks(tasks: DataFrame, pages: DataFrame, catalogue: DataFrame) -> Da
     per row, to be spread with ``extract.record_columns``.
     """
     ready = store.resolve(tasks, catalogue).where(~F.col("to_generate"))
-    visits = walk_pages(ready, pages)
-    return extract_by_task(with_html(visits, pages), catalogue)
+    return extract_by_task(walk_pages(ready, pages), pages, catalogue)
 
 
 def type_and_clean(

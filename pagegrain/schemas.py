@@ -56,11 +56,3 @@ PAGES = T.StructType(
         T.StructField("html", T.StringType()),
     ]
 )
-JOB = T.StructType(
-    [
-        T.StructField("url", T.StringType()),
-        T.StructField("pages", T.IntegerType()),
-        T.StructField("selectors", CONFIG),
-        T.StructField("output_format", T.StringType()),
-    ]
-)

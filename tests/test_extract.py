@@ -6,7 +6,7 @@ from pagegrain import schemas
 from pagegrain.operators import extract, selectors
 from pagegrain.operators.selectors import PageReader, compile_selector
 from pagegrain.operators.walk import page_addresses, walk_pages, with_html
-from pagegrain.plans.jobs import scrape, scrape_tasks
+from pagegrain.plans.jobs import scrape, scrape_site, scrape_tasks
 
 PAGE = (
     '<div id=a class="x  y"><p>one<b>two</b></p><p class=z>three &amp; four<br>five</p>'
@@ -151,11 +151,33 @@ def test_scrape_has_no_shuffle(spark, sf):
 
 
 def test_unknown_selectors_in_a_catalogue_match_nothing(spark):
-    visits = spark.createDataFrame([("t", PAGE), ("c", PAGE), ("z", PAGE)], "task_id string, html string")
+    visits = spark.createDataFrame([("t", 1), ("c", 1), ("z", 1), ("t", 2)], "task_id string, page_id bigint")
+    pages = spark.createDataFrame([(1, PAGE), (2, None)], "page_id bigint, html string")
     catalogue = spark.createDataFrame(
         [("t", [("x", "a:hover", None, None, None, None, None), ("y", "a", "href", None, True, None, None)], None, None),
          ("c", [("container", "li:hover", None, None, None, None, None), ("y", "a", "href", None, True, None, None)], None, None)],
         schemas.CATALOGUE,
     )
-    rows = extract.extract_by_task(visits, catalogue).collect()
-    assert [(r.task_id, r.record) for r in rows] == [("t", {"y": ["/1", "/2"]})]
+    rows = extract.extract_by_task(visits, pages, catalogue).collect()
+    assert [(r.task_id, r.page_id, r.record) for r in rows] == [("t", 1, {"y": ["/1", "/2"]})]
+
+
+def test_a_page_is_read_once_per_rule_list(spark):
+    """Many tasks with the same selectors meet on one page: one markup row is parsed."""
+    visits = spark.range(500).selectExpr("cast(id as string) as task_id", "cast(id div 500 + 1 as int) as page_id")
+    pages = spark.createDataFrame([(1, PAGE)], "page_id int, html string")
+    rule = [("y", "li a", "href", None, False, None, None)]
+    catalogue = spark.createDataFrame([(str(at), rule, None, None) for at in range(500)], schemas.CATALOGUE)
+    found = extract.extract_by_task(visits, pages, catalogue)
+    assert found.count() == 500
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [page_id" in plan[plan.index("ArrowEvalPython"):]
+
+
+def test_scrape_site(spark):
+    pages = spark.createDataFrame(CHAIN, schemas.PAGES)
+    config = {"selectors": rules(("label", "i")), "pagination": LINK}
+    got = scrape_site(pages, config, "http://a.com/p?page=1", 3, "now").orderBy("page_no").collect()
+    assert [(r.page_no, r.page_id, r.label) for r in got] == [(1, 1, "1"), (2, 2, "2"), (3, 3, "3")]
+    alone = scrape_site(pages, {"selectors": rules(("label", "i"))}, "http://a.com/p?page=1", 3)
+    assert [r.label for r in alone.collect()] == ["1"]
