@@ -180,7 +180,8 @@ def is_url(text: Column) -> Column:
 
 def split_domain(url: Column) -> Column:
     """Text behind the last ``//`` up to the next ``/``."""
-    return F.substring_index(F.substring_index(url, "//", -1), "/", 1)
+    # Split from the left: the last "//" of "///" is not where it would be from the right.
+    return F.substring_index(F.element_at(F.split(url, "//"), -1), "/", 1)
 
 
 # -- joining -----------------------------------------------------------------------

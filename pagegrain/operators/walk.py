@@ -12,14 +12,14 @@ from pagegrain.operators.extract import page_items, page_items_by_row, paginatio
 from pagegrain.storage import cut_lineage
 
 
-def page_addresses(pages: DataFrame) -> DataFrame:
+def page_addresses(pages: DataFrame, at: Column | None = None) -> DataFrame:
     """``_at, page_id``: the stored page found under each sanitised address.
 
     Of several pages with one address the smallest id stays. Only addresses and
     ids are shuffled, and each task sends one row per address.
     """
-    at = urls.sanitise_url(F.col("url")).alias("_at")
-    return pages.groupBy(at).agg(F.min("page_id").alias("page_id"))
+    at = urls.sanitise_url(F.col("url")) if at is None else at
+    return pages.groupBy(at.alias("_at")).agg(F.min("page_id").alias("page_id"))
 
 
 def _raw_links(hits: DataFrame, pages: DataFrame, pagination: dict | None) -> DataFrame:
@@ -53,7 +53,11 @@ def walk_pages(
     if pagination is not None and not pagination.get("selector"):
         max_pages = 1
     rule = _rule_column(pagination)
-    addresses = cut_lineage(page_addresses(pages))
+    # Long expressions, so each is built once.
+    address = urls.sanitise_url(F.col("url"))
+    kind = F.col("_rule.type") if pagination is None else pagination.get("type") or "link"
+    following = urls.next_page(kind, F.col("url"), F.col("_raw"), F.col("_rule.parameter"))
+    addresses = cut_lineage(page_addresses(pages, address))
     if max_pages is None:
         max_pages = tasks.agg(F.max(F.coalesce("pages", F.lit(1)))).first()[0] or 0
     frontier = tasks.select("task_id", F.coalesce("pages", F.lit(1)).alias("_pages"), rule.alias("_rule"), "url")
@@ -61,7 +65,7 @@ def walk_pages(
     for number in range(1, max_pages + 1):
         wanted = frontier.where(F.col("_pages") >= number)
         hits = cut_lineage(
-            wanted.withColumn("_at", urls.sanitise_url(F.col("url")))
+            wanted.withColumn("_at", address)
             .join(addresses, "_at")
             .drop("_at")
         )
@@ -69,8 +73,6 @@ def walk_pages(
         if number == max_pages or hits.isEmpty():
             break
         going = hits.where((F.col("_pages") > number) & (F.col("_rule.selector") != ""))
-        kind = F.col("_rule.type") if pagination is None else pagination.get("type") or "link"
-        following = urls.next_page(kind, F.col("url"), F.col("_raw"), F.col("_rule.parameter"))
         frontier = (
             going.join(_raw_links(going, pages, pagination), ["page_id", "_rule"])
             .withColumn("_next", following)
