@@ -9,6 +9,7 @@ from pagegrain import fixed_values as fixed
 from pagegrain import schemas
 from pagegrain.functions import text as texts
 from pagegrain.functions import urls, values
+from pagegrain.operators.records import first_per_key
 from pagegrain.storage import cut_lineage
 
 
@@ -19,20 +20,17 @@ def _safe(name: str = "task_id") -> Column:
 def save(catalogue: DataFrame, incoming: DataFrame) -> DataFrame:
     """Upsert by task; of several incoming rows of a task the newest wins.
 
-    One aggregate instead of an anti join and a union: a stored row is only
-    older than any incoming one, and each task thins its rows before the shuffle.
+    One pass over both tables instead of an anti join and a union: any incoming
+    row comes before the stored one, and each task thins its rows before the shuffle.
     """
-    names = catalogue.columns
     stored = catalogue.withColumn("_new", F.lit(0))
-    fresh = incoming.select(*names).withColumn("_new", F.lit(1))
-    row = F.struct(*names)
-    age = F.struct("_new", F.coalesce("metadata.generated_at", F.lit(0.0)), F.xxhash64(F.to_json(row)))
-    return (
-        stored.unionByName(fresh)
-        .groupBy(_safe().alias("_safe"))
-        .agg(F.max_by(row, age).alias("_row"))
-        .select("_row.*")
-    )
+    fresh = incoming.select(*catalogue.columns).withColumn("_new", F.lit(1))
+    newest = [
+        F.col("_new").desc(),
+        F.col("metadata.generated_at").desc_nulls_last(),
+        F.xxhash64(F.to_json(F.struct("selectors", "pagination"))),
+    ]
+    return first_per_key(stored.unionByName(fresh), [_safe()], newest).drop("_new")
 
 
 def get(catalogue: DataFrame, task_ids: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,27 +57,25 @@ def remove_duplicates(
 ) -> DataFrame:
     """First record per key in the order of ``order_by``, which should be unique.
 
-    An aggregate, not a window: each task keeps one candidate per key before the
-    shuffle, so a key that holds a third of all rows costs one row per task.
-    ``string_key`` compares keys as joined text, so that ``1`` equals ``'1'``.
+    Asking a rank for its first row lets Spark thin each task's rows to one per key
+    before the shuffle (``WindowGroupLimit`` in the plan), so a key that holds a
+    third of all rows costs one row per task. ``string_key`` compares keys as
+    joined text, so that ``1`` equals ``'1'``.
     """
     names = keys or guess_keys([name for name in records.columns if name != order_by])
     parts = []
     for name in names:
-        dtype = records.schema[name].dataType
-        if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
-            parts.append(F.to_json(_quoted(name)))
-        else:
-            parts.append(_quoted(name))
+        nested = isinstance(records.schema[name].dataType, (T.ArrayType, T.StructType, T.MapType))
+        parts.append(F.to_json(_quoted(name)) if nested else _quoted(name))
     if string_key:
         texts = [F.coalesce(part.cast("string"), F.lit("None")) for part in parts]
         parts = [F.concat_ws("|", *texts)]
-    row = F.struct(*[_quoted(name) for name in records.columns])
-    return (
-        records.groupBy(*[part.alias(f"_key{at}") for at, part in enumerate(parts)])
-        .agg(F.min_by(row, _quoted(order_by)).alias("_row"))
-        .select("_row.*")
-    )
+    return first_per_key(records, parts, [_quoted(order_by)])
+
+
+def first_per_key(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def _fits(condition, dtype: T.DataType) -> bool:

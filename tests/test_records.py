@@ -118,7 +118,8 @@ def test_duplicates_keep_the_first(spark):
 def test_duplicates_shrink_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id as _ord", "id % 3 as id")
     plan = records.remove_duplicates(df, "_ord")._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min_by" in plan and "Window" not in plan
+    before, after = plan.index("Exchange hashpartitioning"), plan.index("WindowGroupLimit")
+    assert "Final" in plan[after:before] and "WindowGroupLimit" in plan[before:] and "Partial" in plan[before:]
 
 
 def test_filter(spark):
