@@ -11,8 +11,8 @@ from pagegrain.functions import urls, values
 
 
 def valid_rating(rating: Column) -> Column:
-    """Whole-number rating inside the range, else null."""
-    number = texts.strip(rating.cast("string")).try_cast("int")
+    """Whole-number rating inside the range, else null; a fraction of a number is cut off."""
+    number = rating.try_cast("int")
     return F.when(number.between(*fixed.RATING_RANGE), number)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagegrain import fixed_values as fixed
+from pagegrain.functions.shown import as_text
 from pagegrain.operators.clean import first_set
 from pagegrain.storage import cut_lineage
 
@@ -112,9 +113,9 @@ def filter_records(records: DataFrame, conditions: dict) -> DataFrame:
                     raise TypeError(f"{bound} {limit!r} does not fit column {name!r}")
                 tests.append(value >= limit if bound == "min" else value <= limit)
         if "contains" in condition:
-            tests.append(value.cast("string").contains(condition["contains"]))
+            tests.append(as_text(value, dtype).contains(condition["contains"]))
         if "regex" in condition:
-            tests.append(value.cast("string").rlike(condition["regex"]))
+            tests.append(as_text(value, dtype).rlike(condition["regex"]))
     return records.where(reduce(lambda a, b: a & b, tests)) if tests else records
 
 

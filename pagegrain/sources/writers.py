@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagegrain.functions.shown import as_text
 from pagegrain.operators.records import with_chunks
 
 log = logging.getLogger(__name__)
@@ -22,8 +23,8 @@ def csv_columns(records: DataFrame) -> list[Column]:
         value = F.col(f"`{name}`")
         if isinstance(types[name], (T.ArrayType, T.StructType, T.MapType)):
             value = F.to_json(value, {"ignoreNullFields": "false"})
-        elif isinstance(types[name], T.BooleanType):
-            value = F.initcap(value.cast("string"))
+        elif isinstance(types[name], (T.BooleanType, T.DoubleType, T.FloatType)):
+            value = as_text(value, types[name])
         return value.alias(name)
 
     return [column(name) for name in sorted(types)]

@@ -43,6 +43,7 @@ def test_feedback(spark):
 def test_ratings(column):
     given = {"7": 7, " 8 ": 8, "0": None, "11": None, "x": None, "7.5": None, None: None, "10": 10}
     assert column(feedback.valid_rating, list(given)) == list(given.values())
+    assert column(feedback.valid_rating, [7.9, 0.5, 10.2, None], "v double") == [7, None, 10, None]
 
 
 def stored(spark, specs):

@@ -197,3 +197,14 @@ def test_next_page(column):
     step = lambda c: urls.next_by_parameter(c, F.lit(True), F.lit("page"))
     assert column(step, ["http://a.com/p?page=2&x=&k=v", "http://a.com/p", "http://a.com/p?page=x", "http://a.com/p?page="]) == [
         "http://a.com/p?page=3&k=v", "http://a.com/p?page=2", None, "http://a.com/p?page=2"]
+
+
+def test_shown_as_python_prints(column):
+    from pyspark.sql import types as T
+
+    from pagegrain.functions.shown import as_text
+
+    amounts = [0.1, 1.0, 1e7, 12345678.9, 123456789012345.6, 0.00025, 0.001, -1e7, 9999999.5, 100.0]
+    assert column(lambda v: as_text(v, T.DoubleType()), amounts, "v double") == [str(x) for x in amounts]
+    lists = [["a'b", 'c"d', "e'\"f", "tab\t\\", None], []]
+    assert column(lambda v: as_text(v, T.ArrayType(T.StringType())), lists, "v array<string>") == [str(x) for x in lists]
