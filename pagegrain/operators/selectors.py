@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect_right
+from html import unescape
 from html.parser import HTMLParser
 
 from pagegrain import fixed_values as fixed
@@ -71,8 +72,12 @@ class PageReader(HTMLParser):
         self._open, self._open_tags, self._hidden, self._kept_space = [], {}, 0, 0
         self._void_done, self._data, self._keep_markup = {}, [], keep_markup
         self._start("", [])
-        self.feed(markup)
+        # Behind the last ">" no tag can end. Left to the parser, that part would be
+        # searched again from every "<" in it.
+        end = markup.rfind(">") + 1
+        self.feed(markup[:end])
         self.close()
+        self._data.append(markup[end:] if self.cdata_elem else unescape(markup[end:]))
         while self._open:
             self._pop()
 
@@ -104,6 +109,9 @@ class PageReader(HTMLParser):
         self._data.append(text)
         self._flush(wrap, shown)
 
+    def updatepos(self, i, j):
+        return j  # line numbers are of no use here
+
     def handle_data(self, data):
         self._data.append(data)
 
@@ -301,11 +309,17 @@ def compile_known(rules_json: str | None) -> dict | None:
 
 
 def read_items(markup: str, rules: dict) -> list[dict]:
-    """Records of one page: one per container element, or one for the whole page."""
+    """Records of one page: one per container element, or one for the whole page.
+
+    Markup the parser rejects (a malformed ``<![`` section) gives none.
+    """
     fields = rules["fields"]
     if not fields:
         return []
-    page = PageReader(markup, any(kind == "html" for _, _, kind, _, _ in fields))
+    try:
+        page = PageReader(markup, any(kind == "html" for _, _, kind, _, _ in fields))
+    except AssertionError:
+        return []
     hits = [page.select(groups) for _, groups, _, _, _ in fields]
     scopes = [0] if rules["container"] is None else page.select(rules["container"])
     items = []

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -65,6 +67,34 @@ def test_wide_pages_take_linear_time():
     assert len(page.select(compile_selector("li > li"))) == 19999
 
 
+@pytest.mark.parametrize("piece", ["<", "<a ", "<!", "&", "<p>", "</p>", '<a href="', "<?", "<br>", "<p a="])
+def test_degenerate_markup_ends(piece):
+    page = PageReader("<i>x</i>" + piece * 20000, keep_markup=False)
+    assert [page.value(e, "text", "") for e in page.select(compile_selector("i"))] == ["x"]
+
+
+def test_text_behind_the_last_tag():
+    page = PageReader("<p>a &lt; b &amp; c <d")
+    assert page.value(1, "text", "") == "a < b & c <d"
+    raw = PageReader("<script>a &lt; b")
+    assert raw.value(1, "text", "") == "a &lt; b"
+
+
+def test_any_markup_gives_items_or_none():
+    rng = random.Random(1)
+    pieces = (
+        "< > </ <! <![ <!-- --> <? ?> <p <a_href='x' <a_href=' /> </p> <br> <br/> </br> <script> </script> <![CDATA[ ]]> "
+        "<!DOCTYPE_html> &amp; & &#x41; text = <textarea> <title> <pre> <template> </template> [if <![endif]>"
+    ).replace("_", " ").split(" ")
+    every = selectors.compile_rules(
+        [{"name": kind, "selector": "*", "type": kind, "multiple": True} for kind in ("text", "html", "innerText")]
+    )
+    for _ in range(3000):
+        markup = "".join(rng.choices(pieces, k=rng.randint(1, 12)))
+        for item in selectors.read_items(markup, every):
+            assert len(item["text"]) == len(item["html"]) == len(item["innerText"])
+
+
 def rules(*specs):
     return [dict(zip(("name", "selector", "type", "multiple", "container"), spec)) for spec in specs]
 
