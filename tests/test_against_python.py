@@ -123,6 +123,8 @@ def test_clean_strings(column):
 
     pieces = ["&eacute;", "&#65;", "&#x3c;", "&lt", "&copy", "ﬁ", "①", "＜", "Å", "<i>", "<", ">", " ", "\xa0", "&nbsp;", "a", "&", ";"]
     same(column, text.clean_string, clean, texts(7, pieces, 8))
+    foreign = [*"aéßŒłΩжйかガ가漢–“€", "e\u0301", "\u304b\u3099", "ﬀ", "½", " ", "<b>", "\U0001d400", "\u1100\u1161"]
+    same(column, text.clean_string, clean, texts(16, foreign, 5))
     bare = lambda value: " ".join(html.unescape(re.sub("<[^>]+>", "", value)).split())
     same(column, text.clean_html, bare, texts(8, pieces, 8))
 
