@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from pagegrain.functions import urls
 from pagegrain.operators import selectors as rules_of
+from pagegrain.storage import broadcast_if_small, cut_lineage
 
 ITEM = "_item"
 
@@ -107,14 +108,15 @@ def extract_by_task(visits: DataFrame, pages: DataFrame, catalogue: DataFrame) -
     selectors)``. One row per record: the visit's columns, ``_item`` and ``record``, a
     map of values (see ``record_columns``).
 
-    A page is read once per distinct selector list, however many tasks visit it:
-    markup moves for those pairs only, and what comes back is joined as records.
-    All joins have one side that is unique in the key, so Spark broadcasts that
-    side while its measured size allows and otherwise splits hot keys of the other.
+    A page is read once per distinct selector list, however many tasks visit it, and
+    its markup stays in place while those pairs are few enough to broadcast. What
+    comes back is joined as records. Every join has one side that is unique in the
+    key, so hot keys of the other side can be split.
     """
     rules = catalogue.select("task_id", F.to_json("selectors").alias("_rules"))
     ruled = visits.join(rules, "task_id")
-    work = ruled.select("page_id", "_rules").distinct().join(pages.select("page_id", "html"), "page_id")
+    wanted = broadcast_if_small(cut_lineage(ruled.select("page_id", "_rules").distinct()))
+    work = pages.select("page_id", "html").join(wanted, "page_id")
     items = work.select("page_id", "_rules", page_items_by_row(F.col("html"), F.col("_rules")).alias("_items"))
     return ruled.join(items, ["page_id", "_rules"]).select(
         *visits.columns, F.posexplode("_items").alias(ITEM, "record")

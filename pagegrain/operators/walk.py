@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagegrain.functions import urls
 from pagegrain.operators.extract import page_items, page_items_by_row, pagination_rule, raw_rule
-from pagegrain.storage import cut_lineage
+from pagegrain.storage import broadcast_if_small, cut_lineage
 
 
 def page_addresses(pages: DataFrame, at: Column | None = None) -> DataFrame:
@@ -24,7 +24,8 @@ def page_addresses(pages: DataFrame, at: Column | None = None) -> DataFrame:
 
 def _raw_links(hits: DataFrame, pages: DataFrame, pagination: dict | None) -> DataFrame:
     """``page_id, _rule, _raw``: each visited page read once per distinct rule."""
-    work = hits.select("page_id", "_rule").distinct().join(pages.select("page_id", "html"), "page_id")
+    wanted = broadcast_if_small(cut_lineage(hits.select("page_id", "_rule").distinct()))
+    work = pages.select("page_id", "html").join(wanted, "page_id")
     if pagination is not None:
         raw = F.get(page_items(F.col("html"), pagination_rule(pagination)), F.lit(0))["raw"]
     else:
@@ -47,8 +48,9 @@ def walk_pages(
     a next link, or with a link to the same address. Longer loops run to the limit.
 
     Rounds join narrow tables on the address; markup joins on the page id, once per
-    visited page and rule, however many tasks meet there. Each round's visits are
-    checkpointed, so round n does not replay the rounds before it.
+    visited page and rule, however many tasks meet there, and stays in place while
+    the visited ids are few enough to broadcast. Each round's visits are checkpointed,
+    so round n does not replay the rounds before it.
     """
     if pagination is not None and not pagination.get("selector"):
         max_pages = 1
@@ -101,4 +103,4 @@ def _rule_column(pagination: dict | None) -> Column:
 
 def with_html(visits: DataFrame, pages: DataFrame) -> DataFrame:
     """Visits with the markup of their page."""
-    return visits.join(pages.select("page_id", "html"), "page_id")
+    return pages.select("page_id", "html").join(broadcast_if_small(cut_lineage(visits)), "page_id")

@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,3 +38,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager)
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a checkpointed narrow table for broadcast if its measured text size is within ``limit``.
+
+    For joins against page markup: the size is known before the join is planned, so
+    a small table never makes Spark shuffle the markup. A larger one joins as usual.
+    """
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    measured = df.agg(F.coalesce(size, F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.broadcast(df) if measured <= limit else df

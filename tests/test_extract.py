@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from pagegrain import schemas
+from pagegrain import schemas, storage
 from pagegrain.operators import extract, selectors
 from pagegrain.operators.selectors import PageReader, compile_selector
 from pagegrain.operators.walk import page_addresses, walk_pages, with_html
@@ -200,8 +200,19 @@ def test_a_page_is_read_once_per_rule_list(spark):
     catalogue = spark.createDataFrame([(str(at), rule, None, None) for at in range(500)], schemas.CATALOGUE)
     found = extract.extract_by_task(visits, pages, catalogue)
     assert found.count() == 500
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert "Aggregate [page_id" in plan[plan.index("ArrowEvalPython"):]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below_python = plan[plan.index("ArrowEvalPython"):]
+    assert "BroadcastHashJoin" in below_python.split("Exchange")[0]
+
+
+def test_markup_joins_without_a_broadcast_beyond_the_limit(spark, monkeypatch):
+    narrow = spark.range(100).withColumn("t", F.lit("x"))
+    assert "broadcast" in storage.broadcast_if_small(narrow)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" not in storage.broadcast_if_small(narrow, 100)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in storage.broadcast_if_small(narrow.limit(0))._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(storage.broadcast_if_small, "__defaults__", (0,))
+    test_walk(spark)
+    test_scrape_tasks(spark)
 
 
 def test_scrape_site(spark):
