@@ -114,8 +114,8 @@ def extract_by_task(visits: DataFrame, pages: DataFrame, catalogue: DataFrame) -
     key, so hot keys of the other side can be split.
     """
     rules = catalogue.select("task_id", F.to_json("selectors").alias("_rules"))
-    ruled = visits.join(rules, "task_id")
-    wanted = broadcast_if_small(cut_lineage(ruled.select("page_id", "_rules").distinct()))
+    ruled = cut_lineage(visits.join(rules, "task_id"))
+    wanted = broadcast_if_small(ruled.select("page_id", "_rules").distinct())
     work = pages.select("page_id", "html").join(wanted, "page_id")
     items = work.select("page_id", "_rules", page_items_by_row(F.col("html"), F.col("_rules")).alias("_items"))
     return ruled.join(items, ["page_id", "_rules"]).select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagegrain.functions import urls
 from pagegrain.operators.extract import page_items, page_items_by_row, pagination_rule, raw_rule
-from pagegrain.storage import broadcast_if_small, cut_lineage
+from pagegrain.storage import broadcast_if_small, cut_lineage, text_bytes
 
 
 def page_addresses(pages: DataFrame, at: Column | None = None) -> DataFrame:
@@ -22,9 +22,8 @@ def page_addresses(pages: DataFrame, at: Column | None = None) -> DataFrame:
     return pages.groupBy(at.alias("_at")).agg(F.min("page_id").alias("page_id"))
 
 
-def _raw_links(hits: DataFrame, pages: DataFrame, pagination: dict | None) -> DataFrame:
-    """``page_id, _rule, _raw``: each visited page read once per distinct rule."""
-    wanted = broadcast_if_small(cut_lineage(hits.select("page_id", "_rule").distinct()))
+def _raw_links(wanted: DataFrame, pages: DataFrame, pagination: dict | None) -> DataFrame:
+    """``page_id, _rule, _raw``: the attribute a rule needs, for each wanted page and rule."""
     work = pages.select("page_id", "html").join(wanted, "page_id")
     if pagination is not None:
         raw = F.get(page_items(F.col("html"), pagination_rule(pagination)), F.lit(0))["raw"]
@@ -65,18 +64,19 @@ def walk_pages(
     frontier = tasks.select("task_id", F.coalesce("pages", F.lit(1)).alias("_pages"), rule.alias("_rule"), "url")
     rounds = []
     for number in range(1, max_pages + 1):
-        wanted = frontier.where(F.col("_pages") >= number)
-        hits = cut_lineage(
-            wanted.withColumn("_at", address)
-            .join(addresses, "_at")
-            .drop("_at")
-        )
+        asked = frontier.where(F.col("_pages") >= number).withColumn("_at", address)
+        hits = cut_lineage(asked.join(addresses, "_at").drop("_at"))
         rounds.append(hits.select("task_id", F.lit(number).alias("page_no"), "url", "page_id"))
-        if number == max_pages or hits.isEmpty():
+        if number == max_pages:
             break
         going = hits.where((F.col("_pages") > number) & (F.col("_rule.selector") != ""))
+        wanted = going.select("page_id", "_rule").distinct()
+        size = text_bytes(wanted)
+        if not size:
+            break
+        wanted = broadcast_if_small(wanted, size=size)
         frontier = (
-            going.join(_raw_links(going, pages, pagination), ["page_id", "_rule"])
+            going.join(_raw_links(wanted, pages, pagination), ["page_id", "_rule"])
             .withColumn("_next", following)
             .where(F.col("_next") != F.col("url"))
             .select("task_id", "_pages", "_rule", F.col("_next").alias("url"))
@@ -103,4 +103,4 @@ def _rule_column(pagination: dict | None) -> Column:
 
 def with_html(visits: DataFrame, pages: DataFrame) -> DataFrame:
     """Visits with the markup of their page."""
-    return pages.select("page_id", "html").join(broadcast_if_small(cut_lineage(visits)), "page_id")
+    return pages.select("page_id", "html").join(broadcast_if_small(visits), "page_id")

@@ -40,12 +40,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a checkpointed narrow table for broadcast if its measured text size is within ``limit``.
+def text_bytes(df: DataFrame) -> int:
+    """Size of a narrow table as JSON text; one row reaches the driver."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    return df.agg(F.coalesce(size, F.lit(0)).alias("bytes")).first()["bytes"]
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES, size: int | None = None) -> DataFrame:
+    """Mark a narrow table, cheap to compute again, for broadcast if it measures at most ``limit``.
 
     For joins against page markup: the size is known before the join is planned, so
     a small table never makes Spark shuffle the markup. A larger one joins as usual.
     """
-    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
-    measured = df.agg(F.coalesce(size, F.lit(0)).alias("bytes")).first()["bytes"]
-    return F.broadcast(df) if measured <= limit else df
+    return F.broadcast(df) if (text_bytes(df) if size is None else size) <= limit else df

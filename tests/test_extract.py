@@ -210,7 +210,7 @@ def test_markup_joins_without_a_broadcast_beyond_the_limit(spark, monkeypatch):
     assert "broadcast" in storage.broadcast_if_small(narrow)._jdf.queryExecution().analyzed().toString()
     assert "broadcast" not in storage.broadcast_if_small(narrow, 100)._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in storage.broadcast_if_small(narrow.limit(0))._jdf.queryExecution().analyzed().toString()
-    monkeypatch.setattr(storage.broadcast_if_small, "__defaults__", (0,))
+    monkeypatch.setattr(storage.broadcast_if_small, "__defaults__", (0, None))
     test_walk(spark)
     test_scrape_tasks(spark)
 
