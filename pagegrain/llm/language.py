@@ -1,7 +1,7 @@
 """Language of a text by its nearest centroid.
 
 A text is a vector of hashed byte n-grams (lower-cased; one to three bytes; ASCII characters that are
-no letters count as spaces), weighted by 1 + log(count) and inverse document frequency and normalised.
+no letters count as spaces, of which no gram holds two in a row), weighted by 1 + log(count) and inverse document frequency and normalised.
 Each language has a few centroids, found by clustering its own training vectors (k-means on the unit
 sphere); a text takes the language of the centroid with the highest cosine. A text farther from its
 centroid than almost all training vectors of that centroid is marked as rejected.
@@ -51,6 +51,10 @@ def counts_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         key = key[: len(b) - width + 1] * np.uint32(257) + b[width - 1 :] + np.uint32(1)
         place = ((key * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
         inside = row[: len(key)] == row[width - 1 :]
+        for at in range(width - 1):  # runs of spaces and punctuation tell nothing
+            inside &= (b[at : at + len(key)] != 32) | (b[at + 1 : at + 1 + len(key)] != 32)
+        if width == 1:
+            inside &= b != 32
         out += np.bincount(row[: len(key)][inside] + place[inside], minlength=n * SIZE)
     return out.reshape(n, SIZE)
 

@@ -60,7 +60,7 @@ def sketches(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
         start, step = (elements >> np.uint64(7)).astype(np.int64), (elements >> np.uint64(20)).astype(np.int64) | 1
         x = np.zeros(len(elements))
         for j in range(m):
-            u = (mix(elements + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) + 1
+            u = (mix(elements + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) + 1
             x = x - np.log(u * 2.0**-53) / (RATE * (m - j))
             on = x <= last
             if not on.all():

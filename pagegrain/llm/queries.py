@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import exact_search, language, main_text, secrets, toxicity
+from pagegrain.llm import exact_search, language, main_text, near_dedup, secrets, toxicity
 from pagegrain.llm.common import fold, stored, table
 
 
@@ -31,6 +31,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.shown("base"), 256).alias("base_sha256"), secrets.shown("spans").alias("spans"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return exact_search.exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10, 1024)
@@ -47,6 +51,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op5_main_text": op5_main_text,
     "op6_secrets": op6_secrets,
+    "op8_near_dedup": op8_near_dedup,
     "op9_exact_topk": op9_exact_topk,
     "op10_language": op10_language,
 }

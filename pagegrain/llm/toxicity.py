@@ -32,7 +32,8 @@ BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
 PER_CLASS = 4000
 THRESHOLD = 0.7
-RIDGE = 2e-4
+RIDGE = 1e-3
+LEAST_ODDS = 2.0
 SWAP_WEIGHT = 1.0
 ROUNDS = 120
 LETTERS = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
@@ -115,31 +116,44 @@ def _rows(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(labels: np.ndarray, own: list[np.ndarray], pairs: list[tuple[int, np.ndarray]], bits: int = BITS, ridge: float = RIDGE, swap_weight: float = SWAP_WEIGHT, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Weights and base logit: logistic loss, ridge and the squared logit difference of swapped pairs (Adam, full batch)."""
+    """Weights and base logit.
+
+    Features enter with their log odds between the labels as value, and only where these exceed
+    ``LEAST_ODDS``. The loss is logistic, either label weighing half, plus a ridge and the mean squared
+    logit difference of swapped pairs (Adam, full batch).
+    """
     n, size = len(labels), 1 << bits
     row, col = _rows(own)
+    toxic = labels.sum()
+    with_it, all_of = np.bincount(col, labels[row], size), np.bincount(col, minlength=size)
+    prior = toxic / n
+    odds = np.log((with_it + prior) / (toxic + 1)) - np.log((all_of - with_it + 1 - prior) / (n - toxic + 1))
+    odds[(np.abs(odds) < LEAST_ODDS) | (all_of < 2)] = 0
+    keep = odds[col] != 0
+    row, col = row[keep], col[keep]
+    weight = np.where(labels == 1, 0.5 / toxic, 0.5 / (n - toxic))
     at = np.array([p[0] for p in pairs], int)
     swap_row, swap_col = _rows([p[1] for p in pairs])
-    w, base = np.zeros(size), float(np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5)))
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
+    v, base = np.zeros(size), 0.0
+    first, second, first_base, second_base = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, rounds + 1):
+        w = v * odds
         z = np.bincount(row, w[col], n)
-        g = (1 / (1 + np.exp(-np.clip(z + base, -40, 40))) - labels) / n
-        gb = float(g.sum())
-        to_own = g
-        grad = ridge * w
+        pull = (1 / (1 + np.exp(-np.clip(z + base, -40, 40))) - labels) * weight
+        base_slope = float(pull.sum())
+        slope = np.zeros(size)
         if len(at):
             gap = z[at] - np.bincount(swap_row, w[swap_col], len(at))
-            pull = 2 * swap_weight * gap / len(at)
-            to_own = g + np.bincount(at, pull, n)
-            grad = grad - np.bincount(swap_col, pull[swap_row], size)
-        grad = grad + np.bincount(col, to_own[row], size)
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        rate = 0.1 * (1 - t / (rounds + 1))
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        base -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    return w, base
+            push = 2 * swap_weight * gap / len(at)
+            pull = pull + np.bincount(at, push, n)
+            slope -= np.bincount(swap_col, push[swap_row], size)
+        slope = (slope + np.bincount(col, pull[row], size)) * odds + ridge * v
+        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
+        first_base, second_base = 0.9 * first_base + 0.1 * base_slope, 0.99 * second_base + 0.01 * base_slope**2
+        rate = 0.05 * (1 - t / (rounds + 1))
+        v = v - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        base -= rate * (first_base / (1 - 0.9**t)) / (np.sqrt(second_base / (1 - 0.99**t)) + 1e-8)
+    return v * odds, base
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, identities: list[list[str]] | None = None, swap_weight: float = SWAP_WEIGHT) -> dict:
