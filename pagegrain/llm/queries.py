@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import exact_search, language, main_text, near_dedup, secrets, toxicity
+from pagegrain.llm import exact_search, language, main_text, near_dedup, packing, secrets, toxicity
 from pagegrain.llm.common import fold, stored, table
 
 
@@ -20,6 +20,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, _ = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return placed.drop("row_id")
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -49,6 +60,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_packing": op2_packing,
     "op5_main_text": op5_main_text,
     "op6_secrets": op6_secrets,
     "op8_near_dedup": op8_near_dedup,
