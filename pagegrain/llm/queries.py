@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import exact_search, language, main_text, near_dedup, packing, secrets, toxicity
+from pagegrain.llm import decontamination, exact_search, language, main_text, near_dedup, packing, secrets, toxicity
 from pagegrain.llm.common import fold, stored, table
 
 
@@ -42,6 +42,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.shown("base"), 256).alias("base_sha256"), secrets.shown("spans").alias("spans"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a test item that it holds; clean documents have no row."""
+    return decontamination.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op5_main_text": op5_main_text,
     "op6_secrets": op6_secrets,
+    "op7_decontamination": op7_decontamination,
     "op8_near_dedup": op8_near_dedup,
     "op9_exact_topk": op9_exact_topk,
     "op10_language": op10_language,
