@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import decontamination, exact_search, language, main_text, near_dedup, packing, secrets, toxicity
+from pagegrain.llm import column_bwt, decontamination, exact_search, fm_index, language, main_text, near_dedup, packing, secrets, toxicity
 from pagegrain.llm.common import fold, stored, table
 
 
@@ -31,6 +31,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.drop("row_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_index.remove_repeated_words(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = column_bwt.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -66,6 +76,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_main_text": op5_main_text,
     "op6_secrets": op6_secrets,
     "op7_decontamination": op7_decontamination,
