@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -37,33 +38,58 @@ CLOSING = 0
 PART = 100_000  # pieces of one length ranked by one task
 DEPTH = 3
 SWEEPS = 12
-CACHE = 400_000
+CACHE = 300_000
 # A single space before a character that is no white space always begins a new word of the tokenizer.
 UNSAFE = re.compile(r" (?:\s|\Z)")
 BOUNDARY = re.compile(r"(?= \S)")
 
 
+# Runs of letters, with a space before, are single words of the tokenizer; so are cuts around them.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+RUNS = re.compile(rf" ?[{LATIN}]+|[^{LATIN}]+")
+LETTERS = re.compile(rf" ?[{LATIN}]+")
+JOINED = re.compile(r"'|\s\s")  # contractions, and white space whose cut depends on what follows
+# Byte-level tokenizers write printable bytes as themselves and the others from U+0100 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: b for b in PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
+
+
 class Words(dict):
-    """Ids of each word with its leading space, as bytes; words are tokenised once while they are held."""
+    """Ids of each piece of text between spaces, as bytes; pieces and their words are tokenised once while they are held."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model, self.words = tokenizer, tokenizer.model, {}
+        kind = type(tokenizer.pre_tokenizer).__name__
+        self.byte_level = kind == "ByteLevel" and not tokenizer.pre_tokenizer.add_prefix_space and tokenizer.normalizer is None
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, run: str) -> bytes:
+        out = self.words.get(run)
+        if out is None:
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            if LETTERS.fullmatch(run):
+                tokens = self.model.tokenize(run.encode().decode("latin-1").translate(BYTE_CHARS))
+                out = array("I", [t.id for t in tokens]).tobytes()
+            else:
+                out = self.encode(run)
+            self.words[run] = out
+        return out
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        out = self[word] = self.encode(word)
+        out = self[piece] = self.encode(piece) if JOINED.search(piece) else b"".join([self.word(r) for r in RUNS.findall(piece)])
         return out
 
     def ids(self, text: str | None) -> np.ndarray:
         """The text's ids and the closing id."""
         if not text:
             raw = b""
-        elif "<|" in text:  # special tokens may span words
+        elif not self.byte_level or "<|" in text:  # special tokens may span words
             raw = self.encode(text)
         elif UNSAFE.search(text):
             raw = b"".join([self[w] for w in BOUNDARY.split(text) if w])
