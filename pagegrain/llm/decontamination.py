@@ -10,7 +10,8 @@ the block maxima of their distinct terms: a passage whose sums stay below the th
 is done. The others run block-max WAND over the postings: cursors move by item, the pivot is the first
 item that the terms' maxima let reach the threshold, and a block whose own maxima can't is skipped
 whole. All items at or above the threshold are retrieved. A retrieved item counts if enough of its
-question's and of its answer's word trigrams stand in the passage.
+question's and of its answer's word trigrams stand in the passage; an item under about six words must stand
+there as a whole.
 
 The index is cut into shards of about ``SHARD_TERMS`` postings; each is read to the driver, broadcast
 and held against the corpus in turn, so that what is broadcast is bounded. Documents aren't shuffled.
@@ -59,8 +60,17 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return whole[:half], whole[half:]
 
 
-def grams(words: list[str]) -> set:
-    return {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+def grams(words: list[str], size: int = 3) -> set:
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
+def parts_of(text: str) -> tuple[int, set, set]:
+    """Gram size and the grams of question and answer; an item too short for both is one gram as a whole."""
+    question, answer = question_and_answer(text)
+    if min(len(question), len(answer)) < 3:
+        whole = words_of(text)
+        return len(whole), grams(whole, len(whole)), grams(whole, len(whole))
+    return 3, grams(question), grams(answer)
 
 
 class Index:
@@ -69,7 +79,7 @@ class Index:
     def __init__(self, postings: list[tuple], items: list[tuple], n: int, average: float):
         """postings: (item, term, tf, df, length); items: (item, text)."""
         self.items = [i for i, _ in sorted(items)]
-        self.parts = [tuple(grams(p) for p in question_and_answer(t)) for _, t in sorted(items)]
+        self.parts = [parts_of(t) for _, t in sorted(items)]
         number = {i: k for k, i in enumerate(self.items)}
         self.terms = {t: k for k, t in enumerate(sorted({p[1] for p in postings}))}
         item = np.array([number[p[0]] for p in postings], np.int64)
@@ -146,13 +156,15 @@ class Index:
         for i in np.flatnonzero(bounds >= threshold - 1e-6):
             if chunks > 1 and i == chunks - 1:
                 continue  # its words are the end of the passage before
-            distinct, passage = np.unique(term[edges[i] : edges[min(i + 2, chunks)]]), None
+            distinct = np.unique(term[edges[i] : edges[min(i + 2, chunks)]])
+            passage: dict[int, set] = {}
             if self.block_max[distinct].sum(0, dtype=np.float64).max() < threshold - 1e-6:
                 continue  # terms of both chunks had counted twice
             for k, score in self.retrieve(distinct, threshold):
-                if passage is None:
-                    passage = grams(words[i * self.chunk : (i + 2) * self.chunk])
-                shares = [len(part & passage) / len(part) if part else 1.0 for part in self.parts[k]]
+                size, *both = self.parts[k]
+                if size not in passage:
+                    passage[size] = grams(words[i * self.chunk : (i + 2) * self.chunk], size)
+                shares = [len(part & passage[size]) / len(part) for part in both]
                 if min(shares) >= overlap:
                     seen = out.setdefault(self.items[k], [0, 0.0, 0.0, 0.0])
                     seen[0] += 1

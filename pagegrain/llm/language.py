@@ -103,7 +103,7 @@ def _centroids(idf: np.ndarray, k: int):
         x = vectors(counts.astype(np.float32), idf)
         centres, own = clustered(x, k)
         near = (x * centres[own]).sum(1)
-        least = [float(np.quantile(near[own == c], REJECTED_SHARE)) if (own == c).any() else 1.0 for c in range(len(centres))]
+        least = [float(np.quantile(near[own == c], REJECTED_SHARE)) - 1e-5 if (own == c).any() else 1.0 for c in range(len(centres))]
         return pa.table({"lang": [key[0].as_py()] * len(centres), "nth": pa.array(range(len(centres)), pa.int32()), "centre": [c.astype(np.float32).tobytes() for c in centres], "least": least})
 
     return run
