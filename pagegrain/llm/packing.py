@@ -38,7 +38,7 @@ CLOSING = 0
 PART = 100_000  # pieces of one length ranked by one task
 DEPTH = 3
 SWEEPS = 12
-CACHE = 300_000
+CACHE = 600_000
 # A single space before a character that is no white space always begins a new word of the tokenizer.
 UNSAFE = re.compile(r" (?:\s|\Z)")
 BOUNDARY = re.compile(r"(?= \S)")
@@ -46,7 +46,7 @@ BOUNDARY = re.compile(r"(?= \S)")
 
 # Runs of letters, with a space before, are single words of the tokenizer; so are cuts around them.
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-RUNS = re.compile(rf" ?[{LATIN}]+|[^{LATIN}]+")
+RUNS = re.compile(rf" ?[{LATIN}]+| ?[^{LATIN} ]+| ")
 LETTERS = re.compile(rf" ?[{LATIN}]+")
 JOINED = re.compile(r"'|\s\s")  # contractions, and white space whose cut depends on what follows
 # Byte-level tokenizers write printable bytes as themselves and the others from U+0100 on.
@@ -55,47 +55,43 @@ BYTE_CHARS = {b: b for b in PRINTABLE} | {b: 256 + i for i, b in enumerate(sorte
 
 
 class Words(dict):
-    """Ids of each piece of text between spaces, as bytes; pieces and their words are tokenised once while they are held."""
+    """Ids of each run of a text, as bytes; a run is tokenised once while it is held."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.model, self.words = tokenizer, tokenizer.model, {}
+        self.tokenizer, self.model = tokenizer, tokenizer.model
         kind = type(tokenizer.pre_tokenizer).__name__
         self.byte_level = kind == "ByteLevel" and not tokenizer.pre_tokenizer.add_prefix_space and tokenizer.normalizer is None
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def word(self, run: str) -> bytes:
-        out = self.words.get(run)
-        if out is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            if LETTERS.fullmatch(run):
-                tokens = self.model.tokenize(run.encode().decode("latin-1").translate(BYTE_CHARS))
-                out = array("I", [t.id for t in tokens]).tobytes()
-            else:
-                out = self.encode(run)
-            self.words[run] = out
-        return out
-
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, run: str) -> bytes:
+        if LETTERS.fullmatch(run):
+            tokens = self.model.tokenize(run.encode().decode("latin-1").translate(BYTE_CHARS))
+            out = array("I", [t.id for t in tokens]).tobytes()
+        else:
+            out = self.encode(run)
         if len(self) >= CACHE:
             self.clear()
-        out = self[piece] = self.encode(piece) if JOINED.search(piece) else b"".join([self.word(r) for r in RUNS.findall(piece)])
+        self[run] = out
         return out
 
+    def runs(self, text: str) -> list[str]:
+        """Cuts where the tokenizer always begins a new word."""
+        if not JOINED.search(text):
+            return RUNS.findall(text)
+        pieces = BOUNDARY.split(text) if UNSAFE.search(text) else [w if i == 0 else " " + w for i, w in enumerate(text.split(" "))]
+        return [run for p in pieces for run in ([p] if JOINED.search(p) else RUNS.findall(p)) if run]
+
     def ids(self, text: str | None) -> np.ndarray:
         """The text's ids and the closing id."""
         if not text:
             raw = b""
         elif not self.byte_level or "<|" in text:  # special tokens may span words
             raw = self.encode(text)
-        elif UNSAFE.search(text):
-            raw = b"".join([self[w] for w in BOUNDARY.split(text) if w])
         else:
-            first, *rest = text.split(" ")
-            raw = (self[first] if first else b"") + b"".join([self[" " + w] for w in rest])
+            raw = b"".join([self[run] for run in self.runs(text)])
         return np.frombuffer(raw + np.uint32(CLOSING).tobytes(), "<u4")
 
 
