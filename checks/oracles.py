@@ -134,6 +134,9 @@ _set(
     a2_catalogue_scan=f"{FLAT_CATALOGUE} from ({TASKS})",
     a3_feedback_scan=FEEDBACK,
     a4_record_scan=ITEMS,
+    a4_bad_rows=f"""select case when id % 7 <> 0 then id end as id,
+      case when id % 7 = 0 then left('{{"id":' || id || ',"name":"' || name || '"', 20) end as bad from ({ITEMS})""",
+    a2_broken_files="select page_id % 5 <> 0 as readable, page_id % 5 = 0 as to_generate, count(*) as n from pages group by 1, 2",
     a5_json_scan="select cast(json_extract(props, '$.k') as bigint) as k, count(*) as n, cast(0 as bigint) as bad from events group by 1",
 )
 
@@ -152,6 +155,8 @@ _set(
         regexp_split_to_array(regexp_extract(html, '<article>(.*)</article>', 1), '<[^>]+>'), lambda x: {unescape("x")}),
         lambda x: {strip("x")}), '') as article,
       len(regexp_extract_all(regexp_extract(html, '<article>(.*)</article>', 1), '<p>')) as n from pages""",
+    b1_unusable_rules=f"""select task_id, case when page_id % 2 = 0 then 'f' || page_id else 'container' end as name,
+      case when page_id % 2 = 0 then 'p:not(.x)' else 'li:nth-of-type(2)' end as selector, page_id % 2 = 1 as is_container from ({TASKS})""",
     b5_next_by_link=f"select page_id, {BASE} || {HREFS}[1] as next_url from pages",
     b6_next_by_button=f"""select page_id, case when page_id % 2 = 0
         then {BASE} || regexp_replace({_part("url", 3)}, '/?[^/]*$', '') || '/p' || page_id || '.html'
@@ -201,11 +206,14 @@ _set(
       description, coalesce(price, '9') as price, link as url, rating, id from ({ITEMS})""",
     d2_dedupe="""select event_id, user_id, event_type, value from events
       qualify row_number() over (partition by user_id, event_type order by event_id) = 1""",
+    d2_map_keys="select min(event_id) as event_id, cast(event_id % 3 as varchar) as a from events group by event_id % 3",
+    d1_number_beside_text=f"""select id, case when id = 0 then '0.0' when id % 2 = 0 then id || '000000.0' else 'about ' || id end as price,
+      case when id % 2 = 0 then id * 1000000.0::double end as number from ({ITEMS})""",
     d2_dedupe_guessed=f"""select id as _ord, name, rating from ({ITEMS})
       qualify row_number() over (partition by name, rating order by id) = 1""",
     d3_filter="""select p_partkey, p_name, p_brand, p_size from part
       where p_size between 5 and 40 and contains(p_name, 'ring') and regexp_matches(p_brand, '#1[0-9]?$')""",
-    d4_sort=f"select id, price, cast(price is null as bigint) as is_last from ({ITEMS}) order by lower(price) desc nulls last, id",
+    d4_sort=f"select id, price, row_number() over (order by lower(price) desc nulls last, id) - 1 as place from ({ITEMS})",
     d5_top="select o_orderkey, o_totalprice from orders order by o_totalprice desc nulls last, o_orderkey limit 25",
     d6_union="""select c_custkey as key, c_name as name, c_mktsegment, cast(null as double) as s_acctbal from customer
       union all select s_suppkey, s_name, null, s_acctbal from supplier""",
@@ -221,6 +229,22 @@ _set(
       '2024-01-01T00:00:00' as processed_at from ({ITEMS})""",
     e2_clean_nested=f"""select id, nullif({clean("name")}, '') as name, nullif({clean("description")}, '') as description,
       cast(null as varchar) as gone, true as is_empty, description as raw from ({ITEMS})""",
+    e2_nested_raw=f"""select id, '<b>x</b> &amp; ' || name as raw, {collapse("'x & ' || name")} as shown, '<b>x</b> &amp; ' || name as part_raw,
+      cast(null as varchar) as gone, {collapse("'x & ' || name")} as part_shown, {collapse("'x & ' || name")} as k, '<b>x</b> &amp; ' || name as map_raw,
+      cast(2 as bigint) as n, true as is_empty from ({ITEMS})""",
+    e3_large_types="""select p_partkey, large, 'a é fi 1 F1 ' || p_name as text, 'a é fi 1 F1 ' || p_name as part
+      from part, (select unnest(['false', 'true']) as large)""",
+    e5_case_variant=f"select id, case when id % 3 = 0 then 'h' else name end as title from ({ITEMS})",
+    e7_long_text=f"""with words as (
+        select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos, len(w) as n from (
+          select doc_id, string_split({collapse("replace(text, 'ß', 's')")}, ' ') as w from documents where text is not null)),
+      cased as (
+        select doc_id, pos, case
+          when pos not in (1, n) and lower(word) in ('a','an','the','and','but','or','for','nor','on','at','to','from','by','of','in','with','as')
+            and not (word = upper(word) and word <> lower(word)) then lower(word)
+          when pos not in (1, n) and word = upper(word) and word <> lower(word) and length(word) <= 5 then word
+          else upper(left(word, 1)) || lower(substr(word, 2)) end as word from words)
+      select doc_id, md5(string_agg(word, ' ' order by pos)) as title from cased group by 1""",
     e3_clean_string=f"select page_id, {clean('html')} as shown from pages",
     e3_clean_documents=f"select doc_id, {clean('text')} as text from documents",
     e4_clean_list=f"select id, {clean('name')} || '|' || {clean('description')} as parts, cast(2 as bigint) as n from ({ITEMS})",
@@ -292,9 +316,9 @@ _rated = f"""select t.task_id, t.page_id, t.url, t.data_description, cast(e.even
 _set(
     h1_store=f"""select md5(url || '_' || data_description) as task_id, url, data_description,
       case when rating < 8 then rating end as rating, feedback, timestamp from ({FEEDBACK})""",
-    h2_for_task=f"""select url, data_description, rating, feedback, timestamp from ({FEEDBACK})
+    h2_for_task=f"""select url, data_description, rating, feedback, timestamp, row_number() over (order by timestamp desc) - 1 as place from ({FEEDBACK})
       where task_id = '01993059f0f2eb1fef51f0bf3749f2e0'""",
-    h3_for_domain=f"select * from ({FEEDBACK}) where url like '%ite4.example%'",
+    h3_for_domain=f"select *, row_number() over (order by timestamp desc) - 1 as place from ({FEEDBACK}) where url like '%ite4.example%'",
     h4_average=f"select coalesce(avg(rating), 0.0) as average_rating from ({FEEDBACK})",
     h4_average_by_task=f"select task_id, coalesce(avg(rating), 0.0) as average_rating, count(rating) as ratings from ({FEEDBACK}) group by 1",
     h4_average_by_domain=f"""select split_part(split_part(url, '//', 2), '/', 1) as domain, coalesce(avg(rating), 0.0) as average_rating,
@@ -331,6 +355,8 @@ _set(
       select request_id, task_id as match_task_id, score from scored where score > 0.5
       qualify row_number() over (partition by request_id order by score desc, task_id) = 1""",
     i6_resolve=f"""select task_id, url not like 'https%' as to_generate, case when url like 'https%' then 'h1' end as selector from ({TASKS})""",
+    i9_loose_flags="""select p_partkey, p_name as selector, case p_partkey % 5 when 0 then true when 1 then true when 2 then false when 3 then false end as multiple
+      from part""",
     i7_retry=f"select page_id, task_id from ({TASKS}) join pages using (page_id) where len(list_filter({HREFS}, lambda x: contains(x, 'n'))) = 0",
     i9_parse_response="""select p_partkey, cast(case when p_partkey % 4 < 2 then 1 else 0 end as bigint) as n,
       case when p_partkey % 4 < 2 then p_name end as selector, case when p_partkey % 4 < 2 then true end as multiple,
@@ -342,17 +368,17 @@ _set(
 _shape = """{
   "selectors": [
     {
-      "name": "data_element_name",
-      "selector": "css_selector",
-      "type": "text|attribute|href|etc",
-      "attribute": "attribute_name_if_applicable",
-      "multiple": true|false,
-      "post_processing": "any_regex_or_transformation_needed"
+      "name": "<field>",
+      "selector": "<CSS path>",
+      "type": "<text, html, href, src or attribute>",
+      "attribute": "<only for type attribute>",
+      "multiple": <true for a list>,
+      "post_processing": "<clean-up, if any>"
     }
   ],
   "pagination": {
-    "selector": "selector_for_next_page_button",
-    "type": "link|button|etc"
+    "selector": "<CSS path of the next-page element>",
+    "type": "<link, button or parameter>"
   }
 }"""
 _set(
@@ -379,9 +405,12 @@ _set(
     j3_dispatch="select cast(p_partkey as varchar) as p_partkey, p_name from part union all select cast(p_partkey as varchar), p_name from part",
     j4_formats="""select cast(c_custkey as varchar) as c_custkey, c_name, 'csv' as format from customer
       union all select cast(c_custkey as varchar), c_name, 'json' from customer""",
-    j5_chunks="""select chunk, count(*) as n, min(o_orderkey) as first, max(o_orderkey) as last, cast(1 as bigint) as files
+    j5_chunks="""select chunk, cast(ceil((select count(*) from orders) / 1000.0) as bigint) as chunks, count(*) as n,
+      min(o_orderkey) as first, max(o_orderkey) as last, cast(1 as bigint) as files
       from (select o_orderkey, (row_number() over (order by o_orderkey) - 1) // 1000 as chunk from orders) group by 1""",
-    j6_empty=f"select * replace (cast(id as varchar) as id) from ({ITEMS}) where false",
+    j6_empty=f"""select 'header' as kind, unnest(['description', 'id', 'link', 'name', 'price', 'rating']) as name, cast(null as bigint) as n
+      union all select 'csv', null, count(*) from ({ITEMS}) where name = 'no such name'
+      union all select 'json', null, count(*) from ({ITEMS}) where name = 'no such name'""",
     j7_json_write=f"{FLAT_CATALOGUE} from ({TASKS})",
 )
 

@@ -36,6 +36,11 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_pages(spark, f"{sf}/pages.parquet")
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """Rows with their place in the order they come in."""
+    return records.with_row_number(df.withColumn("_came", F.monotonically_increasing_id()), "_came", name="place").drop("_came")
+
+
 def rule(name: str, selector: str, kind: str = "text", **more) -> dict:
     return {"name": name, "selector": selector, "type": kind, **more}
 
@@ -108,6 +113,34 @@ def a4_record_scan(spark, sf):
     return readers.read_records(spark, path, ITEM_SCHEMA, multi_line=False)
 
 
+@query
+def a4_bad_rows(spark, sf):
+    """Every seventh line is cut short: no null records, and each bad line is listed."""
+    path = storage.scratch_path(spark, "lines")
+    raw = inputs.items(spark, sf)
+    line = F.to_json(F.struct(*raw.columns))
+    raw.select(F.when(F.col("id") % 7 == 0, F.left(line, F.lit(20))).otherwise(line)).write.text(path)
+    good = readers.read_records(spark, path, ITEM_SCHEMA, multi_line=False)
+    bad = readers.read_bad_records(spark, path, ITEM_SCHEMA, multi_line=False)
+    return good.select("id", F.lit(None).cast("string").alias("bad")).unionByName(
+        bad.select(F.lit(None).cast("bigint").alias("id"), F.col("text").alias("bad"))
+    )
+
+
+@query
+def a2_broken_files(spark, sf):
+    """One config per file, every fifth unreadable: its task is to be generated anew."""
+    path = storage.scratch_path(spark, "configs")
+    made = inputs.tasks(spark, sf)
+    good = F.to_json(F.struct(F.array(F.struct(F.lit("t").alias("name"), F.lit("h1").alias("selector"))).alias("selectors")))
+    text = F.when(F.col("page_id") % 5 == 0, F.lit('{"selectors": [')).otherwise(good)
+    made.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    files = spark.read.text(path, wholetext=True)
+    asked = files.select(F.col("_metadata.file_name").alias("task_id"), F.col("value").startswith('{"selectors":[{').alias("readable"))
+    done = store.resolve(asked, readers.read_catalogue(spark, path))
+    return done.groupBy("readable", "to_generate").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def a5_json_scan(spark, sf):
     path = storage.scratch_path(spark, "props")
@@ -162,6 +195,16 @@ def b4_article_text(spark, sf):
     )
 
 
+@query
+def b1_unusable_rules(spark, sf):
+    """Catalogue rules outside the grammar, one of them a container."""
+    one = F.struct(F.lit("a").alias("name"), F.lit("h1").alias("selector"), F.lit(None).cast("boolean").alias("container"))
+    two = F.struct(F.concat(F.lit("f"), "page_id").alias("name"), F.lit("p:not(.x)").alias("selector"), F.lit(None).cast("boolean").alias("container"))
+    box = F.struct(F.lit("container").alias("name"), F.lit("li:nth-of-type(2)").alias("selector"), F.lit(True).alias("container"))
+    made = inputs.tasks(spark, sf).select("task_id", F.when(F.col("page_id") % 2 == 0, F.array(one, two)).otherwise(F.array(box, one)).alias("selectors"))
+    return extract.unusable_rules(made)
+
+
 @query
 def b5_next_by_link(spark, sf):
     following = extract.next_page_url(F.col("html"), F.col("url"), {"selector": "nav a", "type": "link"})
@@ -285,6 +328,25 @@ def d2_dedupe(spark, sf):
     return records.remove_duplicates(events, "event_id", ["user_id", "event_type"])
 
 
+@query
+def d2_map_keys(spark, sf):
+    """Equal maps whose entries come in two orders are one key."""
+    a, b = F.lit("a"), F.lit("b")
+    third = (F.col("event_id") % 3).cast("string")
+    attributes = F.when(F.col("event_id") % 2 == 0, F.create_map(a, third, b, F.lit("x"))).otherwise(F.create_map(b, F.lit("x"), a, third))
+    events = inputs.table(spark, sf, "events").select("event_id", attributes.alias("attributes"))
+    return records.remove_duplicates(events, "event_id", ["attributes"]).select("event_id", F.col("attributes")["a"].alias("a"))
+
+
+@query
+def d1_number_beside_text(spark, sf):
+    raw = inputs.items(spark, sf).select("id", (F.col("id") * 1000000.0).alias("price"), F.concat(F.lit("about "), "id").alias("cost"))
+    raw = raw.withColumn("price", F.when(F.col("id") % 2 == 0, F.col("price")))
+    as_text = records.consolidate_fields(raw, {"price": ["price", "cost"]}, keep=("id",))
+    typed = records.consolidate_fields(raw, {"price": ["price", "cost"]}, keep=("id",), types={"price": "double"})
+    return as_text.join(typed.select("id", F.col("price").alias("number")), "id")
+
+
 @query
 def d2_dedupe_guessed(spark, sf):
     return records.remove_duplicates(inputs.items(spark, sf).select(F.col("id").alias("_ord"), "name", "rating"), "_ord")
@@ -301,10 +363,8 @@ def d3_filter(spark, sf):
 
 @query
 def d4_sort(spark, sf):
-    """All rows sorted by a text column, dearest first, nulls last."""
-    found = records.sort_records(inputs.items(spark, sf), "price", False, "id")
-    place = F.when(F.col("price").isNull(), 1).otherwise(0)
-    return found.select("id", "price", place.cast("bigint").alias("is_last"))
+    """All rows sorted by a text column, dearest first, nulls last, with the place each one got."""
+    return placed(records.sort_records(inputs.items(spark, sf), "price", False, "id")).select("id", "price", "place")
 
 
 @query
@@ -378,6 +438,60 @@ def e2_clean_nested(spark, sf):
     )
 
 
+@query
+def e2_nested_raw(spark, sf):
+    """Names that begin with ``_`` keep their values at every depth; maps are cleaned like structs."""
+    dirty = F.concat(F.lit("<b>x</b> &amp; "), "name")
+    nested = inputs.items(spark, sf).select(
+        "id",
+        F.struct(dirty.alias("_raw"), dirty.alias("shown")).alias("info"),
+        F.array(F.struct(dirty.alias("_raw"), F.lit(" <i> </i>").alias("gone"), dirty.alias("shown"))).alias("parts"),
+        F.create_map(F.lit("k"), dirty, F.lit("_raw"), dirty, F.lit("blank"), F.lit(" &nbsp; ")).alias("attributes"),
+        F.create_map(F.lit("blank"), F.lit("<br>")).alias("empty"),
+    )
+    done = clean.clean_fields(nested)
+    part = F.get("parts", F.lit(0))
+    return done.select(
+        "id", F.col("info._raw").alias("raw"), F.col("info.shown").alias("shown"), part["_raw"].alias("part_raw"),
+        part["gone"].alias("gone"), part["shown"].alias("part_shown"), F.col("attributes")["k"].alias("k"),
+        F.col("attributes")["_raw"].alias("map_raw"), F.size("attributes").cast("bigint").alias("n"), F.col("empty").isNull().alias("is_empty"),
+    )
+
+
+@query
+def e3_large_types(spark, sf):
+    """Compatibility characters, entities and tags; the same with Arrow's large types on and off."""
+    key, out = "spark.sql.execution.arrow.useLargeVarTypes", []
+    raw = inputs.table(spark, sf, "part").select(
+        "p_partkey", F.concat(F.lit("<i>a</i> &eacute; \ufb01 \u2460 \uff26\uff11 "), "p_name").alias("text"),
+    )
+    before = spark.conf.get(key)
+    try:
+        for large in ("false", "true"):
+            spark.conf.set(key, large)
+            path = storage.scratch_path(spark, "large")
+            done = clean.clean_fields(raw.withColumn("parts", F.array("text"))).withColumn("large", F.lit(large))
+            done.write.parquet(path)
+            out.append(spark.read.parquet(path).select("p_partkey", "large", "text", F.get("parts", F.lit(0)).alias("part")))
+    finally:
+        spark.conf.set(key, before)
+    return out[0].unionByName(out[1])
+
+
+@query
+def e5_case_variant(spark, sf):
+    """A standard name in another case and a variant meet in one column; the later one wins where set."""
+    raw = inputs.items(spark, sf).select("id", F.col("name").alias("Title"), F.when(F.col("id") % 3 == 0, F.lit("h")).alias("Heading"))
+    return clean.standardise_fields(raw, keep=("id",)).select("id", "title")
+
+
+@query
+def e7_long_text(spark, sf):
+    """Title case over whole documents."""
+    docs = inputs.table(spark, sf, "documents").select("doc_id", text.title_case(F.replace("text", F.lit("ß"), F.lit("s"))).alias("title"))
+    return docs.select("doc_id", F.md5("title").alias("title"))
+
+
 @query
 def e3_clean_string(spark, sf):
     """Every page's whole markup: entities, tags, whitespace."""
@@ -564,12 +678,12 @@ def h1_store(spark, sf):
 
 @query
 def h2_for_task(spark, sf):
-    return ratings.for_task(inputs.feedback(spark, sf), "01993059f0f2eb1fef51f0bf3749f2e0").drop("task_id")
+    return placed(ratings.for_task(inputs.feedback(spark, sf), "01993059f0f2eb1fef51f0bf3749f2e0")).drop("task_id")
 
 
 @query
 def h3_for_domain(spark, sf):
-    return ratings.for_domain(inputs.feedback(spark, sf), "ite4.example")
+    return placed(ratings.for_domain(inputs.feedback(spark, sf), "ite4.example"))
 
 
 @query
@@ -657,6 +771,18 @@ def i6_resolve(spark, sf):
     return done.select("task_id", "to_generate", F.get("selectors", F.lit(0))["selector"].alias("selector"))
 
 
+@query
+def i9_loose_flags(spark, sf):
+    flag = (
+        F.when(F.col("p_partkey") % 5 == 0, F.lit(', "multiple": "true"')).when(F.col("p_partkey") % 5 == 1, F.lit(', "multiple": 1'))
+        .when(F.col("p_partkey") % 5 == 2, F.lit(', "multiple": false')).when(F.col("p_partkey") % 5 == 3, F.lit(', "multiple": "false"')).otherwise(F.lit(""))
+    )
+    body = F.concat(F.lit('{"selectors": [{"name": "a", "selector": "'), F.col("p_name"), F.lit('"'), flag, F.lit("}]}"))
+    done = inputs.table(spark, sf, "part").select("p_partkey", store.parse_response(body).alias("c"))
+    first = F.get("c.selectors", F.lit(0))
+    return done.select("p_partkey", first["selector"].alias("selector"), first["multiple"].alias("multiple"))
+
+
 @query
 def i7_retry(spark, sf):
     """Tasks over every page; those whose pages have no parameter link gave no record."""
@@ -748,8 +874,8 @@ def j5_chunks(spark, sf):
     folder = storage.scratch_path(spark, "chunks")
     table = inputs.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     writers.export_chunks(table, folder, "o_orderkey", chunk_size=1000, format_type="json")
-    back = spark.read.schema("o_orderkey bigint, o_orderstatus string, chunk bigint").json(folder)
-    return back.withColumn("file", F.col("_metadata.file_path")).groupBy("chunk").agg(
+    back = spark.read.schema("o_orderkey bigint, o_orderstatus string, chunks bigint, chunk bigint").json(folder)
+    return back.withColumn("file", F.col("_metadata.file_path")).groupBy("chunk", "chunks").agg(
         F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"),
         F.count_distinct("file").alias("files"),
     )
@@ -757,11 +883,19 @@ def j5_chunks(spark, sf):
 
 @query
 def j6_empty(spark, sf):
-    """A table filtered down to nothing still reads back with its columns."""
+    """A table filtered down to nothing: the header's names, and how many rows read back from either format."""
     path = storage.scratch_path(spark, "empty")
     nothing = records.filter_records(inputs.items(spark, sf), {"name": "no such name"})
-    writers.export(nothing, path, "csv")
-    return spark.read.option("header", True).csv(path)
+    writers.export(nothing, f"{path}/csv", "csv")
+    writers.export(nothing, f"{path}/json", "json")
+    header = spark.read.text(f"{path}/csv").select(F.explode(F.split("value", ",")).alias("name"))
+    rows = spark.read.option("header", True).schema("description string").csv(f"{path}/csv").agg(F.count(F.lit(1)).alias("n"))
+    lines = spark.read.text(f"{path}/json").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        header.select(F.lit("header").alias("kind"), "name", F.lit(None).cast("bigint").alias("n"))
+        .unionByName(rows.select(F.lit("csv").alias("kind"), F.lit(None).cast("string").alias("name"), "n"))
+        .unionByName(lines.select(F.lit("json").alias("kind"), F.lit(None).cast("string").alias("name"), "n"))
+    )
 
 
 @query

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagegrain import fixed_values as fixed
+from pagegrain.functions.binding import bind
 
 
 def strip(text: Column) -> Column:
@@ -43,19 +44,39 @@ def normalise_text(text: Column) -> Column:
 # -- the Arrow part: entity table and NFKC have no Spark built-in -------------------
 
 
+def _is_text(kind: pa.DataType) -> bool:
+    return pa.types.is_string(kind) or pa.types.is_large_string(kind) or pa.types.is_string_view(kind)
+
+
 def _map_leaves(values: pa.Array, fn) -> pa.Array:
-    """Apply ``fn`` to every string at any depth of an Arrow array."""
+    """Apply ``fn`` to every string at any depth of an Arrow array.
+
+    Struct fields and map keys that begin with ``_`` keep their values. A kind of
+    array that may hold strings and isn't known here raises.
+    """
     kind = values.type
-    if pa.types.is_string(kind):
+    if _is_text(kind):
         return pa.array([None if s is None else fn(s) for s in values.to_pylist()], kind)
-    if pa.types.is_list(kind):
+    if pa.types.is_map(kind):
+        rows = values.to_pylist()
+        pairs = [pair for row in rows if row is not None for pair in row]
+        items = _map_leaves(pa.array([item for _, item in pairs], kind.item_type), fn).to_pylist()
+        done = iter((key, old if str(key).startswith("_") else new) for (key, old), new in zip(pairs, items))
+        return pa.array([None if row is None else [next(done) for _ in row] for row in rows], kind)
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
         ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(values), 0))
         starts = pa.concat_arrays([pa.array([0], ends.type), ends])
         leaves = _map_leaves(values.flatten(), fn)
-        return pa.ListArray.from_arrays(starts, leaves, type=kind, mask=values.is_null())
+        made = pa.LargeListArray if pa.types.is_large_list(kind) else pa.ListArray
+        return made.from_arrays(starts, leaves, type=kind, mask=values.is_null())
     if pa.types.is_struct(kind):
-        parts = [_map_leaves(part, fn) for part in values.flatten()]
+        parts = [
+            part if field.name.startswith("_") else _map_leaves(part, fn)
+            for field, part in zip(kind, values.flatten())
+        ]
         return pa.StructArray.from_arrays(parts, fields=list(kind), mask=values.is_null())
+    if pa.types.is_nested(kind) or pa.types.is_dictionary(kind):
+        raise TypeError(f"strings inside {kind} cannot be cleaned")
     return values
 
 
@@ -82,12 +103,39 @@ def clean_string(text: Column) -> Column:
     return collapse(F.coalesce(cleaned, strip_tags(text)))
 
 
+def _strip_nested(value: Column, dtype: T.DataType) -> Column:
+    """``strip_tags`` for every string inside a nested value but those under ``_`` names."""
+    if isinstance(dtype, T.StringType):
+        return strip_tags(value)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda item: _strip_nested(item, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        return F.transform_values(
+            value,
+            lambda key, item: F.when(key.cast("string").startswith("_"), item).otherwise(
+                _strip_nested(item, dtype.valueType)
+            ),
+        )
+    if isinstance(dtype, T.StructType):
+        fields = [
+            (value[f.name] if f.name.startswith("_") else _strip_nested(value[f.name], f.dataType)).alias(f.name)
+            for f in dtype
+        ]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
 def clean_nested(value: Column, dtype: T.DataType) -> Column:
-    """The Arrow part of ``clean_string`` for every string inside a nested value.
+    """``clean_string`` but for whitespace, for every string inside a nested value.
 
-    Whitespace is left to the caller, who walks the nested type anyway.
+    Values under names that begin with ``_`` stay as they are. Plain ASCII without
+    ``&`` stays in the JVM. Whitespace is left to the caller, who walks the nested
+    type anyway.
     """
-    return _arrow_text(_clean_piece, dtype)(value)
+    shown = F.to_json(value)
+    needs_python = shown.contains("&") | (F.octet_length(shown) != F.length(shown))
+    cleaned = _arrow_text(_clean_piece, dtype)(F.when(needs_python, value))
+    return F.coalesce(cleaned, _strip_nested(value, dtype))
 
 
 def clean_html(text: Column) -> Column:
@@ -125,13 +173,10 @@ def truncate(text: Column, length: int = 100, suffix: str = "...") -> Column:
 
 def title_case(text: Column) -> Column:
     """Capitalise words; small words stay low and short acronyms stay up inside the title."""
-    words = F.split(collapse(text), " ")
-    last = F.size(words) - 1
-
     def capital(word: Column) -> Column:
         return F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substr(word, F.lit(2))))
 
-    def cased(word: Column, at: Column) -> Column:
+    def cased(word: Column, at: Column, last: Column) -> Column:
         upper = (word == F.upper(word)) & (word != F.lower(word))
         small = F.lower(word).isin(fixed.SMALL_WORDS) & ~upper
         acronym = upper & (F.length(word) <= fixed.MAX_ACRONYM)
@@ -142,4 +187,7 @@ def title_case(text: Column) -> Column:
             .otherwise(capital(word))
         )
 
-    return F.array_join(F.transform(words, cased), " ")
+    # The split is bound once; inside ``transform`` it would run again for every word.
+    parts = F.struct(F.split(collapse(text), " ").alias("words"))
+    sized = bind(parts, lambda p: F.struct(p["words"].alias("words"), (F.size(p["words"]) - 1).alias("last")))
+    return bind(sized, lambda p: F.array_join(F.transform(p["words"], lambda word, at: cased(word, at, p["last"])), " "))

@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagegrain.functions.binding import bind
+
 # scheme, host part, path, query, fragment; matches every text
 _URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
 _MARK = "\x00"
 _LEADING_NOISE = "".join(chr(code) for code in range(33))
 
 
-def _one(expression: Column, then) -> Column:
-    """Bind a costly expression to a name, so that ``then`` may use it many times."""
-    return F.element_at(F.transform(F.array(expression), then), 1)
-
-
 def _cut(url: Column) -> Column:
     """The five parts of a URL as an array; an absent part is the empty string."""
     clean = F.regexp_replace(F.ltrim(url, F.lit(_LEADING_NOISE)), r"[\t\r\n\x00]", "")
@@ -38,7 +35,7 @@ class SplitUrl:
 
 def with_parts(url: Column, then) -> Column:
     """``then(SplitUrl)`` with the URL cut once."""
-    return _one(_cut(url), lambda parts: then(SplitUrl(parts)))
+    return bind(_cut(url), lambda parts: then(SplitUrl(parts)))
 
 
 def query_string(url: Column) -> Column:
@@ -105,7 +102,7 @@ def parse_query(query: Column, keep_blank: bool = True) -> Column:
             ),
         )
 
-    return _one(pairs, grouped)
+    return bind(pairs, grouped)
 
 
 def escape_nested(params: Column) -> Column:
@@ -151,7 +148,7 @@ def append_param(url: Column, name: Column, value: Column) -> Column:
         return F.when(known, swapped).otherwise(F.concat(params, F.array(fresh)))
 
     def rebuilt(parts: SplitUrl) -> Column:
-        params = _one(parse_query(parts.query, keep_blank=False), replaced)
+        params = bind(parse_query(parts.query, keep_blank=False), replaced)
         return parts.rebuild(build_query(params, encode_form))
 
     return with_parts(url, rebuilt)
@@ -207,7 +204,7 @@ def _resolve(path: Column) -> Column:
         joined = F.array_join(F.concat(walked, F.coalesce(tail, F.array().cast("array<string>"))), "/")
         return F.when(joined == "", F.lit("/")).otherwise(joined)
 
-    return _one(parts, cleaned)
+    return bind(parts, cleaned)
 
 
 def join_url(base: Column, relative: Column) -> Column:
@@ -234,7 +231,7 @@ def join_url(base: Column, relative: Column) -> Column:
             .otherwise(build_url(b.scheme, netloc, path, query, r.fragment))
         )
 
-    return _one(F.struct(_cut(folder).alias("base"), _cut(rest).alias("rest")), joined)
+    return bind(F.struct(_cut(folder).alias("base"), _cut(rest).alias("rest")), joined)
 
 
 # -- next-page addresses ---------------------------------------------------------------
@@ -250,7 +247,7 @@ def _absolute(current: Column, href: Column, keep_slash: bool) -> Column:
         inside = F.when(href.startswith("/"), F.lit("")).otherwise(F.concat(folder, slash))
         return F.when(href.startswith("http"), href).otherwise(F.concat(parts.base(), inside, href))
 
-    return _one(F.struct(_cut(current).alias("parts"), href.alias("href")), resolved)
+    return bind(F.struct(_cut(current).alias("parts"), href.alias("href")), resolved)
 
 
 def next_by_link(current: Column, href: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagegrain import fixed_values as fixed
 from pagegrain import schemas
@@ -162,11 +163,11 @@ def with_task_id(tasks: DataFrame) -> DataFrame:
 def resolve(tasks: DataFrame, catalogue: DataFrame, use_saved: bool = True) -> DataFrame:
     """Tasks with their stored config, ``to_generate`` where there is none to use.
 
-    An empty stored config counts as none.
+    A stored config without any part, as an unreadable file leaves it, counts as
+    none; one with an empty list of selectors is a config.
     """
-    known = catalogue.select(
-        _safe().alias("_safe"), "selectors", "pagination", F.lit(use_saved).alias("_saved")
-    )
+    there = F.col("selectors").isNotNull() | F.col("pagination").isNotNull() | F.col("metadata").isNotNull()
+    known = catalogue.select(_safe().alias("_safe"), "selectors", "pagination", (F.lit(use_saved) & there).alias("_saved"))
     joined = tasks.join(known, _safe() == F.col("_safe"), "left")
     missing = ~F.coalesce("_saved", F.lit(False))
     return joined.select(
@@ -247,23 +248,40 @@ def response_json(response: Column) -> Column:
 
 
 def parse_response(response: Column, fallback: Column | None = None) -> Column:
-    """Config struct of a response; on bad JSON the ``fallback`` config or an empty one."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.CONFIG.fields[:2])
-    text = response_json(response)
-    parsed = F.from_json(
-        text, f"{fields}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    """Config struct of a response; on bad JSON the ``fallback`` config or an empty one.
+
+    Flags may come as ``true``, ``"true"`` or ``1``: they are read as text and
+    turned into booleans by what they say.
+    """
+    loose = T.StructType(
+        [T.StructField(f.name, T.StringType()) for f in schemas.SELECTOR]  # flags among them
+    )
+    config_type = T.StructType(
+        [T.StructField("selectors", T.ArrayType(loose)), T.StructField("pagination", schemas.PAGINATION)]
     )
+    text = response_json(response)
+    parsed = F.from_json(text, config_type, {"mode": "PERMISSIVE"})
     empty = F.struct(
         F.array().cast(schemas.CONFIG["selectors"].dataType).alias("selectors"),
         F.struct(
             F.lit("").alias("selector"), F.lit("link").alias("type"), F.lit(None).cast("string").alias("parameter")
         ).alias("pagination"),
     )
-    # One JSON object and nothing behind it, with fields of the expected types.
+
+    def flag(value: Column) -> Column:
+        said = F.lower(F.trim(value))
+        return F.when(said.isNotNull(), ~said.isin("", "false", "0", "0.0", "no", "none", "null", "[]", "{}"))
+
+    def typed(rule: Column) -> Column:
+        flags = {f.name for f in schemas.SELECTOR if isinstance(f.dataType, T.BooleanType)}
+        return F.struct(*[(flag(rule[n]) if n in flags else rule[n]).alias(n) for n in schemas.SELECTOR.names])
+
+    # One JSON object and nothing behind it.
     alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
     strict = F.try_parse_json(text).isNotNull() & F.json_object_keys(text).isNotNull()
-    good = F.coalesce(strict & alone & parsed["_bad"].isNull(), F.lit(False))
-    config = F.struct(parsed["selectors"].alias("selectors"), parsed["pagination"].alias("pagination"))
+    good = F.coalesce(strict & alone, F.lit(False))
+    rules = F.filter(parsed["selectors"], lambda rule: rule.isNotNull())
+    config = F.struct(F.transform(rules, typed).alias("selectors"), parsed["pagination"].alias("pagination"))
     return F.when(good, config).otherwise(empty if fallback is None else fallback)
 
 

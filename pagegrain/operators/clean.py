@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pagegrain import fixed_values as fixed
 from pagegrain.functions import text as texts
 from pagegrain.functions import values
+from pagegrain.functions.shown import as_text
 
 
 def _has_text(dtype: T.DataType) -> bool:
@@ -18,16 +19,18 @@ def _has_text(dtype: T.DataType) -> bool:
         return _has_text(dtype.elementType)
     if isinstance(dtype, T.StructType):
         return any(_has_text(f.dataType) for f in dtype)
+    if isinstance(dtype, T.MapType):
+        return _has_text(dtype.valueType)
     return isinstance(dtype, T.StringType)
 
 
 def _drop_empty(value: Column, dtype: T.DataType) -> Column:
-    """Collapse strings and turn empty strings, lists and structs into null, bottom up."""
+    """Collapse strings and turn empty strings, lists, maps and structs into null, bottom up."""
     if isinstance(dtype, T.StringType):
         return F.nullif(texts.collapse(value), F.lit(""))
     if isinstance(dtype, T.ArrayType):
         inner = dtype.elementType
-        if isinstance(inner, (T.StringType, T.ArrayType, T.StructType)):
+        if isinstance(inner, (T.StringType, T.ArrayType, T.StructType, T.MapType)):
             # A null list element that was null before is kept, an emptied one goes.
             pairs = F.transform(
                 value,
@@ -36,6 +39,23 @@ def _drop_empty(value: Column, dtype: T.DataType) -> Column:
             kept = F.filter(pairs, lambda pair: pair["was"] | pair["now"].isNotNull())
             value = F.transform(kept, lambda pair: pair["now"])
         return F.when(F.size(value) > 0, value)
+    if isinstance(dtype, T.MapType):
+        inner = dtype.valueType
+        if isinstance(inner, (T.StringType, T.ArrayType, T.StructType, T.MapType)):
+            # Emptied entries go; those under a ``_`` key, and those null before, stay.
+            def kept(key: Column, item: Column) -> Column:
+                return key.cast("string").startswith("_") | item.isNull()
+
+            pairs = F.transform_values(
+                value,
+                lambda key, item: F.struct(
+                    kept(key, item).alias("kept"),
+                    F.when(kept(key, item), item).otherwise(_drop_empty(item, inner)).alias("now"),
+                ),
+            )
+            left = F.map_filter(pairs, lambda _, pair: pair["kept"] | pair["now"].isNotNull())
+            value = F.transform_values(left, lambda _, pair: pair["now"])
+        return F.when(F.size(value) > 0, value)
     if isinstance(dtype, T.StructType):
         fields = {
             f.name: value[f.name] if f.name.startswith("_") else _drop_empty(value[f.name], f.dataType)
@@ -52,7 +72,7 @@ def clean_value(name: str, value: Column, dtype: T.DataType) -> Column:
         return value
     if isinstance(dtype, T.StringType):
         return F.nullif(texts.clean_string(value), F.lit(""))
-    if isinstance(dtype, (T.ArrayType, T.StructType)):
+    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
         if _has_text(dtype):
             value = texts.clean_nested(value, dtype)
         return _drop_empty(value, dtype)
@@ -73,13 +93,17 @@ def drop_empty_rows(records: DataFrame, ignore: tuple[str, ...] = ()) -> DataFra
 
 
 def standard_names(fields: list[str]) -> dict[str, str]:
-    """Variant field -> standard name, skipped where the standard name is itself a field."""
+    """Variant field -> standard name, skipped where the standard name is itself a field.
+
+    Spark tells no column names apart by case, so a field that is the standard name in
+    another case counts as one of its variants and meets the others in one column.
+    """
     mapping = {}
     for standard, variants in fixed.STANDARD_FIELDS.items():
         if standard in fields:
             continue
-        for variant in variants:
-            mapping.update({field: standard for field in fields if field.lower() == variant})
+        names = {standard, *variants}
+        mapping.update({field: standard for field in fields if field.lower() in names and field not in mapping})
     return mapping
 
 
@@ -95,10 +119,11 @@ def standardise_fields(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFr
 
 
 def first_set(records: DataFrame, names: list[str]) -> Column:
-    """First non-null of the columns; columns of different types meet as text."""
+    """First non-null of the columns; columns of different types meet as text, as Python prints it."""
     columns = [F.col(f"`{name}`") for name in names]
-    if len({records.schema[name].dataType.simpleString() for name in names}) > 1:
-        columns = [column.cast("string") for column in columns]
+    kinds = [records.schema[name].dataType for name in names]
+    if len({kind.simpleString() for kind in kinds}) > 1:
+        columns = [as_text(column, kind) for column, kind in zip(columns, kinds)]
     return F.coalesce(*columns) if len(columns) > 1 else columns[0]
 
 

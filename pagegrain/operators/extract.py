@@ -101,6 +101,20 @@ def page_items_by_row(markup: Column, rules: Column) -> Column:
     return read(markup, rules)
 
 
+def unusable_rules(catalogue: DataFrame) -> DataFrame:
+    """``task_id, name, selector, is_container``: catalogue rules that extraction cannot use.
+
+    A field rule listed here yields nothing, a container rule voids its task's records.
+    """
+
+    @F.arrow_udf("array<struct<name:string,selector:string,is_container:boolean>>")
+    def listed(lists: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("name", pa.string()), ("selector", pa.string()), ("is_container", pa.bool_())]))
+        return pa.array([rules_of.unusable(text) for text in lists.to_pylist()], kind)
+
+    return catalogue.select("task_id", F.inline(listed(F.to_json("selectors"))))
+
+
 def extract_by_task(visits: DataFrame, pages: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Records of visited pages, each under the selectors of its task.
 

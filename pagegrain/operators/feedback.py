@@ -98,8 +98,10 @@ def common_issues(feedback: DataFrame) -> DataFrame:
 
 
 def to_refine(feedback: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Low-rated entries with the stored selectors of their task."""
+    """Low-rated entries with the stored selectors of their task, matched by safe id like every lookup."""
     low = feedback.where(F.col("rating") < fixed.REFINE_BELOW).select(
         "task_id", "url", "data_description", "rating", "feedback", "timestamp"
     )
-    return low.join(catalogue.select("task_id", "selectors", "pagination"), "task_id")
+    safe = texts.safe_id(F.col("task_id"))
+    stored = catalogue.select(safe.alias("_safe"), "selectors", "pagination")
+    return low.join(stored, safe == F.col("_safe")).drop("_safe")

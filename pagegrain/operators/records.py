@@ -19,10 +19,16 @@ def _quoted(name: str) -> Column:
 
 
 def consolidate_fields(
-    records: DataFrame, mapping: dict[str, list[str]] | None = None, keep: tuple[str, ...] = ()
+    records: DataFrame,
+    mapping: dict[str, list[str]] | None = None,
+    keep: tuple[str, ...] = (),
+    types: dict[str, str] | None = None,
 ) -> DataFrame:
     """Target field = first non-null of its sources in list order; sources go away.
 
+    Sources of different types meet as text; ``types`` names a target's type instead,
+    and a source value that doesn't fit it counts as null.
+
     Fields no target uses pass through; one with a target's own name goes before it.
     A target none of whose sources exists is left out.
     """
@@ -32,7 +38,10 @@ def consolidate_fields(
     for target, sources in mapping.items():
         present = [name for name in sources if name in records.columns and name not in keep]
         if present:
-            columns[target] = first_set(records, present).alias(target)
+            if types and target in types:
+                columns[target] = F.coalesce(*[_quoted(name).try_cast(types[target]) for name in present]).alias(target)
+            else:
+                columns[target] = first_set(records, present).alias(target)
     for name in records.columns:
         if name not in used:
             value = _quoted(name)
@@ -50,6 +59,22 @@ def guess_keys(columns: list[str]) -> list[str]:
     return list(columns)
 
 
+def _ordered(value: Column, dtype: T.DataType) -> Column:
+    """A nested value with every map as its entries in order of key, so that equal maps are equal."""
+    if isinstance(dtype, T.MapType):
+        entries = F.transform(
+            F.map_entries(value),
+            lambda e: F.struct(e["key"].alias("key"), _ordered(e["value"], dtype.valueType).alias("value")),
+        )
+        return F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda item: _ordered(item, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        fields = [_ordered(value[f.name], f.dataType).alias(f.name) for f in dtype]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    return value
+
+
 def remove_duplicates(
     records: DataFrame,
     order_by: str,
@@ -61,16 +86,19 @@ def remove_duplicates(
     Asking a rank for its first row lets Spark thin each task's rows to one per key
     before the shuffle (``WindowGroupLimit`` in the plan), so a key that holds a
     third of all rows costs one row per task. ``string_key`` compares keys as
-    joined text, so that ``1`` equals ``'1'``.
+    joined text, so that ``1`` equals ``'1'``. Maps are equal whatever the order of
+    their entries.
     """
     names = keys or guess_keys([name for name in records.columns if name != order_by])
     parts = []
     for name in names:
-        nested = isinstance(records.schema[name].dataType, (T.ArrayType, T.StructType, T.MapType))
-        parts.append(F.to_json(_quoted(name)) if nested else _quoted(name))
+        dtype = records.schema[name].dataType
+        if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
+            parts.append(F.to_json(_ordered(_quoted(name), dtype)))
+        else:
+            parts.append(as_text(_quoted(name), dtype) if string_key else _quoted(name))
     if string_key:
-        texts = [F.coalesce(part.cast("string"), F.lit("None")) for part in parts]
-        parts = [F.concat_ws("|", *texts)]
+        parts = [F.concat_ws("|", *[F.coalesce(part, F.lit("None")) for part in parts])]
     return first_per_key(records, parts, [_quoted(order_by)])
 
 
@@ -92,7 +120,8 @@ def filter_records(records: DataFrame, conditions: dict) -> DataFrame:
 
     A plain value asks for equality; a dict may hold ``min`` and ``max`` (both
     inclusive), ``contains`` and ``regex``. A field that is not a column, like a
-    null, matches nothing. A bound of another type than its column raises.
+    null, matches nothing. A bound of another type than its column raises, and so
+    does equality between a text and a date or time, which could never match.
     """
     tests: list[Column] = []
     for name, condition in conditions.items():
@@ -100,6 +129,8 @@ def filter_records(records: DataFrame, conditions: dict) -> DataFrame:
             tests.append(F.lit(False))
             continue
         value, dtype = _quoted(name), records.schema[name].dataType
+        if isinstance(condition, str) and isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            raise TypeError(f"text {condition!r} does not fit column {name!r} of type {dtype.simpleString()}")
         if isinstance(condition, (str, int, float)):
             tests.append(value == F.lit(condition) if _fits(condition, dtype) else F.lit(False))
             continue
@@ -149,17 +180,17 @@ def union_records(*tables: DataFrame) -> DataFrame:
 def merge_records(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Deep merge on unique keys: the right value wins, struct fields merge field by field."""
     a, b = left.alias("a"), right.alias("b")
-    on = reduce(lambda x, y: x & y, [F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")) for key in keys])
+    on = reduce(lambda x, y: x & y, [F.col(f"a.`{key}`").eqNullSafe(F.col(f"b.`{key}`")) for key in keys])
     types_a = {f.name: f.dataType for f in left.schema}
     types_b = {f.name: f.dataType for f in right.schema}
     columns = []
     for name in [*types_a, *[name for name in types_b if name not in types_a]]:
         if name not in types_b:
-            column = F.col(f"a.{name}")
+            column = F.col(f"a.`{name}`")
         elif name not in types_a:
-            column = F.col(f"b.{name}")
+            column = F.col(f"b.`{name}`")
         else:
-            column = _merged(F.col(f"a.{name}"), F.col(f"b.{name}"), types_a[name], types_b[name])
+            column = _merged(F.col(f"a.`{name}`"), F.col(f"b.`{name}`"), types_a[name], types_b[name])
         columns.append(column.alias(name))
     return a.join(b, on, "full_outer").select(*columns)
 
@@ -195,16 +226,14 @@ def flatten_records(records: DataFrame, sep: str = "_") -> DataFrame:
     return records.select(*dict(leaves(records.schema, "", "")).values())
 
 
-def with_row_number(records: DataFrame, *order_by: str, name: str = "_index") -> DataFrame:
-    """Global 0-based position in the order of columns that are unique together.
+def _numbered_keys(keys: DataFrame, order: list[Column]) -> DataFrame:
+    """Keys with ``_index``, their 0-based place.
 
     Range-partition, sort each range, and cut the lineage there: the ranges are
     then files, so counting them and numbering their rows see the same rows even
-    if an executor is lost in between. The driver sees one count per range, and
-    no window runs over the whole table.
+    if an executor is lost in between. The driver sees one count per range.
     """
-    order = [_quoted(column) for column in order_by]
-    ranges = cut_lineage(records.repartitionByRange(*order).sortWithinPartitions(*order))
+    ranges = cut_lineage(keys.repartitionByRange(*order).sortWithinPartitions(*order))
     counts = ranges.groupBy(F.spark_partition_id().alias("at")).agg(F.count(F.lit(1)).alias("n"))
     sizes = {row["at"]: row["n"] for row in counts.collect()}
     starts = [0]
@@ -213,10 +242,52 @@ def with_row_number(records: DataFrame, *order_by: str, name: str = "_index") ->
     # The id holds the range in its upper bits and the place in it in the lower 33.
     ids = ranges.withColumn("_id", F.monotonically_increasing_id())
     start = F.get(F.lit(starts).cast("array<bigint>"), F.shiftright("_id", 33).cast("int"))
-    return ids.withColumn(name, start + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
+    return ids.withColumn("_index", start + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
 
 
-def with_chunks(records: DataFrame, size: int, *order_by: str, name: str = "_chunk") -> DataFrame:
-    """Number groups of ``size`` consecutive rows from 0."""
-    numbered = with_row_number(records, *order_by)
-    return numbered.withColumn(name, F.floor(F.col("_index") / size)).drop("_index")
+def _numbered(records: DataFrame, order_by: tuple[str, ...], group: int) -> tuple[DataFrame, int]:
+    """Records with ``_index``, and how many there are; groups of ``group`` consecutive rows share a task.
+
+    Only the order columns are sorted and stored, to find exact bounds at multiples of
+    ``group``. The bounds, at most one per shuffle partition, make the bucket of a row a
+    function of its key alone; the rows themselves are shuffled once, by bucket, and
+    numbered there.
+    """
+    keys = _numbered_keys(records.select(*[_quoted(name) for name in order_by]), [_quoted(name) for name in order_by])
+    total = keys.agg(F.max("_index")).first()[0]
+    total = 0 if total is None else total + 1
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per = group * max(1, -(-total // (group * parts)))
+    key = F.struct(*[_quoted(name).alias(f"k{at}") for at, name in enumerate(order_by)])
+    bounds = keys.where((F.col("_index") % per == 0) & (F.col("_index") > 0)).orderBy("_index").drop("_index").collect()
+    kinds = [records.schema[name].dataType for name in order_by]
+    if bounds:
+        rows = [
+            F.struct(*[F.lit(value).cast(kind).alias(f"k{at}") for at, (value, kind) in enumerate(zip(row, kinds))])
+            for row in bounds
+        ]
+        bucket = F.size(F.filter(F.array(*rows), lambda bound: bound <= key))
+    else:
+        bucket = F.lit(0)
+    sizes = {row["_bucket"]: row["n"] for row in keys.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts = [0]
+    for at in range(len(bounds)):
+        starts.append(starts[-1] + sizes.get(at, 0))
+    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy(*[_quoted(name) for name in order_by]))
+    start = F.get(F.lit(starts).cast("array<bigint>"), F.col("_bucket"))
+    rows = records.withColumn("_bucket", bucket)
+    return rows.withColumn("_index", start + nth - 1).drop("_bucket"), total
+
+
+def with_row_number(records: DataFrame, *order_by: str, name: str = "_index") -> DataFrame:
+    """Global 0-based position in the order of columns that are unique together."""
+    return _numbered(records, order_by, 1)[0].withColumnRenamed("_index", name)
+
+
+def with_chunks(
+    records: DataFrame, size: int, *order_by: str, name: str = "_chunk", count: str | None = None
+) -> DataFrame:
+    """Number groups of ``size`` consecutive rows from 0; ``count`` names a column for how many there are."""
+    numbered, total = _numbered(records, order_by, size)
+    chunks = numbered.withColumn(name, F.floor(F.col("_index") / size)).drop("_index")
+    return chunks.withColumn(count, F.lit(-(-total // size)).cast("bigint")) if count else chunks

@@ -292,6 +292,17 @@ def compile_rules(rules: list[dict]) -> dict:
     }
 
 
+def unusable(rules_json: str | None) -> list[dict]:
+    """Rules of a catalogue row whose selector is outside the grammar."""
+    found = []
+    for rule in json.loads(rules_json) if rules_json else []:
+        try:
+            compile_selector(rule.get("selector") or "*")
+        except ValueError:
+            found.append({"name": rule.get("name"), "selector": rule["selector"], "is_container": bool(is_container(rule))})
+    return found
+
+
 def compile_known(rules_json: str | None) -> dict | None:
     """Rules from a catalogue row: bad field selectors drop out, a bad container voids the row."""
     rules = json.loads(rules_json) if rules_json else []

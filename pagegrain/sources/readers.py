@@ -64,10 +64,25 @@ def read_feedback(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 def read_records(
     spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
 ) -> DataFrame:
-    """Scraped records (an array per file, or a record per line); a missing path gives no rows."""
+    """Scraped records (an array per file, or a record per line); a missing path gives no rows.
+
+    Unreadable files and lines are no records; ``read_bad_records`` lists them.
+    """
     try:
-        return read_json(spark, path, schema, multi_line).drop(BAD)
+        rows = read_json(spark, path, schema, multi_line)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+    return rows.where(F.col(BAD).isNull()).drop(BAD)
+
+
+def read_bad_records(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
+) -> DataFrame:
+    """``file, text`` of what ``read_records`` could not read."""
+    rows = read_json(spark, path, schema, multi_line)
+    # Spark refuses to read the text of bad rows alone, so the parsed columns are part of it.
+    parsed = F.to_json(F.struct(*[f"`{name}`" for name in schema.names]))
+    text = F.coalesce(F.col(BAD), F.concat(F.lit("\x00"), parsed))
+    return rows.select(F.col("_metadata.file_name").alias("file"), text.alias("text")).where(~F.col("text").startswith("\x00"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import logging
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,41 +66,38 @@ def export(records: DataFrame, path: str, format_type: str = "csv", mode: str =
 
 
 def export_formats(records: DataFrame, folder: str, formats: list[str] = ("csv", "json")) -> dict[str, str]:
-    """Write several formats from one computation; unknown ones are skipped.
+    """Write several formats; unknown ones are skipped.
 
-    A format that fails is logged and does not stop the others.
+    Each format computes the records anew, so nothing is held on executors. A
+    format that fails is logged and does not stop the others.
     """
     written = {}
-    kept = records.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for name in dict.fromkeys(f.lower() for f in formats):
-            if name not in FORMATS:
-                log.warning("format %s is not supported, skipped", name)
-                continue
-            try:
-                written[name] = FORMATS[name](kept, f"{folder}/{name}")
-            except Exception:
-                log.exception("export to %s failed", name)
-    finally:
-        kept.unpersist()
+    for name in dict.fromkeys(f.lower() for f in formats):
+        if name not in FORMATS:
+            log.warning("format %s is not supported, skipped", name)
+            continue
+        try:
+            written[name] = FORMATS[name](records, f"{folder}/{name}")
+        except Exception:
+            log.exception("export to %s failed", name)
     return written
 
 
 def export_chunks(
     records: DataFrame, folder: str, *order_by: str, chunk_size: int = 1000, format_type: str = "csv"
 ) -> str:
-    """Groups of exactly ``chunk_size`` consecutive rows, each in ``chunk=<n>`` as one file.
+    """Groups of exactly ``chunk_size`` consecutive rows, each one file in ``chunks=<of>/chunk=<n>``.
 
-    Chunks are spread by their number, so a task writes whole chunks and no chunk
-    is larger than its size.
+    The shuffle that numbers the rows already brings whole chunks to one task, which
+    writes them in order.
     """
-    chunks = with_chunks(records, chunk_size, *order_by, name="chunk").repartition("chunk")
-    ordered = chunks.sortWithinPartitions("chunk", *order_by)
+    chunks = with_chunks(records, chunk_size, *order_by, name="chunk", count="chunks")
+    ordered = chunks.sortWithinPartitions("chunks", "chunk", *order_by)
     if format_type.lower() == "json":
-        ordered.write.options(**JSON_OPTIONS).partitionBy("chunk").json(folder)
+        ordered.write.options(**JSON_OPTIONS).partitionBy("chunks", "chunk").json(folder)
     else:
-        ready = ordered.select(*csv_columns(records), "chunk")
-        ready.write.options(**CSV_OPTIONS).partitionBy("chunk").csv(folder)
+        ready = ordered.select(*csv_columns(records), "chunks", "chunk")
+        ready.write.options(**CSV_OPTIONS).partitionBy("chunks", "chunk").csv(folder)
     return folder
 
 
