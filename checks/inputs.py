@@ -79,6 +79,12 @@ def _named(text: str, name: str) -> str:
     return text.replace(f"from {name}", f"from {{{name}}}")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """The small test tables have one split each; deal their rows to all cores."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

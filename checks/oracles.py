@@ -424,6 +424,11 @@ _set(
       count(nullif({_as_text(AD)}, '')) as ads, cast(sum(length(nullif({clean(f"trim({unescape(H1)})")}, ''))) as bigint) as headline_chars
       from pages group by 1""",
     scrape_tasks=f"""select task_id, page_id, trim({unescape("data_description")}) as title from ({TASKS})""",
+    task_run=f"""with t as (select *, nullif({clean(f"trim({unescape('data_description')})")}, '') as title from ({TASKS})),
+      found as (select a.task_id, b.page_id - a.page_id + 1 as page_no, b.title from t a join t b on b.page_id in (a.page_id, a.page_id + 1)
+        where a.page_id % 3 <> 0 or a.page_id % 6 = 0)
+      select * from found where title is not null
+      union all select task_id, null, 'Improve the' from t where page_id % 3 = 0 and page_id % 6 <> 0""",
     record_chain=f"""with typed as (select {_typed} from ({ITEMS})),
       done as (select id, nullif({clean("name")}, '') as title, price, rating, nullif({clean("link")}, '') as url from typed),
       firsts as (select * from done qualify row_number() over (partition by title, price order by id) = 1)

@@ -33,7 +33,7 @@ def query(fn):
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.read_pages(spark, f"{sf}/pages.parquet")
+    return inputs.spread(readers.read_pages(spark, f"{sf}/pages.parquet"))
 
 
 def placed(df: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def c3_price(spark, sf):
 
 @query
 def c4_date(spark, sf):
-    return readers.spread(inputs.dates(spark, sf)).select("id", values.parse_date(F.col("published_date")).alias("published_date"))
+    return inputs.spread(inputs.dates(spark, sf)).select("id", values.parse_date(F.col("published_date")).alias("published_date"))
 
 
 @query
@@ -500,7 +500,7 @@ def e3_clean_string(spark, sf):
 
 @query
 def e3_clean_documents(spark, sf):
-    docs = readers.spread(inputs.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = inputs.spread(inputs.table(spark, sf, "documents").select("doc_id", "text"))
     return docs.select("doc_id", text.clean_string(F.col("text")).alias("text"))
 
 
@@ -931,6 +931,31 @@ def scrape_tasks(spark, sf):
     return extract.record_columns(found, {"title": False}).select("task_id", "page_id", "title")
 
 
+@query
+def task_run(spark, sf):
+    """The main flow over all pages: two stored pages a task; every third task's rule finds nothing at first,
+    and every second of those gets a refined rule that does."""
+    stored = pages(spark, sf)
+    link = stored.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
+    anchor = F.concat(F.lit('<a class="next" href="'), F.col("next_url"), F.lit('">next</a>'))
+    chained = stored.join(link, "page_id", "left").select(
+        "page_id", "url", F.concat(F.coalesce(anchor, F.lit("")), "html").alias("html")
+    )
+    tasks = inputs.tasks(spark, sf).withColumn("pages", F.lit(2))
+    following = F.struct(F.lit("a.next").alias("selector"), F.lit("link").alias("type"), F.lit(None).cast("string").alias("parameter"))
+
+    def configs(rows, selector):
+        one = F.struct(*[(selector if n == "selector" else F.lit("title") if n == "name" else F.lit(None)).cast(schemas.SELECTOR[n].dataType).alias(n) for n in schemas.SELECTOR.names])
+        return store.stamp(rows.select("task_id", "url", "data_description", F.array(one).alias("selectors"), following.alias("pagination")), F.lit(1.0), "given").select(*schemas.CATALOGUE.names)
+
+    first = configs(tasks, F.when(F.col("page_id") % 3 == 0, F.lit("video")).otherwise(F.lit("h1")))
+    refined = configs(tasks.where(F.col("page_id") % 6 == 0), F.lit("h1"))
+    done = jobs.run_tasks(tasks, chained, first, {"title": False}, refined, STAMP)
+    found = done.records.select("task_id", F.col("page_no").cast("bigint").alias("page_no"), "title")
+    left = done.retry.select("task_id", F.lit(None).cast("bigint").alias("page_no"), F.left("prompt", F.lit(11)).alias("title"))
+    return found.unionByName(left)
+
+
 @query
 def record_chain(spark, sf):
     """Type, clean, consolidate, dedupe, filter: the library chain on one table."""

@@ -22,17 +22,20 @@ def page_addresses(pages: DataFrame, at: Column | None = None) -> DataFrame:
     return pages.groupBy(at.alias("_at")).agg(F.min("page_id").alias("page_id"))
 
 
-def _raw_links(wanted: DataFrame, pages: DataFrame, pagination: dict | None) -> DataFrame:
+def _raw_links(wanted: DataFrame, pages: DataFrame) -> DataFrame:
     """``page_id, _rule, _raw``: the attribute a rule needs, for each wanted page and rule."""
     work = pages.select("page_id", "html").join(wanted, "page_id")
-    if pagination is not None:
-        raw = F.get(page_items(F.col("html"), pagination_rule(pagination)), F.lit(0))["raw"]
-    else:
-        rule = raw_rule(F.col("_rule.selector"), F.col("_rule.type"))
-        raw = F.get(F.get(page_items_by_row(F.col("html"), rule), F.lit(0))["raw"], F.lit(0))
+    rule = raw_rule(F.col("_rule.selector"), F.col("_rule.type"))
+    raw = F.get(F.get(page_items_by_row(F.col("html"), rule), F.lit(0))["raw"], F.lit(0))
     return work.select("page_id", "_rule", raw.alias("_raw"))
 
 
+def _all_links(pages: DataFrame, pagination: dict) -> DataFrame:
+    """``page_id, _raw`` of every page that has the attribute one rule needs: one scan, a narrow table."""
+    raw = F.get(page_items(F.col("html"), pagination_rule(pagination)), F.lit(0))["raw"]
+    return cut_lineage(pages.select("page_id", raw.alias("_raw")).where(F.col("_raw").isNotNull()))
+
+
 def walk_pages(
     tasks: DataFrame,
     pages: DataFrame,
@@ -46,10 +49,12 @@ def walk_pages(
     and the column may be missing. A walk ends at a page that is not stored, without
     a next link, or with a link to the same address. Longer loops run to the limit.
 
-    Rounds join narrow tables on the address; markup joins on the page id, once per
-    visited page and rule, however many tasks meet there, and stays in place while
-    the visited ids are few enough to broadcast. Each round's visits are checkpointed,
-    so round n does not replay the rounds before it.
+    Rounds join narrow tables on the address. With one rule for all, a single scan
+    reads the links of every page before the first round. With a rule per task, markup
+    joins on the page id in each round, for visited pages and their own rules only (a
+    scan that tried all rules of a host on all its pages would grow with their product),
+    and stays in place while the visited ids are few enough to broadcast. Each round's
+    visits are checkpointed, so round n does not replay the rounds before it.
     """
     if pagination is not None and not pagination.get("selector"):
         max_pages = 1
@@ -62,22 +67,26 @@ def walk_pages(
     if max_pages is None:
         max_pages = tasks.agg(F.max(F.coalesce("pages", F.lit(1)))).first()[0] or 0
     frontier = tasks.select("task_id", F.coalesce("pages", F.lit(1)).alias("_pages"), rule.alias("_rule"), "url")
-    rounds = []
+    rounds, links = [], None
     for number in range(1, max_pages + 1):
         asked = frontier.where(F.col("_pages") >= number).withColumn("_at", address)
         hits = cut_lineage(asked.join(addresses, "_at").drop("_at"))
         rounds.append(hits.select("task_id", F.lit(number).alias("page_no"), "url", "page_id"))
-        if number == max_pages:
+        if number == max_pages or hits.isEmpty():
             break
         going = hits.where((F.col("_pages") > number) & (F.col("_rule.selector") != ""))
-        wanted = going.select("page_id", "_rule").distinct()
-        size = text_bytes(wanted)
-        if not size:
-            break
-        wanted = broadcast_if_small(wanted, size=size)
+        if pagination is not None:
+            if links is None:
+                links = _all_links(pages, pagination)
+            linked = going.join(links, "page_id")
+        else:
+            wanted = going.select("page_id", "_rule").distinct()
+            size = text_bytes(wanted)
+            if not size:
+                break
+            linked = going.join(_raw_links(broadcast_if_small(wanted, size=size), pages), ["page_id", "_rule"])
         frontier = (
-            going.join(_raw_links(wanted, pages, pagination), ["page_id", "_rule"])
-            .withColumn("_next", following)
+            linked.withColumn("_next", following)
             .where(F.col("_next") != F.col("url"))
             .select("task_id", "_pages", "_rule", F.col("_next").alias("url"))
         )

@@ -12,19 +12,9 @@ from pagegrain import schemas
 BAD = "_corrupt_record"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for costly row-wise work on a table with fewer splits than cores.
-
-    For scans and projections over them. A table of at least as many splits as
-    cores, so any large one, is returned as it is, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Stored pages."""
-    return spread(spark.read.schema(schemas.PAGES).parquet(path))
+    return spark.read.schema(schemas.PAGES).parquet(path)
 
 
 def read_json(
