@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pagegrain.llm.repeats import Kind, remove_repeats
 
 WINDOW = 100
-GRAM = 20
 
 
 class Stream:
@@ -119,4 +118,4 @@ def find(fragments: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    return remove_repeats(docs, Kind(window, max(1, window // 5), False), find, doc_id, text, with_text)
+    return remove_repeats(docs, Kind(window, max(1, window * 2 // 5), False), find, doc_id, text, with_text)

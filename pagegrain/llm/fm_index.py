@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pagegrain.llm.repeats import Kind, remove_repeats
 
 WINDOW = 20
-KIND = Kind(WINDOW, 5, True)
 
 
 class WaveletMatrix:
@@ -113,4 +112,4 @@ def find(fragments: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndar
 
 
 def remove_repeated_words(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    return remove_repeats(docs, Kind(window, max(1, window // 4), True), find, doc_id, text, with_text)
+    return remove_repeats(docs, Kind(window, max(1, window * 2 // 5), True), find, doc_id, text, with_text)

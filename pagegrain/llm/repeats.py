@@ -8,8 +8,9 @@ equal windows within a shard.
 2. Anchors that occur once in the corpus end there: their windows are unique. Counting is a two-column
    aggregation with partial sums, and hot anchors join back to their documents by an equi-join.
 3. Equal fragments become one, with its first place in the corpus; every later copy is covered whole.
-4. The first places' fragments are dealt by anchor to shards of bounded size, and the shard's index
-   reports windows that occur earlier. The fragments of an anchor with over ``HOT`` different ones would
+4. Where an anchor has several different fragments, these are dealt by anchor to shards of bounded size,
+   and the shard's index reports windows that occur earlier (an anchor's only fragment has no other to
+   share a window with). The fragments of an anchor with over ``HOT`` different ones would
    overfill a shard; they are cut into single windows, and equal windows meet in an aggregation.
 5. Reported spans are gathered by document and cut out.
 
@@ -158,7 +159,7 @@ def _cut(kind: Kind, whole: bool):
 
 def _contents(kind: Kind):
     """The symbols of first fragments, as bytes."""
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("content", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("content", pa.binary())])
 
     def run(batches):
         open_ = zstandard.ZstdDecompressor()
@@ -167,7 +168,7 @@ def _contents(kind: Kind):
                 out = []
                 for row, doc, packed, wanted in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
                     symbols = kind.symbols(open_.decompress(packed))
-                    out += [(w["anchor"], doc, row, w["start"], kind.joined(symbols[w["start"] : w["start"] + w["length"]])) for w in wanted]
+                    out += [(w["anchor"], w["hot"], doc, row, w["start"], kind.joined(symbols[w["start"] : w["start"] + w["length"]])) for w in wanted]
                 yield record(schema, *(map(list, zip(*out)) if out else [[] for _ in schema]))
 
     return run
@@ -262,30 +263,35 @@ def remove_repeats(docs: DataFrame, kind: Kind, find: Callable, doc_id: str = "d
     # Repeated rows are one document.
     open_ = cut.where(F.size("fragments") > 0)
     places = open_.select("doc_id", "row", F.explode("fragments").alias("f")).select("doc_id", "row", "f.*")
-    firsts = places.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.first("length").alias("length"))
-    firsts = stored(firsts.select("anchor", "content", "first.*", "length"), "firsts")
-    named = firsts.select("anchor", "content", F.col("row").alias("first_row"), F.col("start").alias("first_start"))
-    copies = places.join(named, ["anchor", "content"]).where("row <> first_row or start <> first_start")
-    copies = copies.select("row", "start", (F.col("start") + F.col("length")).alias("end"))
-
-    wanted = firsts.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "length")).alias("wanted"))
-    texts = open_.select("row", "doc_id", "packed").dropDuplicates(["row"])
-    contents = "anchor long, doc_id long, row long, start long, content binary"
-    first = stored(texts.join(wanted, "row").select("row", "doc_id", "packed", "wanted").mapInArrow(_contents(kind), contents), "contents")
-    hot = first.groupBy("anchor").agg(F.count("*").alias("many")).where(F.col("many") > HOT).select("anchor")
-    single = first.join(hot, "anchor", "left_semi").select("doc_id", "row", "start", "content")
-    single = single.mapInArrow(_single_windows(kind), "doc_id long, row long, start long, content binary")
+    firsts = places.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "row", "start", "length")).alias("first"))
+    firsts = stored(firsts.select("anchor", "content", "first.*"), "firsts")
+
+    # A fragment that is the only one of its anchor has no other to share a window with.
+    several = firsts.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1")
+    wanted = firsts.join(several, "anchor").select("row", F.struct("anchor", "start", "length", (F.col("many") > HOT).alias("hot")).alias("f"))
+    wanted = wanted.groupBy("row").agg(F.collect_list("f").alias("wanted"))
+    contents = "anchor long, hot boolean, doc_id long, row long, start long, content binary"
+    texts = open_.select("row", "doc_id", "packed").join(wanted, "row").select("row", "doc_id", "packed", "wanted")
+    first = stored(texts.mapInArrow(_contents(kind), contents), "contents")
+
+    # Hot anchors: equal windows become one; the later ones are covered.
     order = F.struct("doc_id", "row", "start")
+    single = first.where("hot").select("doc_id", "row", "start", "content")
+    single = single.mapInArrow(_single_windows(kind), "doc_id long, row long, start long, content binary")
     least = single.groupBy("content").agg(F.min(order).alias("least"))
     later = single.join(least, "content").where(order > F.col("least")).select("row", "start", (F.col("start") + kind.window).alias("end"))
-    dealt = first.join(hot, "anchor", "left_anti").select(first.columns)
 
+    dealt = first.where("not hot").drop("hot")
     size = dealt.agg(F.sum(F.octet_length("content")).alias("bytes")).first()["bytes"] or 0
     shards = max(1, -(-int(size) // SHARD_BYTES))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    found = dealt.groupBy("shard").applyInArrow(_reported(kind, find), "row long, start long, end long")
+    found = stored(dealt.groupBy("shard").applyInArrow(_reported(kind, find), "row long, start long, end long"), "found")
 
+    named = firsts.select("anchor", "content", F.col("row").alias("first_row"), F.col("start").alias("first_start"))
+    copies = places.join(named, ["anchor", "content"]).where("row <> first_row or start <> first_start")
+    copies = copies.select("row", "start", (F.col("start") + F.col("length")).alias("end"))
     spans = copies.unionByName(found).unionByName(later).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    spans = stored(spans, "spans")
     out = "doc_id long, n long, n_removed long, n_spans long, spans array<long>, kept_sha256 string" + ", kept binary" * with_text
     done = cut.join(spans, "row", "left") if with_text else open_.join(spans, "row", "left")
     done = done.select("doc_id", "n", "digest", "packed", "found").mapInArrow(_finished(kind, with_text), out)
