@@ -58,6 +58,21 @@ select page_id as request_id, concat(url, '/more') as url,
     else concat('other ', data_description, ' words') end as data_description
 from ({TASKS}) t"""
 
+# One host whose descriptions follow a template; a request has a number of its own,
+# or the stored one, one word more, or half the words.
+HOT_STORED = """
+select p_partkey, md5(cast(p_partkey as string)) as task_id, 'https://one.example.com/list' as url,
+  concat('name price and full size of the item number ', cast(p_partkey as string), ' sold in the shop') as data_description
+from part"""
+HOT_REQUESTS = """
+select p_partkey as request_id, 'https://one.example.com/more' as url,
+  case p_partkey%5 when 0 then concat('name price and full size of the item number ', cast(p_partkey as string), ' sold in the shop today')
+    when 1 then concat('name price and full size of the item number r', cast(p_partkey as string), ' sold in the shop')
+    when 2 then concat('price of item number ', cast(p_partkey as string), ' r', cast(p_partkey as string))
+    when 3 then concat('price r', cast(p_partkey as string), ' and colour with all other things')
+    else concat('name price and full size of the item number ', cast(p_partkey as string), ' r', cast(p_partkey as string), ' shop') end as data_description
+from part"""
+
 LINKS = """
 select page_id, case page_id%4
   when 0 then concat(url, case when url like '%?%' then '&' else '?' end, 'q=a%26b%3Dc&a=1&b=&a=3&flag')
@@ -109,5 +124,13 @@ def requests(spark, sf) -> DataFrame:
     return sql(spark, sf, REQUESTS, "pages")
 
 
+def hot_stored(spark, sf) -> DataFrame:
+    return sql(spark, sf, HOT_STORED, "part")
+
+
+def hot_requests(spark, sf) -> DataFrame:
+    return sql(spark, sf, HOT_REQUESTS, "part")
+
+
 def links(spark, sf) -> DataFrame:
     return sql(spark, sf, LINKS, "pages")

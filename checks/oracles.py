@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.inputs import DATES, FEEDBACK, ITEMS, LINKS, REQUESTS, TASKS
+from checks.inputs import DATES, FEEDBACK, HOT_REQUESTS, HOT_STORED, ITEMS, LINKS, REQUESTS, TASKS
 
 ORACLES: dict[str, str] = {}
 
@@ -332,6 +332,20 @@ _set(
 )
 
 # -- I ------------------------------------------------------------------------------
+def _similar(requests: str, tasks: str) -> str:
+    return f"""with asked as (
+        select request_id, split_part(string_split(url, '//')[-1], '/', 1) as domain,
+          list_distinct(list_filter(string_split({collapse("lower(data_description)")}, ' '), lambda x: x <> '')) as words from ({requests})),
+      stored as (
+        select task_id, split_part(string_split(url, '//')[-1], '/', 1) as domain,
+          list_distinct(list_filter(string_split({collapse("lower(data_description)")}, ' '), lambda x: x <> '')) as words from ({tasks})),
+      scored as (
+        select request_id, task_id, len(list_intersect(a.words, b.words)) / greatest(len(a.words), len(b.words)) as score
+        from asked a join stored b using (domain))
+      select request_id, task_id as match_task_id, score from scored where score > 0.5
+      qualify row_number() over (partition by request_id order by score desc, task_id) = 1"""
+
+
 _set(
     i1_save=f"""with stored as ({FLAT_CATALOGUE}, page_id from ({TASKS})),
       incoming as (select * replace (generated_at + 10 as generated_at) from stored where url like 'https%'),
@@ -343,17 +357,8 @@ _set(
     i3_list=f"""select task_id, generated_at, cast(cast(generated_at as decimal(20, 6)) as varchar) as listed_as
       from ({FLAT_CATALOGUE} from ({TASKS}))""",
     i4_delete=f"{FLAT_CATALOGUE} from ({TASKS}) where not contains(url, '/en/')",
-    i5_similar=f"""with asked as (
-        select request_id, split_part(string_split(url, '//')[-1], '/', 1) as domain,
-          list_distinct(list_filter(string_split({collapse("lower(data_description)")}, ' '), lambda x: x <> '')) as words from ({REQUESTS})),
-      stored as (
-        select task_id, split_part(string_split(url, '//')[-1], '/', 1) as domain,
-          list_distinct(list_filter(string_split({collapse("lower(data_description)")}, ' '), lambda x: x <> '')) as words from ({TASKS})),
-      scored as (
-        select request_id, task_id, len(list_intersect(a.words, b.words)) / greatest(len(a.words), len(b.words)) as score
-        from asked a join stored b using (domain))
-      select request_id, task_id as match_task_id, score from scored where score > 0.5
-      qualify row_number() over (partition by request_id order by score desc, task_id) = 1""",
+    i5_similar=_similar(REQUESTS, TASKS),
+    i5_hot_host=_similar(HOT_REQUESTS, HOT_STORED),
     i6_resolve=f"""select task_id, url not like 'https%' as to_generate, case when url like 'https%' then 'h1' end as selector from ({TASKS})""",
     i9_loose_flags="""select p_partkey, p_name as selector, case p_partkey % 5 when 0 then true when 1 then true when 2 then false when 3 then false end as multiple
       from part""",

@@ -764,6 +764,19 @@ def i5_similar(spark, sf):
     return found.select("request_id", "match_task_id", "score")
 
 
+@query
+def i5_hot_host(spark, sf):
+    """As many requests as stored tasks on one host, all from one template."""
+    made = inputs.hot_stored(spark, sf)
+    nothing = F.lit(None)
+    kept = made.select(
+        "task_id", nothing.cast(schemas.CONFIG["selectors"].dataType).alias("selectors"),
+        nothing.cast(schemas.CONFIG["pagination"].dataType).alias("pagination"), F.struct("url", "data_description").alias("metadata"),
+    )
+    found = store.find_similar(inputs.hot_requests(spark, sf), kept)
+    return found.select("request_id", "match_task_id", "score")
+
+
 @query
 def i6_resolve(spark, sf):
     known = stored_catalogue(spark, sf).where(F.col("metadata.url").startswith("https"))

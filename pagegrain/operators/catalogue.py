@@ -69,21 +69,66 @@ def similarity(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b))
 
 
-def _prefixes(sets: DataFrame, counts: DataFrame, name: str, *carried: str) -> DataFrame:
-    """The rarest words of each set that a match above one half cannot all miss.
+#: A word that more stored sets of a host hold than this is common there.
+COMMON = 50
 
-    More than half of the words of either set must be shared, so of ``n`` words
-    the ``ceil(n / 2)`` rarest hold at least one shared word.
+
+def _parts(sets: DataFrame, counts: DataFrame, *carried: str) -> DataFrame:
+    """Each set with its common words, rarest first, and its other words."""
+    known = sets.select("domain", "words", *carried, F.explode("words").alias("word")).join(
+        counts, ["domain", "word"], "left"
+    )
+    n = F.coalesce("n", F.lit(0))
+    ranked = F.array_sort(F.collect_list(F.when(n > COMMON, F.struct(n.alias("n"), "word"))))
+    return known.groupBy("domain", "words", *carried).agg(
+        F.transform(ranked, lambda pair: pair["word"]).alias("common"),
+        F.collect_list(F.when(n <= COMMON, F.col("word"))).alias("rare"),
+    )
+
+
+def _fit(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can share over half of the larger one."""
+    return (a * 2 > b) & (b * 2 > a)
+
+
+def _by_rare_words(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """Scored pairs that share a word which at most ``COMMON`` stored sets of the host hold.
+
+    A pair is scored at its first such word only.
     """
-    ranked = (
-        sets.select("domain", "words", *carried, F.explode("words").alias("word"))
-        .join(counts, ["domain", "word"], "left")
-        .groupBy("domain", "words", *carried)
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("ranked"))
+    a = asked.select("domain", "words", F.col("rare").alias("a_rare"), F.explode("rare").alias("word"))
+    b = stored.select("domain", F.col("words").alias("b_words"), "task_id", F.col("rare").alias("b_rare"), F.explode("rare").alias("word"))
+    first = F.col("word") == F.array_min(F.array_intersect("a_rare", "b_rare"))
+    pairs = a.join(b, ["domain", "word"]).where(_fit(F.size("words"), F.size("b_words")) & first)
+    return pairs.select("domain", "words", "task_id", similarity(F.col("words"), F.col("b_words")).alias("score"))
+
+
+def _by_common_words(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """Scored pairs by their common words alone, once per distinct (common words, size).
+
+    Sets made from one template differ in rare words only, so they are one class on
+    either side. To share over half of ``n`` words within the common ones, a pair must
+    meet on one of the rarest ``common - n // 2`` of either set.
+    """
+
+    def prefix(classes: DataFrame) -> Column:
+        return F.explode(F.slice("common", F.lit(1), F.greatest(F.size("common") - F.floor(F.col("size") / 2).cast("int"), F.lit(0))))
+
+    own = asked.select("domain", "words", "common", F.size("words").alias("size"))
+    classes = own.select("domain", "common", "size").distinct()
+    kept = stored.groupBy("domain", "common", F.size("words").alias("size")).agg(F.min("task_id").alias("task_id"))
+    a = classes.select("domain", F.col("common").alias("a_common"), F.col("size").alias("a_size"), prefix(classes).alias("word"))
+    b = kept.select("domain", F.col("common").alias("b_common"), F.col("size").alias("b_size"), "task_id", prefix(kept).alias("word"))
+    shared = F.size(F.array_intersect("a_common", "b_common")) / F.greatest("a_size", "b_size")
+    pairs = a.join(b, ["domain", "word"]).where(_fit(F.col("a_size"), F.col("b_size")))
+    best = (
+        pairs.withColumn("score", shared)
+        .where(F.col("score") > fixed.SIMILARITY_THRESHOLD)
+        .groupBy("domain", F.col("a_common").alias("common"), F.col("a_size").alias("size"))
+        .agg(F.min(F.struct((-F.col("score")).alias("minus"), "task_id")).alias("best"))
     )
-    rarest = F.slice("ranked", F.lit(1), F.ceil(F.size("ranked") / 2).cast("int"))
-    return ranked.select(
-        "domain", F.col("words").alias(name), *carried, F.explode(rarest["word"]).alias("word")
+    return own.join(best, ["domain", "common", "size"]).select(
+        "domain", "words", F.col("best.task_id").alias("task_id"), (-F.col("best.minus")).alias("score")
     )
 
 
@@ -96,8 +141,10 @@ def find_similar(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     Both sides first shrink to distinct (host, word set) pairs, so a description
     that fills a third of the rows is compared once. Equal sets meet in a plain
-    equi-join. The other sets meet on their rare words only, which is exact for a
-    score above one half; no full host group is ever paired with another.
+    equi-join. Other pairs either share a word that few stored sets of the host hold,
+    and meet there, or share common words alone; then their score depends on these
+    and the sizes only, and whole classes of sets are compared at once. The better of
+    the two is the exact best match, and no full host group is paired with another.
     """
     asked = requests.withColumns(
         {
@@ -127,15 +174,9 @@ def find_similar(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     counts = stored.select("domain", F.explode("words").alias("word")).groupBy("domain", "word").agg(
         F.count(F.lit(1)).alias("n")
     )
-    a, b = F.col("a_words"), F.col("b_words")
-    sizes_fit = (F.size(a) * 2 > F.size(b)) & (F.size(b) * 2 > F.size(a))
-    scored = (
-        _prefixes(rest, counts, "a_words")
-        .join(_prefixes(stored, counts, "b_words", "task_id"), ["domain", "word"])
-        .where(sizes_fit)
-        .select("domain", F.col("a_words").alias("words"), "task_id", similarity(a, b).alias("score"))
-        .where(F.col("score") > fixed.SIMILARITY_THRESHOLD)
-    )
+    asked_parts, stored_parts = cut_lineage(_parts(rest, counts)), cut_lineage(_parts(stored, counts, "task_id"))
+    scored = _by_rare_words(asked_parts, stored_parts).unionByName(_by_common_words(asked_parts, stored_parts))
+    scored = scored.where(F.col("score") > fixed.SIMILARITY_THRESHOLD)
     near = (
         scored.groupBy("domain", "words")
         .agg(F.min(F.struct((-F.col("score")).alias("minus"), "task_id")).alias("best"))
