@@ -43,6 +43,7 @@ RATE = 20.0
 LIMIT = 75  # per cent
 MARGIN = 0.25  # six standard errors of an estimate near the limit
 BLOCK = 512
+PAIRS = 16384  # pairs estimated at once
 SALT = 256  # partners that share one copy of a set
 
 
@@ -188,36 +189,56 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(_checked, "a long, b long")
 
 
+def _across(table: pa.Table, starts: np.ndarray):
+    """(a, b) of likely pairs within the groups of rows that begin at ``starts``, from different components."""
+    i, j, ids, component, n, block = (np.asarray(table[c]) for c in ("i", "j", "id", "component", "n", "block"))
+    k = _matrix(table["sketch"].combine_chunks())
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def likely():
+        x, y = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        keep = (100 * n[y] >= LIMIT * n[x]) & (100 * n[x] >= LIMIT * n[y])
+        x, y = x[keep], y[keep]
+        for at in range(0, len(x), PAIRS):
+            u, v = x[at : at + PAIRS], y[at : at + PAIRS]
+            near = (k[u] == k[v]).sum(1) >= k.shape[1] * (LIMIT / 100 - MARGIN)
+            u, v = u[near], v[near]
+            ok = _likely(k[u], k[v], n[u], n[v])
+            yield np.minimum(ids[u], ids[v])[ok], np.maximum(ids[u], ids[v])[ok]
+
+    for start, end in zip(starts, [*starts[1:], len(ids)]):
+        if i[start] == j[start]:
+            x, y = (c + start for c in np.triu_indices(end - start, 1))
+        else:
+            of = block[start:end]
+            x, y = (c.ravel() + start for c in np.meshgrid(np.flatnonzero(of == i[start]), np.flatnonzero(of == j[start])))
+        other = component[x] != component[y]
+        held.append((x[other], y[other]))
+        if sum(len(c) for c, _ in held) >= PAIRS:
+            yield from likely()
+    if held:
+        yield from likely()
+
+
 def _block_pairs(batches):
-    """Rows come sorted by (key, i, j); within such a group, pairs of classes from different components."""
+    """Rows come sorted by (key, i, j); groups of such rows are bounded, and the last of a batch waits for the next."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs(rows: list) -> pa.RecordBatch:
-        ids, component, n, block = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5, 7))
-        k = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(len(rows), -1)
-        i, j = rows[0][1], rows[0][2]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for x in left:
-            y = right[(component[right] != component[x]) & (ids[right] > ids[x] if i == j else True)]
-            y = y[(100 * n[y] >= LIMIT * n[x]) & (100 * n[x] >= LIMIT * n[y])]
-            y = y[(k[y] == k[x]).sum(1) >= k.shape[1] * (LIMIT / 100 - MARGIN)] if len(y) else y
-            if len(y):
-                y = y[_likely(np.broadcast_to(k[x], (len(y), k.shape[1])), k[y], np.full(len(y), n[x]), n[y])]
-                a.append(np.minimum(ids[x], ids[y]))
-                b.append(np.maximum(ids[x], ids[y]))
-        empty = np.zeros(0, np.int64)
-        return record(schema, np.concatenate([*a, empty]), np.concatenate([*b, empty]))
-
-    rows: list = []
+    waiting = None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and row[:3] != rows[0][:3]:
-                yield pairs(rows)
-                rows = []
-            rows.append(row)
-    if rows:
-        yield pairs(rows)
+        rows = pa.Table.from_batches([batch])
+        rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+        if not rows.num_rows:
+            continue
+        key, i, j = (np.asarray(rows[c]) for c in ("key", "i", "j"))
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        waiting = rows.slice(int(starts[-1]))
+        if len(starts) > 1:
+            for a, b in _across(rows.slice(0, int(starts[-1])), starts[:-1]):
+                yield record(schema, a, b)
+    if waiting is not None:
+        for a, b in _across(waiting, np.zeros(1, np.int64)):
+            yield record(schema, a, b)
 
 
 def _mixed_pairs(members: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
@@ -229,7 +250,9 @@ def _mixed_pairs(members: DataFrame, found: DataFrame, classes: DataFrame) -> Da
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.join(classes.select("id", "n", "sketch"), "id")
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "n", "sketch", "block")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # Work grows with pairs, not bytes, so the number of tasks isn't left to the rows' size.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(_block_pairs, "a long, b long").distinct()
 
 
