@@ -100,7 +100,9 @@ def best_by_hand(url, text, rows):
     return best[1] and (best[1], best[0])
 
 
-def test_similar_equals_brute_force(spark):
+@pytest.mark.parametrize("common", [0, 6, 50])
+def test_similar_equals_brute_force(spark, monkeypatch, common):
+    monkeypatch.setattr(catalogue, "COMMON", common)
     rng = random.Random(7)
     vocabulary = [f"w{at}" for at in range(12)] + ["the", "of", "data"]
     host = lambda: rng.choice(["http://hot.com/x", "http://hot.com/y", "http://b.com", "c.com/z"])
