@@ -886,7 +886,7 @@ def j4_formats(spark, sf):
 def j5_chunks(spark, sf):
     folder = storage.scratch_path(spark, "chunks")
     table = inputs.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    writers.export_chunks(table, folder, "o_orderkey", chunk_size=1000, format_type="json")
+    writers.export_chunks(table, folder, "o_orderkey", chunk_size=1000, format_type="json", with_count=True)
     back = spark.read.schema("o_orderkey bigint, o_orderstatus string, chunks bigint, chunk bigint").json(folder)
     return back.withColumn("file", F.col("_metadata.file_path")).groupBy("chunk", "chunks").agg(
         F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"),

@@ -84,20 +84,28 @@ def export_formats(records: DataFrame, folder: str, formats: list[str] = ("csv",
 
 
 def export_chunks(
-    records: DataFrame, folder: str, *order_by: str, chunk_size: int = 1000, format_type: str = "csv"
+    records: DataFrame,
+    folder: str,
+    *order_by: str,
+    chunk_size: int = 1000,
+    format_type: str = "csv",
+    with_count: bool = False,
 ) -> str:
-    """Groups of exactly ``chunk_size`` consecutive rows, each one file in ``chunks=<of>/chunk=<n>``.
+    """Groups of exactly ``chunk_size`` consecutive rows, each one file in ``chunk=<n>``.
+
+    With ``with_count`` the path also says of how many: ``chunks=<of>/chunk=<n>``.
 
     The shuffle that numbers the rows already brings whole chunks to one task, which
     writes them in order.
     """
-    chunks = with_chunks(records, chunk_size, *order_by, name="chunk", count="chunks")
-    ordered = chunks.sortWithinPartitions("chunks", "chunk", *order_by)
+    path = ("chunks", "chunk") if with_count else ("chunk",)
+    chunks = with_chunks(records, chunk_size, *order_by, name="chunk", count="chunks" if with_count else None)
+    ordered = chunks.sortWithinPartitions(*path, *order_by)
     if format_type.lower() == "json":
-        ordered.write.options(**JSON_OPTIONS).partitionBy("chunks", "chunk").json(folder)
+        ordered.write.options(**JSON_OPTIONS).partitionBy(*path).json(folder)
     else:
-        ready = ordered.select(*csv_columns(records), "chunks", "chunk")
-        ready.write.options(**CSV_OPTIONS).partitionBy("chunks", "chunk").csv(folder)
+        ready = ordered.select(*csv_columns(records), *path)
+        ready.write.options(**CSV_OPTIONS).partitionBy(*path).csv(folder)
     return folder
 
 
