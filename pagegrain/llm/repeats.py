@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import buffers, record, steps, stored
+from pagegrain.llm.common import STEP_BYTES, buffers, record, steps, stored
 from pagegrain.llm.hashing import VALUES, Sums, mix, sliding_min
 from pagegrain.llm.shingles import word_hashes
 
@@ -132,27 +132,44 @@ def _cut(kind: Kind, whole: bool):
     part = pa.struct([("anchor", pa.int64()), ("content", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("packed", pa.binary()), ("fragments", pa.list_(part))])
 
+    def found_in(raws: list[bytes], shared: list[list[int]]) -> tuple[list[int], list[list[dict]]]:
+        """Symbols and fragments of shared anchors of several texts."""
+        data = np.frombuffer(b"".join(raws), np.uint8)
+        values, first = kind.values(data, np.concatenate([[0], np.cumsum([len(r) for r in raws])]))
+        text, start, length, anchor, content = fragments(values, first, kind.window, kind.gram)
+        owner = np.repeat(np.arange(len(shared)), [len(s) for s in shared]).astype(np.uint64)
+        of = np.array([x for s in shared for x in s], np.int64).view(np.uint64)
+        salt = np.uint64(0xD1342543DE82EF95)
+        keep = np.isin(mix(anchor + text.astype(np.uint64) * salt), mix(of + owner * salt))
+        text = text[keep]
+        columns = (x[keep].tolist() for x in (anchor.view(np.int64), content.view(np.int64), start, length))
+        rows = [dict(zip(("anchor", "content", "start", "length"), f)) for f in zip(*columns)]
+        cuts = np.searchsorted(text, np.arange(len(raws) + 1))
+        return np.diff(first).tolist(), [rows[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
     def run(batches):
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
-            for row, doc, packed, shared in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = open_.decompress(packed)
-                found = []
-                if shared:
-                    data = np.frombuffer(raw, np.uint8)
-                    values, first = kind.values(data, np.array([0, len(data)]))
-                    n = len(values)
-                    _, start, length, anchor, content = fragments(values, first, kind.window, kind.gram)
-                    keep = np.isin(anchor.view(np.int64), np.array(shared, np.int64))
-                    columns = (x[keep].tolist() for x in (anchor.view(np.int64), content.view(np.int64), start, length))
-                    found = [dict(zip(("anchor", "content", "start", "length"), f)) for f in zip(*columns)]
-                    digest = None
-                else:
-                    symbols = kind.symbols(raw)
-                    n, digest = len(symbols), hashlib.sha256(kind.joined(symbols)).hexdigest()
-                out.append((row, doc, n, digest, packed if shared or whole else None, found))
-            yield record(schema, *(map(list, zip(*out)) if out else [[] for _ in schema]))
+            at, columns = 0, [c.to_pylist() for c in batch.columns]
+            while at < batch.num_rows:
+                raws, size = [], 0
+                while at + len(raws) < batch.num_rows and size < STEP_BYTES:
+                    raws.append(open_.decompress(columns[2][at + len(raws)]))
+                    size += len(raws[-1])
+                row, doc, packed, shared = (c[at : at + len(raws)] for c in columns)
+                at += len(raws)
+                marked = [i for i, s in enumerate(shared) if s]
+                counts, lists = found_in([raws[i] for i in marked], [shared[i] for i in marked]) if marked else ([], [])
+                known = dict(zip(marked, zip(counts, lists)))
+                out = []
+                for i, raw in enumerate(raws):
+                    if i in known:
+                        out.append((row[i], doc[i], known[i][0], None, packed[i], known[i][1]))
+                    else:
+                        symbols = kind.symbols(raw)
+                        digest = hashlib.sha256(kind.joined(symbols)).hexdigest()
+                        out.append((row[i], doc[i], len(symbols), digest, packed[i] if whole else None, []))
+                yield record(schema, *map(list, zip(*out)))
 
     return run
 
