@@ -10,7 +10,7 @@ equal windows within a shard.
 3. Equal fragments become one, with its first place in the corpus; every later copy is covered whole.
 4. Where an anchor has several different fragments, these are dealt by anchor to shards of bounded size,
    and the shard's index reports windows that occur earlier (an anchor's only fragment has no other to
-   share a window with). The fragments of an anchor with over ``HOT`` different ones would
+   share a window with). Fragments of one anchor that fill over ``HOT_BYTES`` would
    overfill a shard; they are cut into single windows, and equal windows meet in an aggregation.
 5. Reported spans are gathered by document and cut out.
 
@@ -38,7 +38,8 @@ from pagegrain.llm.shingles import word_hashes
 PLACE_BITS = 31
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
 SHARD_BYTES = 1 << 20
-HOT = 2048
+HOT_BYTES = 4 << 20  # fragments of one anchor that a shard still takes, estimated from their lengths
+WORD_BYTES = 8
 
 
 @dataclass(frozen=True)
@@ -284,8 +285,9 @@ def remove_repeats(docs: DataFrame, kind: Kind, find: Callable, doc_id: str = "d
     firsts = stored(firsts.select("anchor", "content", "first.*"), "firsts")
 
     # A fragment that is the only one of its anchor has no other to share a window with.
-    several = firsts.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1")
-    wanted = firsts.join(several, "anchor").select("row", F.struct("anchor", "start", "length", (F.col("many") > HOT).alias("hot")).alias("f"))
+    several = firsts.groupBy("anchor").agg(F.count("*").alias("many"), F.sum("length").alias("symbols")).where("many > 1")
+    hot = F.col("symbols") * (WORD_BYTES if kind.words else 1) > HOT_BYTES
+    wanted = firsts.join(several, "anchor").select("row", F.struct("anchor", "start", "length", hot.alias("hot")).alias("f"))
     wanted = wanted.groupBy("row").agg(F.collect_list("f").alias("wanted"))
     contents = "anchor long, hot boolean, doc_id long, row long, start long, content binary"
     texts = open_.select("row", "doc_id", "packed").join(wanted, "row").select("row", "doc_id", "packed", "wanted")

@@ -50,10 +50,10 @@ def planted(prose):
     return texts
 
 
-@pytest.mark.parametrize("hot", [2, 2048])
+@pytest.mark.parametrize("hot", [300, 4 << 20])
 @pytest.mark.parametrize("size", [2_000, 1 << 20])
 def test_planted_repeats(docs, planted, monkeypatch, hot, size):
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "HOT_BYTES", hot)
     monkeypatch.setattr(repeats, "SHARD_BYTES", size)
     rows = docs(planted, extra=["n", "row", "anchor"]).repartition(3)
     texts = dict(enumerate(planted))
