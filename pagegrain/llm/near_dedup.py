@@ -7,7 +7,8 @@ rising order per shingle and stop where no register can still change, so the wor
 
 1. Documents with equal sets are one class; only its smallest id goes on.
 2. Registers are cut into 32 bands of four; classes with an equal band meet in a bucket. Every member
-   is paired with the bucket's smallest id only.
+   is paired with the smallest id of all its buckets, then with the smallest of each bucket whose
+   component is still another.
 3. A pair whose similarity, estimated jointly from both sketches by maximum likelihood, is within six
    standard errors of the limit or above it is checked on the full sets. Links give components.
 4. Buckets whose members lie in several components may hold links between members other than the
@@ -137,7 +138,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFra
                 yield record(schema, rows.column(0), [s.tobytes() for s in shingle_sets(data, offsets)])
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return narrow.join(wanted.select("id"), "id", "left_semi").mapInArrow(run, "id long, set binary")
+    # The same plan at every size: a merge join, whether or not the ids would fit a broadcast.
+    return narrow.join(wanted.select("id").hint("merge"), "id", "left_semi").mapInArrow(run, "id long, set binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -275,10 +277,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     members = stored(bands.join(buckets.select("key", "least"), "key").select("key", "id", "least"), "members")
 
     sets = stored(_sets(docs, members.select("id").distinct(), doc_id, text), "sets")
-    centred = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    tested = stored(likely_pairs(centred, classes), "pairs")
+    centred = stored(members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "centred")
+    # Each class first meets the smallest id of all its buckets, then those of other components.
+    nearest = centred.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    tested = stored(likely_pairs(nearest, classes), "pairs")
     links = stored(linked_pairs(tested, sets), "linked")
     found = stored(components(links), "components")
+    of = lambda end: found.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+    apart = centred.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    again = stored(likely_pairs(apart.select("a", "b").join(nearest, ["a", "b"], "left_anti"), classes), "pairs")
+    links = stored(links.unionByName(linked_pairs(again, sets)), "linked")
+    found, tested = stored(components(links), "components"), tested.unionByName(again)
     more = stored(_mixed_pairs(members.select("key", "id"), found, classes).join(tested, ["a", "b"], "left_anti"), "more-pairs")
     links = links.unionByName(linked_pairs(more, sets))
     found = stored(components(links), "components")
