@@ -113,7 +113,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     """The model: languages, centroids, rejection cosines and idf."""
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    # A share of the hashes that holds about twice the sample goes on, so that what is ranked is bounded.
+    space = 1 << 40
+    counts = rows.groupBy("lang").count().collect()  # a row per language
+    shares = [F.lit(v) for r in counts for v in (r["lang"], min(space, -(-2 * per_language * space // r["count"])))]
+    below = F.create_map(*shares)[F.col("lang")] if shares else F.lit(space)
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(space))).where(F.col("place") < below)
+    order = Window.partitionBy("lang").orderBy("place", "text")
     sample = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("lang", "text")
     sample = stored(sample.mapInArrow(_sampled, "lang string, counts binary"), "language-sample")
     n, df = 0, np.zeros(SIZE)
