@@ -6,9 +6,11 @@ Each language has a few centroids, found by clustering its own training vectors
 sphere); a text takes the language of the centroid with the highest cosine. A text farther from its
 centroid than almost all training vectors of that centroid is marked as rejected.
 
-The classifier is fitted on a bounded sample: at most ``per_language`` labelled texts of each language,
-those with the smallest hashes. Clustering runs as one Spark group per language; only document
-frequencies and centroids reach the driver.
+The classifier is fitted on a bounded sample: at most ``per_language`` labelled rows of each language,
+the distinct texts with the smallest hashes first; copies take the places that distinct texts leave, in
+turns, so no text crowds out another and each language with labelled rows is learnt. Clustering runs as
+one Spark group per language; only counts of hashes by size, document frequencies and centroids reach
+the driver.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0 and is rejected, as is
 every text if nothing could be learnt; rows are scored each, so repeated rows get equal results; a null
@@ -71,17 +73,36 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def _sampled(batches):
-    schema = pa.schema([("lang", pa.string()), ("counts", pa.binary())])
+    schema = pa.schema([("lang", pa.string()), ("nth", pa.int64()), ("copies", pa.int64()), ("counts", pa.binary())])
     for batch in batches:
-        batch = pa.RecordBatch.from_arrays([batch.column(0), lowered(batch.column(1))], ["lang", "text"])
+        batch = pa.RecordBatch.from_arrays([*batch.columns[:3], lowered(batch.column(3))], ["lang", "nth", "copies", "text"])
         for rows, data, offsets in steps(iter([batch])):
             counts = np.minimum(counts_of(data, offsets), 65535).astype(np.uint16)
-            yield record(schema, rows.column(0).cast(pa.string()), [c.tobytes() for c in counts])
+            yield record(schema, rows.column(0).cast(pa.string()), rows.column(1), rows.column(2), [c.tobytes() for c in counts])
 
 
-def _frequencies(key, batches):
-    counts = np.stack([np.frombuffer(c, np.uint16) for c in batches["counts"].to_pylist()])
-    return pa.table({"lang": [key[0].as_py()], "n": pa.array([len(counts)], pa.int64()), "df": [(counts > 0).sum(0).astype(np.int64).tobytes()]})
+def dealt(copies: np.ndarray, places: int) -> np.ndarray:
+    """How many places each text takes: one, then one more in turns while it has copies and places are left."""
+    taken = np.zeros(len(copies), np.int64)
+    while places > 0 and len(left := np.flatnonzero(taken < copies)):
+        taken[left[:places]] += 1
+        places -= len(left)
+    return taken
+
+
+def _rows(rows: pa.Table, places: int) -> list[bytes]:
+    """Counts of the sample's rows of one language, copies included."""
+    rows = rows.sort_by("nth")
+    taken = dealt(rows["copies"].to_numpy(), places)
+    return [c for c, times in zip(rows["counts"].to_pylist(), taken.tolist()) for _ in range(times)]
+
+
+def _frequencies(places: int):
+    def run(key, rows):
+        counts = np.stack([np.frombuffer(c, np.uint16) for c in _rows(rows, places)])
+        return pa.table({"lang": [key[0].as_py()], "n": pa.array([len(counts)], pa.int64()), "df": [(counts > 0).sum(0).astype(np.int64).tobytes()]})
+
+    return run
 
 
 def clustered(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +118,9 @@ def clustered(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return centres, np.argmax(x @ centres.T, 1)
 
 
-def _centroids(idf: np.ndarray, k: int):
+def _centroids(idf: np.ndarray, k: int, places: int):
     def run(key, rows):
-        counts = np.stack([np.frombuffer(c, np.uint16) for c in sorted(rows["counts"].to_pylist())])
+        counts = np.stack([np.frombuffer(c, np.uint16) for c in sorted(_rows(rows, places))])
         x = vectors(counts.astype(np.float32), idf)
         centres, own = clustered(x, k)
         near = (x * centres[own]).sum(1)
@@ -113,20 +134,25 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     """The model: languages, centroids, rejection cosines and idf."""
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
-    # A share of the hashes that holds about twice the sample goes on, so that what is ranked is bounded.
-    space = 1 << 40
-    counts = rows.groupBy("lang").count().collect()  # a row per language
-    shares = [F.lit(v) for r in counts for v in (r["lang"], min(space, -(-2 * per_language * space // r["count"])))]
-    below = F.create_map(*shares)[F.col("lang")] if shares else F.lit(space)
-    rows = rows.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(space))).where(F.col("place") < below)
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
+    # Hashes of distinct texts are counted by their number of bits; texts go on below the least power of two
+    # that has ``per_language`` of them, so that what is ranked is bounded and no language goes short.
+    bits = rows.select("lang", "place").distinct().groupBy("lang", F.length(F.bin("place")).alias("bits")).count()
+    bounds, passed = {}, {}
+    for r in sorted(bits.collect()):  # 62 rows a language at most
+        if passed.get(r["lang"], 0) < per_language:
+            bounds[r["lang"]] = 1 << r["bits"]
+            passed[r["lang"]] = passed.get(r["lang"], 0) + r["count"]
+    below = F.create_map(*[c for lang, bound in bounds.items() for c in (F.lit(lang), F.lit(bound).cast("long"))])[F.col("lang")] if bounds else F.lit(0)
+    texts = rows.where(F.col("place") < below).groupBy("lang", "place", "text").agg(F.count("*").alias("copies"))
     order = Window.partitionBy("lang").orderBy("place", "text")
-    sample = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("lang", "text")
-    sample = stored(sample.mapInArrow(_sampled, "lang string, counts binary"), "language-sample")
+    sample = texts.withColumn("nth", F.row_number().over(order).cast("long")).where(F.col("nth") <= per_language).select("lang", "nth", "copies", "text")
+    sample = stored(sample.mapInArrow(_sampled, "lang string, nth long, copies long, counts binary"), "language-sample")
     n, df = 0, np.zeros(SIZE)
-    for row in sample.groupBy("lang").applyInArrow(_frequencies, "lang string, n long, df binary").collect():
+    for row in sample.groupBy("lang").applyInArrow(_frequencies(per_language), "lang string, n long, df binary").collect():
         n, df = n + row["n"], df + np.frombuffer(row["df"], np.int64)
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
-    found = sample.groupBy("lang").applyInArrow(_centroids(idf, clusters), "lang string, nth int, centre binary, least double").collect()
+    found = sample.groupBy("lang").applyInArrow(_centroids(idf, clusters, per_language), "lang string, nth int, centre binary, least double").collect()
     found.sort(key=lambda r: (r["lang"], r["nth"]))
     centres = np.stack([np.frombuffer(r["centre"], np.float32) for r in found]) if found else np.zeros((0, SIZE), np.float32)
     return {"langs": [r["lang"] for r in found], "centres": centres, "least": np.array([r["least"] for r in found]), "idf": idf}

@@ -1,3 +1,5 @@
+import numpy as np
+
 from pagegrain.llm import language
 from pagegrain.llm.queries import op10_language
 
@@ -35,3 +37,22 @@ def test_same_result_for_repeated_rows_and_any_split(docs):
     model = language.fit(docs(["abc def", "ghi jkl"]))
     out = language.predict(docs(["abc xyz"] * 3, ids=[7, 7, None]).repartition(3), model).select("lang_pred", "score").distinct()
     assert out.count() == 1
+
+
+def test_every_language_is_learnt_however_many_copies(docs):
+    """Rows far beyond the sample in few distinct texts: none is lost, no hot text fills the sample."""
+    few = {f"l{k}": [f"{chr(97 + k) * 3} {chr(97 + (k + i) % 26) * 4}" for i in range(3)] for k in range(24)}
+    rows = [(t, lang) for lang, texts in few.items() for t in texts for _ in range(20)]
+    many = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)} sky" for i in range(200)]
+    frame = docs([]).sparkSession.createDataFrame(rows + [(t, "many") for t in many + [many[7]] * 400], "text string, lang string")
+    model = language.fit(frame, per_language=10)
+    assert set(model["langs"]) == {*few, "many"}
+    out = language.predict(docs([texts[0] for texts in few.values()]), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in out] == list(few)
+    assert model["langs"].count("many") == language.CLUSTERS
+
+
+def test_copies_take_left_places_in_turns():
+    assert language.dealt(np.array([5, 1, 9]), 10).tolist() == [5, 1, 4]
+    assert language.dealt(np.array([500] * 4), 3).tolist() == [1, 1, 1, 0]
+    assert language.dealt(np.array([2, 1]), 10).tolist() == [2, 1]
