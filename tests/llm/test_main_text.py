@@ -51,6 +51,35 @@ def test_junk_around_the_article_goes(junk, shape):
     assert main_text(f"<html><body>{body}{junk}") == want
 
 
+@pytest.mark.parametrize(
+    "shape",
+    [
+        "<div class='wrapper has-sidebar'><article><h1>Title</h1><p>{0}</p><p>{1}</p></article></div>",
+        "<div class='container no-sidebar'><div class='post hentry comments-open'><h1>Title</h1><p>{0}</p><p>{1}</p></div></div>",
+        "<div class='layout sidebar-right'><article><h1>Title</h1><p>{0}</p><p>{1}</p></article><div class=sidebar><p>" + P + "</p></div></div>",
+        "<div id=header-layout><div><h1>Title</h1><p>{0}</p><p>{1}</p><p>{1}</p></div></div>",
+        "<div class=page><div class='article-header'><h1>Title</h1></div><p>{0}</p><p>{1}</p></div>",
+        "<article><div class='page-header'><h1>Title</h1></div><p>{0}</p><section class='related-work'><p>{1}</p></section></article>",
+        "<div class=content><header class=entry-header><h1>Title</h1></header><p>{0}</p><p>{1}</p></div>",
+        "<div class=content><h1>Title</h1><p>{0}</p><p>{1}</p></div><div id=comments>" + f"<article><p>{P}</p></article>" * 9 + "</div>",
+    ],
+)
+def test_names_of_wrappers_and_headings_drop_no_text(shape):
+    first, second = P + " " + P, P[::-1] + " " + P
+    want = ["Title", first, second, second] if "header-layout" in shape else ["Title", first, second]
+    assert main_text(f"<html><body><nav>menu</nav><div class=ad>{P}</div>{shape.format(first, second)}<div class='related'><p>{P}</p></div></body></html>") == "\n".join(want)
+
+
+def test_formulas_stay_in_their_paragraph():
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><msup><mi>y</mi><mn>2</mn></msup></mrow><annotation encoding='application/x-tex'>x=y^2</annotation></semantics></math>"
+    assert main_text(f"<article><p>{P} Here {formula} holds.</p><p>{P}</p></article>") == f"{P} Here x=y2 holds.\n{P}"
+
+
+def test_many_suspects_within_each_other():
+    deep = "<div class=sidebar>" * 20_000 + f"<p>{P * 4}</p>" + "</div>" * 20_000
+    assert main_text(deep) == P * 4
+
+
 def test_blocks_references_and_white_space():
     page = "<article><p>a &amp; b&nbsp;\n c &lt;i&gt; &#233; <b>bold</b>text<br>next</p>loose <i>text</i><ul><li>one<li>two</ul><table><tr><td>x<td>y</table></article>"
     assert main_text(page) == "a & b c <i> é boldtext next\nloose text\none\ntwo\nx\ny"
