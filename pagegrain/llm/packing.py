@@ -44,9 +44,11 @@ UNSAFE = re.compile(r" (?:\s|\Z)")
 BOUNDARY = re.compile(r"(?= \S)")
 
 
-# Runs of letters, with a space before, are single words of the tokenizer; so are cuts around them.
+# Runs of letters, with a space before, are single words of the tokenizer; so are cuts around them, except
+# beside letters outside LATIN, with which they are one word and stay in one run.
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-RUNS = re.compile(rf" ?[{LATIN}]+| ?[^{LATIN} ]+| ")
+OTHER = rf"[^\W\d_{LATIN}]"  # all other letters, and numbers that are no digits
+RUNS = re.compile(rf" ?[{LATIN}]++(?!{OTHER})| ?(?:[^{LATIN} ]++|(?<={OTHER})[{LATIN}]++|[{LATIN}]++(?={OTHER}))+| ")
 LETTERS = re.compile(rf" ?[{LATIN}]+")
 JOINED = re.compile(r"'|\s\s")  # contractions, and white space whose cut depends on what follows
 # Byte-level tokenizers write printable bytes as themselves and the others from U+0100 on.

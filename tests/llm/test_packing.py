@@ -73,6 +73,21 @@ def test_words_equal_the_tokenizer_on_mixed_pieces():
         assert words.ids(text).tolist() == plain_ids(tokenizer, text).tolist(), repr(text)
 
 
+def test_words_of_mixed_scripts_equal_the_tokenizer():
+    tokenizer, rng = Tokenizer.from_file(PATH), np.random.default_rng(3)
+    words = packing.Words(tokenizer)
+    assert words.ids("take 5 μg daily").tolist() == [20657, 642, 44415, 4445, 0]
+    pieces = ["μ", "g", " μg", " μ", "µ", "Ω", "ж", "Bar", "é", "nº", "ª", "日", "ʼ", "א", "m²", "½", "5", " ", " k", "-", ".", "́", "_", "\n"]
+    for _ in range(5000):
+        text = "".join(rng.choice(pieces, rng.integers(1, 9)))
+        assert words.ids(text).tolist() == plain_ids(tokenizer, text).tolist(), repr(text)
+
+
+def test_runs_cut_no_word_of_mixed_scripts():
+    words = packing.Words(Tokenizer.from_file(PATH))
+    assert words.runs("ab μg cμd 5μgж x-y") == ["ab", " μg", " cμd", " 5μgж", " x", "-", "y"]
+
+
 @pytest.mark.parametrize("scale", [1, 40])
 def test_solver_uses_what_there_is(scale):
     rng = np.random.default_rng(2)
