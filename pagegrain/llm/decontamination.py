@@ -5,7 +5,8 @@ lengths), each divided by the score the item gives itself, so that one threshold
 are grouped into blocks of ``BLOCK`` with the greatest impact of each term in each block.
 
 A passage is two neighbouring chunks of a document's words, so every stretch of up to a chunk's length
-lies within one passage; a chunk is as long as the longest item, ``CHUNK`` words at least. Chunks sum
+lies within one passage; a chunk is an item's length rounded up to a power of two, ``CHUNK`` words at
+least, so a shard has an index per such class and other items don't widen an item's passages. Chunks sum
 the block maxima of their distinct terms: a passage whose sums stay below the threshold in every block
 is done. The others run block-max WAND over the postings: cursors move by item, the pivot is the first
 item that the terms' maxima let reach the threshold, and a block whose own maxima can't is skipped
@@ -73,10 +74,15 @@ def parts_of(text: str) -> tuple[int, set, set]:
     return 3, grams(question), grams(answer)
 
 
+def chunk_of(length: int) -> int:
+    """Words in a chunk for an item of ``length`` words."""
+    return max(CHUNK, 1 << (length - 1).bit_length())
+
+
 class Index:
-    """Postings of one shard, in order of item, with block maxima."""
+    """Postings of one shard and class, in order of item, with block maxima."""
 
-    def __init__(self, postings: list[tuple], items: list[tuple], n: int, average: float):
+    def __init__(self, postings: list[tuple], items: list[tuple], n: int, average: float, maxima: int | None = None):
         """postings: (item, term, tf, df, length); items: (item, text)."""
         self.items = [i for i, _ in sorted(items)]
         self.parts = [parts_of(t) for _, t in sorted(items)]
@@ -90,12 +96,12 @@ class Index:
         order = np.lexsort((item, term))
         self.item, self.impact = item[order].tolist(), impact[order].tolist()
         self.first = np.searchsorted(term[order], np.arange(len(self.terms) + 1)).tolist()
-        self.block = max(BLOCK, -(-len(self.items) * len(self.terms) // MAXIMA))
+        self.block = max(BLOCK, -(-len(self.items) * len(self.terms) // (maxima or MAXIMA)))
         blocks = -(-len(self.items) // self.block)
         self.block_max = np.zeros((len(self.terms) + 1, blocks), np.float32)  # the last row: words that no item has
         np.maximum.at(self.block_max, (term, item // self.block), np.nextafter(impact.astype(np.float32), np.float32(2)))
         self.top = self.block_max.max(1).astype(float).tolist()
-        self.chunk = max(CHUNK, int(length.max()) if len(length) else 0)
+        self.chunk = chunk_of(int(length.max())) if len(length) else CHUNK
 
     def retrieve(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND: (item number, score) of all items that score at least the threshold."""
@@ -136,9 +142,8 @@ class Index:
             cursors = [c for c in cursors if c[0] < end]
         return found
 
-    def matches(self, text: str | None, threshold: float, overlap: float) -> dict[int, list]:
-        """item: [passages, best score, question overlap, answer overlap] of a whole text."""
-        words = words_of(text)
+    def matches(self, words: list[str], threshold: float, overlap: float) -> dict[int, list]:
+        """item number: [passages, best score, question overlap, answer overlap] of a whole text."""
         unknown, get = len(self.terms), self.terms.get
         numbers = np.array([get(w, -1) for w in words], np.int64)
         at = np.flatnonzero(numbers >= 0)
@@ -166,12 +171,38 @@ class Index:
                     passage[size] = grams(words[i * self.chunk : (i + 2) * self.chunk], size)
                 shares = [len(part & passage[size]) / len(part) for part in both]
                 if min(shares) >= overlap:
-                    seen = out.setdefault(self.items[k], [0, 0.0, 0.0, 0.0])
+                    seen = out.setdefault(k, [0, 0.0, 0.0, 0.0])
                     seen[0] += 1
                     seen[1:] = max(seen[1:], [min(1.0, score), *shares])
         return out
 
 
+class Shard:
+    """The indexes of a shard, one for each class of length."""
+
+    def __init__(self, postings: list[tuple], items: list[tuple], n: int, average: float):
+        """postings: (item, term, tf, df, length); items: (item, id, text)."""
+        classes: dict[int, list] = {}
+        for p in postings:
+            classes.setdefault(chunk_of(p[4]), []).append(p)
+        self.indexes = []
+        for chunk in sorted(classes):
+            there = {p[0] for p in classes[chunk]}
+            index = Index(classes[chunk], [(i, t) for i, _, t in items if i in there], n, average, max(1, MAXIMA // len(classes)))
+            ids = {i: own for i, own, _ in items if i in there}
+            index.items = [ids[i] for i in index.items]
+            self.indexes.append(index)
+
+    def matches(self, text: str | None, threshold: float, overlap: float) -> dict[int, list]:
+        """id: [passages, best score, question overlap, answer overlap]; the most and best of an id's texts."""
+        words, out = words_of(text), {}
+        for index in self.indexes:
+            for k, (passages, *best) in index.matches(words, threshold, overlap).items():
+                seen = out.setdefault(index.items[k], [0, 0.0, 0.0, 0.0])
+                seen[:] = max(seen[0], passages), *max(seen[1:], best)
+        return out
+
+
 def _postings(batches):
     schema = pa.schema([("item", pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("length", pa.int64())])
     for batch in batches:
@@ -202,11 +233,7 @@ def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text"):
         own = [tuple(r)[:5] for r in postings.where(F.col("shard") == shard).collect()]
         if own:
             texts = rows.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).collect()
-            there = {p[0] for p in own}
-            index = Index(own, [(r["item"], r["text"]) for r in texts if r["item"] in there], total["n"], total["words"] / total["n"])
-            ids = {r["item"]: r["id"] for r in texts}
-            index.items = [ids[i] for i in index.items]
-            yield index
+            yield Shard(own, [(r["item"], r["id"], r["text"]) for r in texts], total["n"], total["words"] / total["n"])
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -64,6 +64,27 @@ def test_planted_passages(spark, docs, prose, monkeypatch):
     assert sorted(r["doc_id"] for r in clean.collect()) == [2, 5, 6, 7, 8] and clean.columns == rows.columns
 
 
+@pytest.mark.parametrize("terms", [25, 50_000])
+def test_a_pair_does_not_depend_on_other_items(spark, docs, prose, monkeypatch, terms):
+    monkeypatch.setattr(decontamination, "SHARD_TERMS", terms)
+    question, answer = prose(1, 15) + "? ", prose(2, 15) + "."
+    held = " ".join([prose(20, 40), question + answer, prose(21, 60), question + answer])
+    rows = docs([question + prose(22, 500) + " " + answer, held])
+    alone = contaminated_pairs(rows, items(spark, [question + answer])).collect()
+    beside = contaminated_pairs(rows, items(spark, [question + answer, prose(3, 2000), prose(4, 90)])).collect()
+    both = [[(r["doc_id"], r["item_id"], r["n_passages"]) for r in found] for found in (alone, beside)]
+    assert both[0] == both[1] and [p[0] for p in both[0]] == [1]
+
+
+@pytest.mark.parametrize("terms", [1, 50_000])
+def test_texts_of_one_id_count_apart(spark, docs, prose, monkeypatch, terms):
+    monkeypatch.setattr(decontamination, "SHARD_TERMS", terms)
+    texts = [prose(1, 20), prose(2, 20), prose(3, 20)]
+    bench = spark.createDataFrame([(7, t) for t in texts], "item_id long, text string")
+    found = contaminated_pairs(docs([" ".join(texts)]), bench).collect()
+    assert [(r["item_id"], r["n_passages"]) for r in found] == [(7, 1)]
+
+
 def test_empty_tables(spark, docs):
     assert contaminated_pairs(docs(["a b c"]), items(spark, [])).count() == 0
     assert contaminated_pairs(docs([]), items(spark, ["a b c"])).count() == 0
