@@ -161,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null")
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    # Ids alone are ranked; at most 2 * per_class of them are broadcast, so no text is shuffled.
-    chosen = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_class)
+    # Ids alone are ranked, of rows that can teach; at most 2 * per_class of them are broadcast, so no text is shuffled.
+    chosen = known.join(rows.select("id"), "id", "left_semi").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_class)
     sample = rows.join(F.broadcast(chosen.select("id", "label")), "id").select("label", "text")
     sample = stored(sample.mapInArrow(_sampled(identities), "label int, own binary, swapped binary"), "toxicity-sample").collect()
     sample.sort(key=lambda r: (r["label"], r["own"]))

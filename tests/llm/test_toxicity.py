@@ -53,6 +53,18 @@ def test_swaps_take_weight_off_identity_terms(docs, labelled):
     assert scores[5.0][0] < 0.7 <= scores[5.0][2]
 
 
+def test_labels_of_missing_and_null_texts_take_no_places(docs, spark):
+    texts, labels = biased()
+    nulls = list(range(1000, 2000))
+    rows = docs(texts + [None] * len(nulls), ids=[*range(len(texts)), *nulls])
+    useless = [(i, i % 2) for i in range(1000, 6000)]
+    own = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    more = spark.createDataFrame([*enumerate(labels), *useless], "doc_id long, toxic int")
+    probe = docs(["music vile garden river", "music house garden river"])
+    want, got = ([r["score"] for r in toxicity.score(probe, toxicity.fit(rows, known, per_class=40)).orderBy("doc_id").collect()] for known in (own, more))
+    assert got == want and got[0] > got[1]
+
+
 def test_swapper():
     swap = toxicity.swapper()
     assert swap("The Women sang, womenfolk too") == "The men sang, womenfolk too"
