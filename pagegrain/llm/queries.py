@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import column_bwt, decontamination, exact_search, fm_index, language, main_text, near_dedup, packing, secrets, toxicity
+from pagegrain.llm import column_bwt, decontamination, exact_search, fm_index, language, main_text, near_dedup, packing, pieces, secrets, toxicity
 from pagegrain.llm.common import fold, stored, table
 
 
@@ -73,6 +73,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids, joined in decimal, and of the text decoded from them."""
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), piece_model_path())
+    told = encoded.select("*", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
+    decoded = pieces.decode(told, piece_model_path(), keep=("n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -84,6 +98,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_exact_topk": op9_exact_topk,
     "op10_language": op10_language,
+    "op11_pieces": op11_pieces,
 }
 
 ORACLES = {
