@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import column_bwt, decontamination, exact_search, fm_index, language, main_text, near_dedup, packing, pieces, secrets, toxicity
+from pagegrain.llm import column_bwt, decontamination, exact_search, fm_index, language, main_text, merkle, near_dedup, packing, pieces, secrets, toxicity
 from pagegrain.llm.common import fold, stored, table
 
 
@@ -87,6 +87,17 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and what the proofs say of documents of which some were tampered with."""
+    hit = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    tampered = F.when(hit, merkle.leaf_digest({"text": F.translate("text", LETTERS, LETTERS.lower())})).otherwise(merkle.leaf_digest())
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -99,6 +110,7 @@ QUERIES = {
     "op9_exact_topk": op9_exact_topk,
     "op10_language": op10_language,
     "op11_pieces": op11_pieces,
+    "op12_merkle": op12_merkle,
 }
 
 ORACLES = {
