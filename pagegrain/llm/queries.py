@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import column_bwt, decontamination, exact_search, fm_index, language, main_text, merkle, near_dedup, packing, pieces, secrets, toxicity
+from pagegrain.llm import column_bwt, decontamination, exact_search, fm_index, language, main_text, merkle, near_dedup, packing, pieces, secrets, token_alignment, toxicity
 from pagegrain.llm.common import fold, stored, table
 
 
@@ -98,6 +98,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of groups and links of every document, and a digest of its groups as text."""
+    found = token_alignment.Alignment(table(spark, sf_dir, "documents"), tokenizer_path(), piece_model_path()).summaries()
+    return found.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -111,6 +117,7 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_pieces": op11_pieces,
     "op12_merkle": op12_merkle,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES = {
