@@ -5,8 +5,8 @@ marker, so a text can be cut before every run of markers; line ends, which no pi
 holds, are cut at too. The chunks between these cuts repeat all over a corpus. Spark counts them, and the
 ``HOT`` most frequent ones of at most ``HOT_BYTES`` bytes that occur more than once are segmented once
 each, into a table that every task gets: its size is bounded whatever the corpus. The long tail, chunks
-that hardly ever come back, is segmented where it is met, into a task's own table of at most ``HELD``
-chunks: a join would move each of them, and the texts, for a few microseconds of work. Either way the ids
+that hardly ever come back, is segmented where it is met, into a task's own table of at most
+twice ``HELD`` chunks: a join would move each of them, and the texts, for a few microseconds of work. Either way the ids
 come back to each text in the order of its chunks.
 
 Defined results: a null text is an empty one, and an empty text has the end id only; repeated rows stay
@@ -22,14 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagegrain.llm.common import record, stored
 
 MARKER = "\u2581"
 HOT = 1 << 17
 HOT_BYTES = 64
-HELD = 200_000
+HELD = 100_000
 ROWS = 256
 #: Chunks of a text with a space in front: runs of spaces with the word behind, and line ends with the word behind.
 CHUNK = r" +[^ \n]*|\n[^ \n]*"
@@ -87,17 +86,21 @@ class Pieces:
 
 
 class Segmented(dict):
-    """Ids of chunks: those given, and others segmented when first met and held up to a number."""
+    """Ids of chunks: those given, and others segmented when first met.
+
+    What is met is held in two generations of a bounded number, so that what comes back often stays.
+    """
 
     def __init__(self, pieces: Pieces, given: dict[str, bytes] | None = None, held: int = HELD):
-        super().__init__(given or {})
-        self.pieces, self.given, self.held = pieces, given or {}, held + len(given or {})
+        super().__init__()
+        self.pieces, self.given, self.held, self.before = pieces, given or {}, held, {}
 
     def __missing__(self, chunk: str) -> bytes:
+        ids = self.given.get(chunk) or self.before.get(chunk) or self.pieces.segment(chunk)
         if len(self) >= self.held:
+            self.before = dict(self)
             self.clear()
-            self.update(self.given)
-        ids = self[chunk] = self.pieces.segment(chunk)
+        self[chunk] = ids
         return ids
 
     def raw(self, text: str | None) -> bytes:
@@ -134,11 +137,23 @@ def _chunks(text: Column) -> Column:
     return F.when(plain.contains("  ") | plain.startswith(" ") | plain.startswith("\n"), named).otherwise(split)
 
 
+def _frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The chunks with the highest counts, at most ``most``: a cut between powers of 2 ** (1 / 8), without a sort."""
+    step = F.floor(F.log2(F.col("n")) * 8).cast("int")
+    total, cut = 0, None
+    for row in sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True):  # at most 512 rows
+        total += row["count"]
+        if total > most:
+            break
+        cut = row["step"]
+    return counted.where(F.lit(False) if cut is None else step >= cut)
+
+
 def chunk_table(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """``chunk, n, ids``: the most frequent chunks of the corpus, at most ``HOT``, each segmented once."""
     texts = docs.select(F.col(text).cast("string").alias("text")).where("text != ''")
     counted = texts.select(F.explode(_chunks(F.col("text"))).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
-    often = counted.where((F.col("n") > 1) & (F.octet_length("chunk") <= HOT_BYTES)).orderBy(F.desc("n"), "chunk").limit(HOT)
+    counted = stored(counted.where((F.col("n") > 1) & (F.octet_length("chunk") <= HOT_BYTES)), "counted")
     schema = pa.schema([("chunk", pa.string()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def segment(batches):
@@ -146,17 +161,44 @@ def chunk_table(docs: DataFrame, model_path: str, text: str = "text") -> DataFra
         for batch in batches:
             yield record(schema, batch.column(0), batch.column(1), [pieces.segment(c) for c in batch.column(0).to_pylist()])
 
-    return often.mapInArrow(segment, "chunk string, n long, ids binary")
+    return _frequent(counted, HOT).mapInArrow(segment, "chunk string, n long, ids binary")
+
+
+class Decoder:
+    """Texts of lists of ids.
+
+    Pieces and bytes are laid end to end and the marker that encoding put in front is taken away. Lists with
+    the unknown id or ids of control inside, or whose bytes are no valid text, are left to the model's decoder.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.model, self.gather = pieces.model, Gather(pieces.bytes_of_ids())
+        every = range(len(self.gather.sizes))
+        self.marked = np.array([self.model.id_to_piece(i).startswith(MARKER) for i in every])
+        self.odd = np.array([self.model.is_control(i) or self.model.is_unknown(i) for i in every])
+
+    def __call__(self, ids: np.ndarray) -> str:
+        if not self.odd[ids[:-1]].any() and not (ids[-1:] == self.model.unk_id()).any():
+            try:
+                return self.gather(ids).tobytes().decode()[int(self.marked[ids[:1]].any()) :]
+            except UnicodeDecodeError:
+                pass
+        return self.model.decode(ids.tolist())
+
 
+def encode(docs: DataFrame, model_path: str, end: bool = True, decoded: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, ids``: the ids of every text, with the end id behind them if asked.
 
-def encode(docs: DataFrame, model_path: str, end: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, ids``: the ids of every text, with the end id behind them if asked."""
+    With ``decoded`` a column of that name holds what the ids give back.
+    """
     table = stored(chunk_table(docs, model_path, text), "chunks")
     sent = docs.sparkSession.sparkContext.broadcast({r["chunk"]: bytes(r["ids"]) for r in table.select("chunk", "ids").collect()})
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))] + [("decoded", pa.string())] * decoded
+    schema = pa.schema(fields)
 
     def run(batches):
         pieces = Pieces(model_path)
+        decoder = Decoder(pieces) if decoded else None
         table, last = Segmented(pieces, sent.value), np.array([pieces.end] if end else [], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -164,34 +206,19 @@ def encode(docs: DataFrame, model_path: str, end: bool = True, doc_id: str = "do
                 out = [table.raw(value) + last for value in part.column(1).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in out])])
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
-                yield record(schema, part.column(0), ids)
-
-    return _narrow(docs, doc_id, text).mapInArrow(run, "doc_id long, ids array<int>")
+                yield record(schema, part.column(0), ids, *([[decoder(np.frombuffer(raw, "<i4")) for raw in out]] if decoded else []))
 
+    return _narrow(docs, doc_id, text).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * decoded)
 
-def decode(encoded: DataFrame, model_path: str, doc_id: str = "doc_id", ids: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, text`` from lists of ids, and the columns to keep; a null list is an empty one.
 
-    Pieces and bytes are laid end to end and the marker that encoding put in front is taken away. Lists with
-    the unknown id or ids of control inside, or whose bytes are no valid text, are left to the model's decoder.
-    """
-    narrow = encoded.select(F.col(ids).cast("array<int>").alias("_ids"), F.col(doc_id).cast("long").alias("doc_id"), *[F.col(f"`{name}`") for name in keep])
-    schema = T.StructType([*narrow.schema.fields[1:], T.StructField("text", T.StringType())])
+def decode(encoded: DataFrame, model_path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """``doc_id, text`` from lists of ids; a null list is an empty one."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
-        pieces = Pieces(model_path)
-        gather = Gather(pieces.bytes_of_ids())
-        marked = np.array([pieces.model.id_to_piece(i).startswith(MARKER) for i in range(len(gather.sizes))])
-        odd = np.array([pieces.model.is_control(i) or pieces.model.is_unknown(i) for i in range(len(gather.sizes))])
+        decoder, none = Decoder(Pieces(model_path)), np.zeros(0, np.int32)
         for batch in batches:
-            texts = []
-            for row in batch.column(0):
-                values = row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.zeros(0, np.int32)
-                raw = None if odd[values[:-1]].any() or (values[-1:] == pieces.model.unk_id()).any() else gather(values).tobytes()
-                try:
-                    texts.append(pieces.model.decode(values.tolist()) if raw is None else raw.decode()[int(marked[values[:1]].any()) :])
-                except UnicodeDecodeError:
-                    texts.append(pieces.model.decode(values.tolist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=schema.names)
-
-    return narrow.mapInArrow(run, schema)
+            texts = [decoder(row.values.to_numpy(zero_copy_only=False) if row.is_valid else none) for row in batch.column(1)]
+            yield record(schema, batch.column(0), texts)
+
+    return encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")

@@ -81,10 +81,9 @@ def piece_model_path() -> str:
 
 def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids, joined in decimal, and of the text decoded from them."""
-    encoded = pieces.encode(table(spark, sf_dir, "documents"), piece_model_path())
-    told = encoded.select("*", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
-    decoded = pieces.decode(told, piece_model_path(), keep=("n_tokens", "ids_sha256"))
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), piece_model_path(), decoded=True)
+    told = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), told.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -31,6 +31,7 @@ from pagegrain.llm.pieces import Gather, Pieces, Segmented
 
 CHUNK = 1 << 12  # numbers of one piece of a dense vector
 FAN = 32
+HELD_CHUNKS = 300_000
 HELD_PAIRS = 1 << 21
 ROWS = 256
 
@@ -56,7 +57,7 @@ class Aligner:
         if type(tokenizer.pre_tokenizer).__name__ != "ByteLevel":
             raise ValueError("the first tokenizer is not byte-level")
         self.pieces = Pieces(piece_path)
-        self.segmented = Segmented(self.pieces)
+        self.segmented = Segmented(self.pieces, held=HELD_CHUNKS)
         self.a, self.b = Gather(_byte_tokens(tokenizer)), Gather(self.pieces.bytes_of_ids())
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -110,16 +111,20 @@ def tokenised(docs: DataFrame, byte_path: str, piece_path: str, doc_id: str = "d
 
     def run(batches):
         both = Aligner(byte_path, piece_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                found = [both.tokens(value) for value in part.column(1).to_pylist()]
-                yield record(schema, part.column(0), [a.tobytes() for a, _ in found], [b.tobytes() for _, b in found])
+        for part in _slices(batches):
+            found = [both.tokens(value) for value in part.column(1).to_pylist()]
+            yield record(schema, part.column(0), [a.tobytes() for a, _ in found], [b.tobytes() for _, b in found])
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, a binary, b binary")
 
 
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _ids(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(raw, "<u4") for raw in column.to_pylist()]
 
@@ -138,14 +143,13 @@ def pair_counts(tokens: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> Data
             return keys, n
 
         waiting = 0
-        for batch in batches:
+        for batch in _slices(batches):
             linked = []
             for a, b in zip(_ids(batch.column(0)), _ids(batch.column(1))):
                 i, j = ends_together(a, b, *sizes)
                 linked.append(keys_of(a[i], b[j]))
-            if linked:
-                held.append(np.unique(np.concatenate(linked), return_counts=True))
-                waiting += len(held[-1][0])
+            held.append(np.unique(np.concatenate(linked), return_counts=True))
+            waiting += len(held[-1][0])
             if waiting > HELD_PAIRS:
                 held, waiting = [merged()], 0
         keys, n = merged()
@@ -230,13 +234,11 @@ class Counts:
 
 def _aligned(batches, sizes, counts: Counts):
     """Per row: id, ids of both kinds, ends of the groups in both, and count and best of each link."""
-    for batch in batches:
+    for batch in _slices(batches):
         rows = []
         for doc, a, b in zip(batch.column(0).to_pylist(), _ids(batch.column(1)), _ids(batch.column(2))):
             i, j = ends_together(a, b, *sizes)
             rows.append((doc, a, b, i + 1, j + 1, keys_of(a[i], b[j])))
-        if not rows:
-            continue
         n, best = counts.look_up(np.concatenate([r[-1] for r in rows]))
         cuts = np.cumsum([len(r[-1]) for r in rows])[:-1]
         yield [(*r[:-1], *looked) for r, *looked in zip(rows, np.split(n, cuts), np.split(best, cuts))]
@@ -271,23 +273,31 @@ class Alignment:
         sent, sizes = self.sent, self.sizes
 
         def run(batches):
-            shown = [[f"{i}{sep}" for i in range(len(size)) for sep in seps] for size, seps in zip(sizes, (",|", ",;"))]
+            shown = Shown(sizes)
             for rows in _aligned(batches, sizes, sent.value):
-                out = [(doc, len(a), len(b), len(i), len(i), int(best.sum()), int(n.sum()), _shown(a, b, i, j, shown)) for doc, a, b, i, j, n, best in rows]
+                out = [(doc, len(a), len(b), len(i), len(i), int(best.sum()), int(n.sum()), shown(a, b, i, j)) for doc, a, b, i, j, n, best in rows]
                 yield record(schema, *map(list, zip(*out)))
 
         return self.tokens.mapInArrow(run, ", ".join(f"{name} long" for name in names) + ", groups string")
 
 
-def _shown(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, shown: list[list[str]]) -> str:
-    """Groups as text. A token's place is its own and that of the other kind's tokens in groups before it."""
-    if not len(a_ends):
-        return ""
-    a_sizes, b_sizes = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
-    order = np.empty(len(a) + len(b), np.int64)
-    a_last, b_last = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    a_last[a_ends - 1], b_last[b_ends - 1] = 1, 1
-    order[np.arange(len(a)) + np.repeat(b_ends - b_sizes, a_sizes)] = 2 * a.astype(np.int64) + a_last
-    order[np.arange(len(b)) + np.repeat(a_ends, b_sizes)] = 2 * b.astype(np.int64) + b_last + len(shown[0])
-    strings = shown[0] + shown[1]
-    return "".join([strings[i] for i in order.tolist()])[:-1]
+class Shown:
+    """Groups as text. Ids of both kinds, each before either of its separators, are rows of one table of characters."""
+
+    def __init__(self, sizes: tuple[np.ndarray, np.ndarray]):
+        strings = [f"{i}{sep}".encode() for size, seps in zip(sizes, (",|", ",;")) for i in range(len(size)) for sep in seps]
+        self.first_b, width = 2 * len(sizes[0]), max(map(len, strings))
+        self.table = np.array(strings, f"S{width}").view(np.uint8).reshape(len(strings), width)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> str:
+        """A token's place is its own and that of the other kind's tokens in groups before it."""
+        if not len(a_ends):
+            return ""
+        a_sizes, b_sizes = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
+        a_last, b_last = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_last[a_ends - 1], b_last[b_ends - 1] = 1, 1
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.repeat(b_ends - b_sizes, a_sizes)] = 2 * a.astype(np.int64) + a_last
+        order[np.arange(len(b)) + np.repeat(a_ends, b_sizes)] = 2 * b.astype(np.int64) + b_last + self.first_b
+        characters = self.table[order].ravel()
+        return characters[characters > 0].tobytes()[:-1].decode()
