@@ -440,3 +440,21 @@ _set(
       select id, title, price, rating, url from firsts where price >= 900 and regexp_matches(title, '^[a-m]')""",
     lineitem_first_per_part="select l_partkey, min(l_orderkey * 1000 + l_linenumber) as _ord from lineitem group by 1",
 )
+
+# -- tables that change, records without a schema, SQL --------------------------------------
+_set(
+    i1_snapshot_versions=f"""with stored as ({FLAT_CATALOGUE} from ({TASKS})),
+      second as (select * replace (case when url like 'https%' then generated_at + 10 else generated_at end as generated_at) from stored)
+      select *, 'second' as version from second union all select *, 'last' from second where not contains(url, '/en/')""",
+    a4_ragged_records="""select cast(p_partkey as bigint) as id, cast(case when p_partkey % 3 = 0 then p_size end as bigint) as size,
+      case when p_partkey % 2 = 0 then cast(p_size as varchar) else p_brand end as code, case when p_partkey % 5 = 0 then p_type end as kind,
+      array_to_string(list_filter([case when p_partkey % 5 <> 0 then 'more' end, case when p_partkey % 3 = 2 then 'size' end], lambda x: x is not null), ',') as absent
+      from part""",
+    d7_merge_maps="""select p_partkey, p_name as name, case when p_partkey % 2 = 0 then 'new' else p_brand end as brand, p_type as kind,
+      case when p_partkey % 2 = 0 then 'x' end as extra, cast(p_retailprice as double) as a,
+      case when p_partkey % 2 = 0 then 1.0::double else cast(p_retailprice as double) end as b from part""",
+    j4_formats_agree=f"select id, true as same from ({ITEMS})",
+    b1_sql_function=f"select page_id, trim({unescape(H1)}) as title, len({HREFS}) as links from pages",
+    b8_rules_per_task="""select p.page_id as task, n as page_no, p.page_id + n - 1 as page_id
+      from pages p, range(1, 10) r(n) where n <= p.page_id % 10 and exists (select 1 from pages q where q.page_id = p.page_id + n - 1)""",
+)

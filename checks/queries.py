@@ -14,7 +14,7 @@ from pagegrain.operators import clean, extract, records, walk
 from pagegrain.operators import feedback as ratings
 from pagegrain.operators.process import METADATA, process_field, process_records
 from pagegrain.plans import jobs
-from pagegrain.sources import readers, writers
+from pagegrain.sources import ragged, readers, table_function, writers
 
 QUERIES = {}
 
@@ -986,3 +986,99 @@ def lineitem_first_per_part(spark, sf):
     order = F.col("l_orderkey") * 1000 + F.col("l_linenumber")
     first = records.remove_duplicates(lines.withColumn("_ord", order), "_ord", ["l_partkey"])
     return first.select("l_partkey", "_ord")
+
+
+# -- tables that change, records without a schema, SQL ---------------------------------------
+
+
+@query
+def i1_snapshot_versions(spark, sf):
+    """Two upserts and a delete on disk; the second and the last version are read."""
+    kept = store.catalogue_store(spark, storage.scratch_path(spark, "catalogue"), buckets=16)
+    stored = stored_catalogue(spark, sf)
+    kept.upsert(stored)
+    newer = F.col("metadata").withField("generated_at", F.col("metadata.generated_at") + 10)
+    second = kept.upsert(stored.where(F.col("metadata.url").startswith("https")).withColumn("metadata", newer))
+    gone = inputs.tasks(spark, sf).where(F.col("url").contains("/en/")).select("task_id")
+    store.remove(kept, gone)
+    earlier = flat_catalogue(kept.read(second)).withColumn("version", F.lit("second"))
+    return earlier.unionByName(flat_catalogue(kept.read()).withColumn("version", F.lit("last")))
+
+
+@query
+def a4_ragged_records(spark, sf):
+    """Records whose keys and types differ, read without a schema; absent keys are told from nulls."""
+    path = storage.scratch_path(spark, "ragged")
+    raw = inputs.table(spark, sf, "part")
+    some = F.col("p_partkey") % 3
+    line = F.concat(
+        F.lit('{"id":'), F.col("p_partkey").cast("string"),
+        F.when(some == 0, F.concat(F.lit(',"size":'), F.col("p_size").cast("string"))).when(some == 1, F.lit(',"size":null')).otherwise(F.lit("")),
+        F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(',"code":'), F.col("p_size").cast("string"))).otherwise(F.concat(F.lit(',"code":"'), F.col("p_brand"), F.lit('"'))),
+        F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit(',"more":{"kind":"'), F.col("p_type"), F.lit('"}'))).otherwise(F.lit("")), F.lit("}"),
+    )
+    raw.select(line.alias("value")).write.text(path)
+    found = ragged.read_ragged(spark, path)
+    return ragged.with_fields(found, ragged.observed_schema(found), absent="absent").select(
+        "id", "size", "code", F.col("more.kind").alias("kind"), F.array_join("absent", ",").alias("absent")
+    )
+
+
+@query
+def d7_merge_maps(spark, sf):
+    """Maps on both sides, nested two deep: entries merge one by one."""
+    part = inputs.table(spark, sf, "part")
+    price = F.col("p_retailprice").cast("double")
+    left = part.select("p_partkey", F.create_map(
+        F.lit("name"), F.create_map(F.lit("text"), F.col("p_name"), F.lit("brand"), F.col("p_brand")),
+        F.lit("kind"), F.create_map(F.lit("text"), F.col("p_type"))).alias("info"), F.create_map(F.lit("a"), price, F.lit("b"), price).alias("sums"))
+    even = part.where(F.col("p_partkey") % 2 == 0)
+    right = even.select("p_partkey", F.create_map(
+        F.lit("name"), F.create_map(F.lit("brand"), F.lit("new"), F.lit("text"), F.lit(None).cast("string")),
+        F.lit("extra"), F.create_map(F.lit("text"), F.lit("x"))).alias("info"), F.create_map(F.lit("b"), F.lit(1.0)).alias("sums"))
+    merged = records.merge_records(left, right, ["p_partkey"])
+    return merged.select(
+        "p_partkey", F.col("info.name.text").alias("name"), F.col("info.name.brand").alias("brand"), F.col("info.kind.text").alias("kind"),
+        F.col("info.extra.text").alias("extra"), F.col("sums.a").alias("a"), F.col("sums.b").alias("b"),
+    )
+
+
+@query
+def j4_formats_agree(spark, sf):
+    """Stamped once: both formats hold the same time of processing."""
+    folder = storage.scratch_path(spark, "formats")
+    stamped = process_records(inputs.items(spark, sf), keep=("id",)).select("id", F.col(f"{METADATA}.processed_at").alias("at"))
+    done = writers.export_formats(stamped, folder)
+    a = _read_csv(spark, done["csv"], "at", "id").select(F.col("id").cast("bigint").alias("id"), F.col("at").alias("csv_at"))
+    b = spark.read.schema("id bigint, at string").json(done["json"])
+    return a.join(b, "id").select("id", (F.col("csv_at") == F.col("at")).alias("same"))
+
+
+@query
+def b1_sql_function(spark, sf):
+    """The container query in SQL: columns come from the selector list."""
+    table_function.register(spark)
+    pages(spark, sf).createOrReplaceTempView("stored_pages")
+    rules = '[{"name":"title","selector":"h1"},{"name":"links","selector":"nav a","type":"href","multiple":true}]'
+    return spark.sql(f"""select p.page_id, e.title, cast(size(e.links) as bigint) as links
+        from stored_pages p, lateral extract_items(p.html, '{rules}') e""")
+
+
+@query
+def b8_rules_per_task(spark, sf):
+    """Each task has one of three rules, one of them for buttons; a chain over all pages is followed for up to nine pages."""
+    stored = pages(spark, sf)
+    following = stored.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
+    marks = F.concat(
+        F.lit('<a class="next" href="'), F.col("next_url"), F.lit('">next</a><a rel="more" href="'), F.col("next_url"),
+        F.lit("\">more</a><button id=\"go\" onclick=\"location.href='"), F.col("next_url"), F.lit("'\">go</button>"),
+    )
+    chained = stored.join(following, "page_id", "left").select("page_id", "url", F.concat(F.coalesce(marks, F.lit("")), F.col("html")).alias("html"))
+    kind = F.col("page_id") % 3
+    rule = F.struct(
+        F.when(kind == 0, "a.next").when(kind == 1, "a[rel=more]").otherwise("#go").alias("selector"),
+        F.when(kind == 2, "button").otherwise("link").alias("type"), F.lit(None).cast("string").alias("parameter"),
+    )
+    tasks = stored.select(F.col("page_id").cast("string").alias("task_id"), "url", (F.col("page_id") % 10).cast("int").alias("pages"), rule.alias("pagination"))
+    visits = walk.walk_pages(tasks, chained)
+    return visits.select(F.col("task_id").cast("bigint").alias("task"), F.col("page_no").cast("bigint").alias("page_no"), "page_id")

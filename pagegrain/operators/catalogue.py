@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +11,8 @@ from pagegrain import schemas
 from pagegrain.functions import text as texts
 from pagegrain.functions import urls, values
 from pagegrain.operators.records import first_per_key
+from pagegrain.operators.set_join import best_overlaps
+from pagegrain.sources.snapshots import Snapshots
 from pagegrain.storage import cut_lineage
 
 
@@ -55,6 +57,15 @@ def delete(catalogue: DataFrame, task_ids: DataFrame) -> DataFrame:
     return catalogue.join(gone, _safe() == F.col("_safe"), "left_anti")
 
 
+def catalogue_store(spark: SparkSession, folder: str, buckets: int = 64) -> Snapshots:
+    """The catalogue on disk: ``upsert`` saves configs, ``read`` gives any version; see ``remove``."""
+    return Snapshots(spark, folder, schemas.CATALOGUE, _safe(), save, buckets)
+
+
+def remove(store: Snapshots, task_ids: DataFrame) -> int:
+    return store.delete(task_ids, delete)
+
+
 # -- similar tasks ----------------------------------------------------------------
 
 
@@ -107,29 +118,13 @@ def _by_common_words(asked: DataFrame, stored: DataFrame) -> DataFrame:
     """Scored pairs by their common words alone, once per distinct (common words, size).
 
     Sets made from one template differ in rare words only, so they are one class on
-    either side. To share over half of ``n`` words within the common ones, a pair must
-    meet on one of the rarest ``common - n // 2`` of either set.
+    either side.
     """
-
-    def prefix(classes: DataFrame) -> Column:
-        return F.explode(F.slice("common", F.lit(1), F.greatest(F.size("common") - F.floor(F.col("size") / 2).cast("int"), F.lit(0))))
-
     own = asked.select("domain", "words", "common", F.size("words").alias("size"))
-    classes = own.select("domain", "common", "size").distinct()
-    kept = stored.groupBy("domain", "common", F.size("words").alias("size")).agg(F.min("task_id").alias("task_id"))
-    a = classes.select("domain", F.col("common").alias("a_common"), F.col("size").alias("a_size"), prefix(classes).alias("word"))
-    b = kept.select("domain", F.col("common").alias("b_common"), F.col("size").alias("b_size"), "task_id", prefix(kept).alias("word"))
-    shared = F.size(F.array_intersect("a_common", "b_common")) / F.greatest("a_size", "b_size")
-    pairs = a.join(b, ["domain", "word"]).where(_fit(F.col("a_size"), F.col("b_size")))
-    best = (
-        pairs.withColumn("score", shared)
-        .where(F.col("score") > fixed.SIMILARITY_THRESHOLD)
-        .groupBy("domain", F.col("a_common").alias("common"), F.col("a_size").alias("size"))
-        .agg(F.min(F.struct((-F.col("score")).alias("minus"), "task_id")).alias("best"))
-    )
-    return own.join(best, ["domain", "common", "size"]).select(
-        "domain", "words", F.col("best.task_id").alias("task_id"), (-F.col("best.minus")).alias("score")
-    )
+    classes = cut_lineage(own.select("domain", "common", "size").distinct())
+    kept = cut_lineage(stored.groupBy("domain", "common", F.size("words").alias("size")).agg(F.min("task_id").alias("task_id")))
+    best = best_overlaps(classes, kept, fixed.SIMILARITY_THRESHOLD)
+    return own.join(best, ["domain", "common", "size"]).select("domain", "words", "task_id", "score")
 
 
 def find_similar(requests: DataFrame, catalogue: DataFrame) -> DataFrame:

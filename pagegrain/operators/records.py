@@ -178,7 +178,10 @@ def union_records(*tables: DataFrame) -> DataFrame:
 
 
 def merge_records(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Deep merge on unique keys: the right value wins, struct fields merge field by field."""
+    """Deep merge on unique keys: the right value wins, struct fields and map entries merge one by one at any depth.
+
+    A null of the right side, column, field or map value, leaves the left value.
+    """
     a, b = left.alias("a"), right.alias("b")
     on = reduce(lambda x, y: x & y, [F.col(f"a.`{key}`").eqNullSafe(F.col(f"b.`{key}`")) for key in keys])
     types_a = {f.name: f.dataType for f in left.schema}
@@ -196,6 +199,11 @@ def merge_records(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
 
 
 def _merged(a: Column, b: Column, type_a: T.DataType, type_b: T.DataType) -> Column:
+    if isinstance(type_a, T.MapType) and isinstance(type_b, T.MapType) and type_a.keyType == type_b.keyType:
+        if not _mergeable(type_a.valueType, type_b.valueType):
+            return F.coalesce(b, a)
+        both = F.map_zip_with(a, b, lambda _, x, y: _merged(x, y, type_a.valueType, type_b.valueType))
+        return F.coalesce(both, b, a) if type_a.valueType == type_b.valueType else both
     if not (isinstance(type_a, T.StructType) and isinstance(type_b, T.StructType)):
         return F.coalesce(b, a)
     fields_a = {f.name: f.dataType for f in type_a}
@@ -212,6 +220,12 @@ def _merged(a: Column, b: Column, type_a: T.DataType, type_b: T.DataType) -> Col
     return F.when(a.isNotNull() | b.isNotNull(), F.struct(*parts))
 
 
+def _mergeable(type_a: T.DataType, type_b: T.DataType) -> bool:
+    """Whether map values merge entry by entry: alike, or both structs or maps."""
+    nested = (T.StructType, T.MapType)
+    return type_a == type_b or (isinstance(type_a, nested) and type(type_a) is type(type_b))
+
+
 def flatten_records(records: DataFrame, sep: str = "_") -> DataFrame:
     """Struct fields become columns named by their path; lists stay. The later name wins."""
 
@@ -226,8 +240,8 @@ def flatten_records(records: DataFrame, sep: str = "_") -> DataFrame:
     return records.select(*dict(leaves(records.schema, "", "")).values())
 
 
-def _numbered_keys(keys: DataFrame, order: list[Column]) -> DataFrame:
-    """Keys with ``_index``, their 0-based place.
+def _numbered_keys(keys: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
+    """Keys with ``_index``, their 0-based place, and how many there are.
 
     Range-partition, sort each range, and cut the lineage there: the ranges are
     then files, so counting them and numbering their rows see the same rows even
@@ -242,41 +256,51 @@ def _numbered_keys(keys: DataFrame, order: list[Column]) -> DataFrame:
     # The id holds the range in its upper bits and the place in it in the lower 33.
     ids = ranges.withColumn("_id", F.monotonically_increasing_id())
     start = F.get(F.lit(starts).cast("array<bigint>"), F.shiftright("_id", 33).cast("int"))
-    return ids.withColumn("_index", start + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
+    numbered = ids.withColumn("_index", start + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
+    return numbered, sum(sizes.values())
+
+
+def _at_or_before(bounds: Column, key: Column, most: int) -> Column:
+    """How many of the sorted ``bounds``, at most ``most``, are not after the key: a binary search."""
+    steps = [1 << at for at in reversed(range(most.bit_length()))]
+
+    def further(found: Column, step: Column) -> Column:
+        bound = F.get(bounds, found + step - 1)
+        return F.when(bound["key"] <= key, found + step).otherwise(found)
+
+    return F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), further)
 
 
 def _numbered(records: DataFrame, order_by: tuple[str, ...], group: int) -> tuple[DataFrame, int]:
     """Records with ``_index``, and how many there are; groups of ``group`` consecutive rows share a task.
 
     Only the order columns are sorted and stored, to find exact bounds at multiples of
-    ``group``. The bounds, at most one per shuffle partition, make the bucket of a row a
-    function of its key alone; the rows themselves are shuffled once, by bucket, and
-    numbered there.
+    ``group``: at most one per shuffle partition, in one array that each task searches. They
+    make the bucket of a row a function of its key alone; the rows themselves are shuffled
+    once, by bucket, and numbered there.
+
+    The records are read twice, for their keys and as a whole, so they must be the same
+    both times; store them first if they come from a clock or a random source.
     """
-    keys = _numbered_keys(records.select(*[_quoted(name) for name in order_by]), [_quoted(name) for name in order_by])
-    total = keys.agg(F.max("_index")).first()[0]
-    total = 0 if total is None else total + 1
+    keys, total = _numbered_keys(records.select(*[_quoted(name) for name in order_by]), [_quoted(name) for name in order_by])
     parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per = group * max(1, -(-total // (group * parts)))
+    most = (total - 1) // per if total else 0
     key = F.struct(*[_quoted(name).alias(f"k{at}") for at, name in enumerate(order_by)])
-    bounds = keys.where((F.col("_index") % per == 0) & (F.col("_index") > 0)).orderBy("_index").drop("_index").collect()
-    kinds = [records.schema[name].dataType for name in order_by]
-    if bounds:
-        rows = [
-            F.struct(*[F.lit(value).cast(kind).alias(f"k{at}") for at, (value, kind) in enumerate(zip(row, kinds))])
-            for row in bounds
-        ]
-        bucket = F.size(F.filter(F.array(*rows), lambda bound: bound <= key))
-    else:
-        bucket = F.lit(0)
-    sizes = {row["_bucket"]: row["n"] for row in keys.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts = [0]
-    for at in range(len(bounds)):
-        starts.append(starts[-1] + sizes.get(at, 0))
+    if not most:
+        nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*[_quoted(name) for name in order_by]))
+        return records.withColumn("_index", (nth - 1).cast("bigint")), total
+    # A bucket begins at the first of the rows that share its bound's key.
+    told = keys.select(key.alias("key"), "_index")
+    marks = told.where((F.col("_index") % per == 0) & (F.col("_index") > 0)).select(F.col("key").alias("mark")).distinct()
+    firsts = told.join(F.broadcast(marks), F.col("key").eqNullSafe(F.col("mark"))).groupBy("key").agg(F.min("_index").alias("first"))
+    # One row, so that the plan does not grow with the number of bounds.
+    one = F.broadcast(firsts.agg(F.array_sort(F.collect_list(F.struct("key", "first"))).alias("_bounds")))
+    bucket = _at_or_before(F.col("_bounds"), key, most)
+    start = F.coalesce(F.get("_bounds", F.col("_bucket") - 1)["first"], F.lit(0))
+    rows = records.crossJoin(one).withColumn("_bucket", bucket).withColumn("_start", start).drop("_bounds")
     nth = F.row_number().over(Window.partitionBy("_bucket").orderBy(*[_quoted(name) for name in order_by]))
-    start = F.get(F.lit(starts).cast("array<bigint>"), F.col("_bucket"))
-    rows = records.withColumn("_bucket", bucket)
-    return rows.withColumn("_index", start + nth - 1).drop("_bucket"), total
+    return rows.withColumn("_index", F.col("_start") + nth - 1).drop("_bucket", "_start"), total
 
 
 def with_row_number(records: DataFrame, *order_by: str, name: str = "_index") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,9 @@ from pagegrain.functions import urls
 from pagegrain.operators.extract import page_items, page_items_by_row, pagination_rule, raw_rule
 from pagegrain.storage import broadcast_if_small, cut_lineage, text_bytes
 
+#: Rules of one host that a scan tries on all its pages; with more, pages are read for the rules that reach them.
+MOST_RULES = 64
+
 
 def page_addresses(pages: DataFrame, at: Column | None = None) -> DataFrame:
     """``_at, page_id``: the stored page found under each sanitised address.
@@ -36,6 +37,77 @@ def _all_links(pages: DataFrame, pagination: dict) -> DataFrame:
     return cut_lineage(pages.select("page_id", raw.alias("_raw")).where(F.col("_raw").isNotNull()))
 
 
+def _host_rules(tasks: DataFrame) -> DataFrame:
+    """``_host, _rules``: the rules of tasks that start on a host, where they are few."""
+    rules = tasks.where(F.col("_rule.selector") != "").groupBy(urls.domain(F.col("url")).alias("_host")).agg(F.collect_set("_rule").alias("_rules"))
+    return rules.where(F.size("_rules") <= MOST_RULES)
+
+
+def _host_links(host_rules: DataFrame, pages: DataFrame) -> DataFrame:
+    """``page_id, _rule, _raw`` of every page under all rules of its host: one scan, each page read once."""
+    work = pages.select("page_id", "html", urls.domain(F.col("url")).alias("_host")).join(broadcast_if_small(host_rules), "_host")
+    named = F.transform("_rules", lambda rule, at: F.struct(
+        F.concat(F.lit("r"), at.cast("string")).alias("name"), rule["selector"].alias("selector"), F.lit("attribute").alias("type"),
+        F.when(rule["type"] == "button", F.lit("onclick")).otherwise(F.lit("href")).alias("attribute")))
+    item = F.get(page_items_by_row(F.col("html"), F.to_json(named)), F.lit(0))
+    found = work.select("page_id", "_rules", item.alias("_item")).where(F.col("_item").isNotNull())
+    each = found.select("page_id", "_item", F.posexplode("_rules").alias("_at", "_rule"))
+    raw = F.get(F.col("_item")[F.concat(F.lit("r"), F.col("_at").cast("string"))], F.lit(0))
+    return cut_lineage(each.select("page_id", "_rule", raw.alias("_raw")).where(F.col("_raw").isNotNull()))
+
+
+class _Steps:
+    """Where a rule leads from an address: ``_rule, url, page_id, _next``, for addresses of stored pages."""
+
+    def __init__(self, pages: DataFrame, tasks: DataFrame, pagination: dict | None):
+        self.pages, self.fixed = pages, pagination
+        self.addresses = cut_lineage(page_addresses(pages))
+        if pagination is not None:
+            self.links, self.scanned = _all_links(pages, pagination), None
+        else:
+            self.scanned = cut_lineage(_host_rules(tasks))
+            self.links = _host_links(self.scanned, pages)
+        self.on = ["page_id"] if pagination is not None else ["page_id", "_rule"]
+
+    def starts(self, tasks: DataFrame) -> DataFrame:
+        """Addresses to begin with: those of tasks, and of every page a rule leads on from."""
+        asked = tasks.select("_rule", "url")
+        linked = self.links.select(*self.on).join(self.pages.select("page_id", "url"), "page_id")
+        if self.fixed is not None:
+            linked = linked.select(_rule_column(self.fixed).alias("_rule"), "url")
+        return asked.unionByName(linked.select("_rule", "url")).distinct()
+
+    def of(self, states: DataFrame) -> DataFrame:
+        here = states.withColumn("_at", urls.sanitise_url(F.col("url"))).join(self.addresses, "_at").drop("_at")
+        links = self.links
+        if self.fixed is None:
+            # Pages of other hosts, and of hosts with many rules, are read for the rules that reach them.
+            hosts = self.pages.select("page_id", urls.domain(F.col("url")).alias("_host"))
+            done = self.scanned.select("_host", F.explode("_rules").alias("_rule"))
+            wanted = here.where(F.col("_rule.selector") != "").select("page_id", "_rule").distinct()
+            missing = cut_lineage(wanted.join(hosts, "page_id").join(done, ["_host", "_rule"], "left_anti").select("page_id", "_rule"))
+            size = text_bytes(missing)
+            if size:
+                links = links.unionByName(_raw_links(broadcast_if_small(missing, size=size), self.pages))
+        kind = F.col("_rule.type") if self.fixed is None else self.fixed.get("type") or "link"
+        following = urls.next_page(kind, F.col("url"), F.col("_raw"), F.col("_rule.parameter"))
+        linked = here.join(links, self.on, "left").withColumn("_next", F.when(F.col("_raw").isNotNull() & (F.col("_rule.selector") != ""), following))
+        return linked.select("_rule", "url", "page_id", F.when(F.col("_next") != F.col("url"), F.col("_next")).alias("_next"))
+
+    def table(self, tasks: DataFrame) -> DataFrame:
+        """Steps of all addresses that can be met. Those written in another way than their page's are added until there are none."""
+        known = cut_lineage(self.starts(tasks))
+        table = cut_lineage(self.of(known))
+        fresh = table
+        while True:
+            target = fresh.where("_next is not null").select("_rule", F.col("_next").alias("url")).distinct()
+            new = cut_lineage(target.join(known, ["_rule", "url"], "left_anti"))
+            if new.isEmpty():
+                return table
+            fresh = cut_lineage(self.of(new))
+            known, table = known.unionByName(new), table.unionByName(fresh)
+
+
 def walk_pages(
     tasks: DataFrame,
     pages: DataFrame,
@@ -49,50 +121,37 @@ def walk_pages(
     and the column may be missing. A walk ends at a page that is not stored, without
     a next link, or with a link to the same address. Longer loops run to the limit.
 
-    Rounds join narrow tables on the address. With one rule for all, a single scan
-    reads the links of every page before the first round. With a rule per task, markup
-    joins on the page id in each round, for visited pages and their own rules only (a
-    scan that tried all rules of a host on all its pages would grow with their product),
-    and stays in place while the visited ids are few enough to broadcast. Each round's
-    visits are checkpointed, so round n does not replay the rounds before it.
+    One scan of the pages, for all rules of their host, gives a table of steps: where a
+    rule leads from an address. Rounds then double the length of steps and of walks
+    alike: two steps of n pages make one of 2n, and it takes the first n pages of a
+    walk to the next n. So their number is the logarithm of the longest walk, and they
+    join narrow tables of numbers, each checkpointed.
     """
     if pagination is not None and not pagination.get("selector"):
         max_pages = 1
-    rule = _rule_column(pagination)
-    # Long expressions, so each is built once.
-    address = urls.sanitise_url(F.col("url"))
-    kind = F.col("_rule.type") if pagination is None else pagination.get("type") or "link"
-    following = urls.next_page(kind, F.col("url"), F.col("_raw"), F.col("_rule.parameter"))
-    addresses = cut_lineage(page_addresses(pages, address))
-    if max_pages is None:
-        max_pages = tasks.agg(F.max(F.coalesce("pages", F.lit(1)))).first()[0] or 0
-    frontier = tasks.select("task_id", F.coalesce("pages", F.lit(1)).alias("_pages"), rule.alias("_rule"), "url")
-    rounds, links = [], None
-    for number in range(1, max_pages + 1):
-        asked = frontier.where(F.col("_pages") >= number).withColumn("_at", address)
-        hits = cut_lineage(asked.join(addresses, "_at").drop("_at"))
-        rounds.append(hits.select("task_id", F.lit(number).alias("page_no"), "url", "page_id"))
-        if number == max_pages or hits.isEmpty():
-            break
-        going = hits.where((F.col("_pages") > number) & (F.col("_rule.selector") != ""))
-        if pagination is not None:
-            if links is None:
-                links = _all_links(pages, pagination)
-            linked = going.join(links, "page_id")
-        else:
-            wanted = going.select("page_id", "_rule").distinct()
-            size = text_bytes(wanted)
-            if not size:
-                break
-            linked = going.join(_raw_links(broadcast_if_small(wanted, size=size), pages), ["page_id", "_rule"])
-        frontier = (
-            linked.withColumn("_next", following)
-            .where(F.col("_next") != F.col("url"))
-            .select("task_id", "_pages", "_rule", F.col("_next").alias("url"))
-        )
-    if not rounds:
-        return tasks.select("task_id", F.lit(0).alias("page_no"), "url", F.lit(0).cast("bigint").alias("page_id")).limit(0)
-    return reduce(lambda a, b: a.unionByName(b), rounds)
+    limit = F.coalesce("pages", F.lit(1)).cast("long")
+    limit = limit if max_pages is None else F.least(limit, F.lit(max_pages))
+    asked = cut_lineage(tasks.select("task_id", limit.alias("_pages"), _rule_column(pagination).alias("_rule"), "url").where("_pages > 0"))
+    longest = asked.agg(F.max("_pages")).first()[0] or 0
+    if longest < 2:
+        here = asked.withColumn("_at", urls.sanitise_url(F.col("url"))).join(page_addresses(pages), "_at")
+        return here.select("task_id", F.lit(1).alias("page_no"), "url", "page_id")
+    # Numbers are given once, in a checkpoint, and stand for a rule and an address.
+    table = cut_lineage(_Steps(pages, asked, pagination).table(asked).withColumn("_from", F.monotonically_increasing_id()))
+    names = table.select("_rule", "url", "_from")
+    to = names.select("_rule", F.col("url").alias("_next"), F.col("_from").alias("_to"))
+    jump = cut_lineage(table.where("_next is not null").join(to, ["_rule", "_next"]).select("_from", "_to"))
+    visits = cut_lineage(asked.join(names, ["_rule", "url"]).select("task_id", "_pages", F.lit(0).cast("long").alias("_no"), F.col("_from").alias("_state")))
+    length = 1
+    while length < longest:
+        further = visits.where(F.col("_no") + length < F.col("_pages")).join(jump, F.col("_state") == F.col("_from"))
+        visits = cut_lineage(visits.unionByName(further.select("task_id", "_pages", (F.col("_no") + length).alias("_no"), F.col("_to").alias("_state"))))
+        length *= 2
+        if length < longest:
+            second = jump.select(F.col("_from").alias("_to"), F.col("_to").alias("_then"))
+            jump = cut_lineage(jump.join(second, "_to").select("_from", F.col("_then").alias("_to")))
+    places = table.select(F.col("_from").alias("_state"), "url", "page_id")
+    return visits.join(places, "_state").select("task_id", (F.col("_no") + 1).cast("int").alias("page_no"), "url", "page_id")
 
 
 def _rule_column(pagination: dict | None) -> Column:

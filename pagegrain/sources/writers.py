@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from pagegrain.functions.shown import as_text
 from pagegrain.operators.records import with_chunks
+from pagegrain.storage import remove_scratch, scratch_path
 
 log = logging.getLogger(__name__)
 
@@ -68,18 +69,30 @@ def export(records: DataFrame, path: str, format_type: str = "csv", mode: str =
 def export_formats(records: DataFrame, folder: str, formats: list[str] = ("csv", "json")) -> dict[str, str]:
     """Write several formats; unknown ones are skipped.
 
-    Each format computes the records anew, so nothing is held on executors. A
-    format that fails is logged and does not stop the others.
+    The records are computed once, into a table in the shared folder that every format is written
+    from and that goes when they are, so all formats hold the same rows and stamps. A format that
+    fails is logged and does not stop the others.
     """
-    written = {}
+    wanted = []
     for name in dict.fromkeys(f.lower() for f in formats):
-        if name not in FORMATS:
+        if name in FORMATS:
+            wanted.append(name)
+        else:
             log.warning("format %s is not supported, skipped", name)
-            continue
-        try:
-            written[name] = FORMATS[name](records, f"{folder}/{name}")
-        except Exception:
-            log.exception("export to %s failed", name)
+    if not wanted:
+        return {}
+    spark, path = records.sparkSession, scratch_path(records.sparkSession, "formats")
+    written = {}
+    try:
+        records.write.parquet(path)
+        once = spark.read.schema(records.schema).parquet(path)
+        for name in wanted:
+            try:
+                written[name] = FORMATS[name](once, f"{folder}/{name}")
+            except Exception:
+                log.exception("export to %s failed", name)
+    finally:
+        remove_scratch(spark, path)
     return written
 
 
