@@ -156,7 +156,7 @@ _set(
         lambda x: {strip("x")}), '') as article,
       len(regexp_extract_all(regexp_extract(html, '<article>(.*)</article>', 1), '<p>')) as n from pages""",
     b1_unusable_rules=f"""select task_id, case when page_id % 2 = 0 then 'f' || page_id else 'container' end as name,
-      case when page_id % 2 = 0 then 'p:not(.x)' else 'li:nth-of-type(2)' end as selector, page_id % 2 = 1 as is_container from ({TASKS})""",
+      case when page_id % 2 = 0 then 'p:hover' else 'li:nth-child(2 of .x)' end as selector, page_id % 2 = 1 as is_container from ({TASKS})""",
     b5_next_by_link=f"select page_id, {BASE} || {HREFS}[1] as next_url from pages",
     b6_next_by_button=f"""select page_id, case when page_id % 2 = 0
         then {BASE} || regexp_replace({_part("url", 3)}, '/?[^/]*$', '') || '/p' || page_id || '.html'
@@ -458,3 +458,8 @@ _set(
     b8_rules_per_task="""select p.page_id as task, n as page_no, p.page_id + n - 1 as page_id
       from pages p, range(1, 10) r(n) where n <= p.page_id % 10 and exists (select 1 from pages q where q.page_id = p.page_id + n - 1)""",
 )
+
+_set(
+    b1_wider_grammar=f"""select page_id, array_to_string(list_filter({HREFS}, lambda x, i: i % 2 = 1), '|') as odd,
+      array_to_string({HREFS}[2:], '|') as later, {HREFS}[-1] as last, trim({unescape(H1)}) as title, 'utf-8' as charset, cast(null as varchar) as none from pages""",
+)

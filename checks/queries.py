@@ -199,8 +199,8 @@ def b4_article_text(spark, sf):
 def b1_unusable_rules(spark, sf):
     """Catalogue rules outside the grammar, one of them a container."""
     one = F.struct(F.lit("a").alias("name"), F.lit("h1").alias("selector"), F.lit(None).cast("boolean").alias("container"))
-    two = F.struct(F.concat(F.lit("f"), "page_id").alias("name"), F.lit("p:not(.x)").alias("selector"), F.lit(None).cast("boolean").alias("container"))
-    box = F.struct(F.lit("container").alias("name"), F.lit("li:nth-of-type(2)").alias("selector"), F.lit(True).alias("container"))
+    two = F.struct(F.concat(F.lit("f"), "page_id").alias("name"), F.lit("p:hover").alias("selector"), F.lit(None).cast("boolean").alias("container"))
+    box = F.struct(F.lit("container").alias("name"), F.lit("li:nth-child(2 of .x)").alias("selector"), F.lit(True).alias("container"))
     made = inputs.tasks(spark, sf).select("task_id", F.when(F.col("page_id") % 2 == 0, F.array(one, two)).otherwise(F.array(box, one)).alias("selectors"))
     return extract.unusable_rules(made)
 
@@ -1082,3 +1082,15 @@ def b8_rules_per_task(spark, sf):
     tasks = stored.select(F.col("page_id").cast("string").alias("task_id"), "url", (F.col("page_id") % 10).cast("int").alias("pages"), rule.alias("pagination"))
     visits = walk.walk_pages(tasks, chained)
     return visits.select(F.col("task_id").cast("bigint").alias("task"), F.col("page_no").cast("bigint").alias("page_no"), "page_id")
+
+
+@query
+def b1_wider_grammar(spark, sf):
+    """Selectors as generators write them: negation, counted places, elements that hold others, case put aside."""
+    rules = config(
+        rule("odd", "nav li:nth-child(2n+1) a", "href", multiple=True), rule("later", "nav li:not(:first-child) > a", "href", multiple=True),
+        rule("last", "nav li:nth-last-of-type(1) a", "href"), rule("title", "article:has(> h1) h1:only-of-type, article:is(.none)"),
+        rule("charset", 'meta[CHARSET="UTF-8" i]', "attribute", attribute="charset"), rule("none", "nav:has(video) a"),
+    )
+    found = extract.extract_records(pages(spark, sf), rules, ("page_id",))
+    return found.select("page_id", F.array_join("odd", "|").alias("odd"), F.array_join("later", "|").alias("later"), "last", "title", "charset", "none")

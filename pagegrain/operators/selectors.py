@@ -17,46 +17,108 @@ from pagegrain import fixed_values as fixed
 
 _SIMPLE = re.compile(
     r"(?P<tag>\*|[A-Za-z][\w-]*)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)"
-    r"|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~^$*]?=)\s*(?P<val>\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\]"
-    r"|:(?:(?P<edge>first|last)-child|nth-child\(\s*(?P<nth>\d+)\s*\))"
+    r"|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?P<val>\"[^\"]*\"|'[^']*'|[\w-]+)\s*(?P<flag>[iIsS])?\s*)?\]"
+    r"|:(?P<pseudo>[a-z-]+)(?P<open>\(\s*)?"
 )
-_COMBINATOR = re.compile(r"\s*([>+~,])\s*|\s+")
+_COMBINATOR = re.compile(r"\s*([>+~])\s*|\s+")
+_END = re.compile(r"\s*(?=[,)])|\s*\Z")
+_NTH = re.compile(r"(?:(odd|even)|([+-]?\d*)n\s*(?:([+-])\s*(\d+))?|([+-]?\d+))\s*\)", re.IGNORECASE)
+#: Counted places: whether from the end, and whether among elements of the same tag.
+_COUNTED = {"child": (False, False), "last-child": (True, False), "of-type": (False, True), "last-of-type": (True, True)}
 
 
 def compile_selector(text: str) -> list[list[tuple]]:
     """Groups of ``(combinator, tag, tests)`` steps; ValueError outside the grammar."""
-    groups, steps, tests, tag, comb, at = [], [], [], None, "", 0
     text = text.strip()
-    while at <= len(text):
-        found = _SIMPLE.match(text, at) if at < len(text) else None
-        if found and not (found["tag"] and (tag or tests)):
-            if found["tag"]:
-                tag = found["tag"].lower()
-            elif found["id"]:
-                tests.append(("id", "=", found["id"]))
-            elif found["cls"]:
-                tests.append(("class", "~=", found["cls"]))
-            elif found["attr"]:
-                value = found["val"]
-                if value and value[0] in "\"'":
-                    value = value[1:-1]
-                tests.append((found["attr"].lower(), found["op"] or "has", value))
-            else:
-                tests.append(("", found["edge"] or "nth", int(found["nth"] or 0)))
-            at = found.end()
-            continue
-        gap = _COMBINATOR.match(text, at) if at < len(text) else None
-        if not (tag or tests) or (at < len(text) and not gap):
-            raise ValueError(f"unsupported selector {text!r} at position {at}")
-        steps.append((comb, tag, tuple(tests)))
-        tests, tag, comb = [], None, (gap[1] or " ") if gap else ""
-        if comb in ("", ","):
-            groups.append(steps)
-            steps, comb = [], ""
-        at = gap.end() if gap else at + 1
+    groups, at = _list(text, 0)
+    if at < len(text):
+        raise _unsupported(text, at)
     return groups
 
 
+def _unsupported(text: str, at: int) -> ValueError:
+    return ValueError(f"unsupported selector {text!r} at position {at}")
+
+
+def _list(text: str, at: int, relative: bool = False) -> tuple[list[list[tuple]], int]:
+    """Groups from ``at`` up to the end or an unmatched ``)``; relative ones may begin with a combinator."""
+    groups = []
+    while True:
+        steps, comb = [], " " if relative else ""
+        gap = _COMBINATOR.match(text, at)
+        if gap and (relative or not gap[1]):
+            comb, at = gap[1] or comb, gap.end()
+        while True:
+            tag, tests, at = _compound(text, at)
+            steps.append((comb, tag, tests))
+            end = _END.match(text, at)
+            if end:
+                at = end.end()
+                break
+            gap = _COMBINATOR.match(text, at)
+            if not gap:
+                raise _unsupported(text, at)
+            comb, at = gap[1] or " ", gap.end()
+        groups.append(steps)
+        if text[at : at + 1] != ",":
+            return groups, at
+        at += 1
+
+
+def _compound(text: str, at: int) -> tuple[str | None, tuple, int]:
+    tag, tests, begin = None, [], at
+    while found := _SIMPLE.match(text, at):
+        if found["tag"]:
+            if tag or tests:
+                break
+            tag = found["tag"].lower()
+        elif found["id"]:
+            tests.append(("id", "=", found["id"]))
+        elif found["cls"]:
+            tests.append(("class", "~=", found["cls"]))
+        elif found["attr"]:
+            value, op = found["val"], found["op"] or "has"
+            if value and value[0] in "\"'":
+                value = value[1:-1]
+            folded = (found["flag"] or "").lower() == "i"
+            tests.append((found["attr"].lower(), op + "i" if folded else op, value.lower() if folded else value))
+        else:
+            more, at = _pseudo(text, found)
+            tests += more
+            continue
+        at = found.end()
+    if at == begin:
+        raise _unsupported(text, at)
+    return tag, tuple(tests), at
+
+
+def _pseudo(text: str, found: re.Match) -> tuple[list[tuple], int]:
+    name, at = found["pseudo"], found.end()
+    edge, _, rest = name.partition("-")
+    if not found["open"]:
+        if name in ("empty", "root"):
+            return [("", name, None)], at
+        if edge in ("first", "last", "only") and rest in ("child", "of-type"):
+            ends = {"first": (False,), "last": (True,), "only": (False, True)}[edge]
+            return [("", "nth", (0, 1, end, rest == "of-type")) for end in ends], at
+    elif edge == "nth" and rest in _COUNTED:
+        nth = _NTH.match(text, at)
+        if nth:
+            word, step, sign, more, alone = nth.groups()
+            if word:
+                a, b = 2, int(word.lower() == "odd")
+            elif alone:
+                a, b = 0, int(alone)
+            else:
+                a, b = int(step + "1" if step in ("", "+", "-") else step), int((sign or "") + (more or "0"))
+            return [("", "nth", (a, b, *_COUNTED[rest]))], nth.end()
+    elif name in ("not", "is", "where", "has"):
+        groups, end = _list(text, at, name == "has")
+        if text[end : end + 1] == ")":
+            return [("", "is" if name == "where" else name, groups)], end + 1
+    raise _unsupported(text, found.start())
+
+
 class PageReader(HTMLParser):
     """Elements of one page in document order; element 0 is the document itself.
 
@@ -71,6 +133,7 @@ class PageReader(HTMLParser):
         self.pieces, self.parts, self.own_text = [], [], {}
         self._open, self._open_tags, self._hidden, self._kept_space = [], {}, 0, 0
         self._void_done, self._data, self._keep_markup = {}, [], keep_markup
+        self._known, self._places = {}, None
         self._start("", [])
         # Behind the last ">" no tag can end. Left to the parser, that part would be
         # searched again from every "<" in it.
@@ -198,8 +261,7 @@ class PageReader(HTMLParser):
     def _walk(self, steps) -> list[int]:
         left = []
         for comb, tag, tests in steps:
-            pool = self.by_tag.get(tag, []) if tag and tag != "*" else range(1, len(self.tag))
-            pool = [e for e in pool if all(self._test(e, *test) for test in tests)]
+            pool = self._pool(tag, tests)
             if comb == " ":
                 pool = self._below(left, pool)
             elif comb in (">", "+"):
@@ -225,22 +287,75 @@ class PageReader(HTMLParser):
 
     def _test(self, e, name, op, value) -> bool:
         if not name:
-            if op == "nth":
-                return self.place[e] == value
-            return self.prev[e] < 0 if op == "first" else self.last_kid[self.parent[e]] == e
+            return self._structure(e, op, value)
         actual = self.attrs[e].get(name)
         if actual is None or op == "has":
             return actual is not None
+        if op.endswith("i"):
+            actual, op = actual.lower(), op[:-1]
         if op == "=":
             return actual == value
         if op == "~=":
             return value in actual.split()
+        if op == "|=":
+            return actual == value or actual.startswith(value + "-")
         if op == "^=":
             return value != "" and actual.startswith(value)
         if op == "$=":
             return value != "" and actual.endswith(value)
         return value != "" and value in actual
 
+    def _structure(self, e, op, value) -> bool:
+        if op == "nth":
+            a, b, from_end, of_type = value
+            if of_type:
+                first, total = self._types()
+                place = total[self.parent[e], self.tag[e]] - first[e] + 1 if from_end else first[e]
+            else:
+                place = self.place[self.last_kid[self.parent[e]]] - self.place[e] + 1 if from_end else self.place[e]
+            return place == b if a == 0 else (place - b) % a == 0 and (place - b) // a >= 0
+        if op == "empty":
+            return self.kid_count[e] == 0
+        if op == "root":
+            return self.parent[e] == 0
+        known = self._known.get(id(value))
+        if known is None:
+            found = set().union(*[self._having(steps) for steps in value]) if op == "has" else set(self.select(value))
+            known = self._known[id(value)] = value, found  # the value is held, so its id stays its own
+        return (e in known[1]) != (op == "not")
+
+    def _types(self):
+        """Place of each element among its siblings of the same tag, and how many there are; counted once."""
+        if self._places is None:
+            total, first = {}, [0]
+            for e in range(1, len(self.tag)):
+                key = self.parent[e], self.tag[e]
+                total[key] = total.get(key, 0) + 1
+                first.append(total[key])
+            self._places = first, total
+        return self._places
+
+    def _pool(self, tag, tests) -> list[int]:
+        pool = self.by_tag.get(tag, []) if tag and tag != "*" else range(1, len(self.tag))
+        return [e for e in pool if all(self._test(e, *test) for test in tests)]
+
+    def _having(self, steps) -> list[int]:
+        """Elements from which the steps lead somewhere, found from the last step back."""
+        reached = self._pool(*steps[-1][1:])
+        for at in range(len(steps) - 1, -1, -1):
+            comb = steps[at][0]
+            pool = self._pool(*steps[at - 1][1:]) if at else range(1, len(self.tag))
+            if comb == " ":
+                reached = [e for e in pool if (nth := bisect_right(reached, e)) < len(reached) and reached[nth] <= self.last[e]]
+            elif comb in (">", "+"):
+                link = self.parent if comb == ">" else self.prev
+                known = {link[e] for e in reached}
+                reached = [e for e in pool if e in known]
+            else:
+                latest = {self.parent[e]: e for e in reached}
+                reached = [e for e in pool if e < latest.get(self.parent[e], -1)]
+        return reached
+
     # -- values
     def value(self, e: int, kind: str, attribute: str) -> str:
         if kind == "html":
