@@ -290,17 +290,24 @@ def _numbered(records: DataFrame, order_by: tuple[str, ...], group: int) -> tupl
     if not most:
         nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*[_quoted(name) for name in order_by]))
         return records.withColumn("_index", (nth - 1).cast("bigint")), total
-    # A bucket begins at the first of the rows that share its bound's key.
-    told = keys.select(key.alias("key"), "_index")
-    marks = told.where((F.col("_index") % per == 0) & (F.col("_index") > 0)).select(F.col("key").alias("mark")).distinct()
-    firsts = told.join(F.broadcast(marks), F.col("key").eqNullSafe(F.col("mark"))).groupBy("key").agg(F.min("_index").alias("first"))
-    # One row, so that the plan does not grow with the number of bounds.
-    one = F.broadcast(firsts.agg(F.array_sort(F.collect_list(F.struct("key", "first"))).alias("_bounds")))
-    bucket = _at_or_before(F.col("_bounds"), key, most)
-    start = F.coalesce(F.get("_bounds", F.col("_bucket") - 1)["first"], F.lit(0))
-    rows = records.crossJoin(one).withColumn("_bucket", bucket).withColumn("_start", start).drop("_bounds")
+    options = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+    told = keys.select(key.alias("key"), F.to_json(key, options).alias("text"), "_index")
+    near = told.where(((F.col("_index") + 1) % per <= 1) & (F.col("_index") >= per - 1)).select("text", "_index").collect()  # two rows per bound
+    at = {row["_index"]: row["text"] for row in near}
+    bounds = {at[index]: index for index in range(total - total % per if total % per else total - per, 0, -per)}
+    if any(at[index - 1] == text for text, index in bounds.items()):
+        # A bucket begins at the first of the rows that share its bound's key.
+        firsts = told.where(F.col("text").isin(list(bounds))).groupBy("text").agg(F.min("_index").alias("first"))
+        bounds = {row["text"]: row["first"] for row in firsts.collect()}
+    # One constant, so that the plan does not grow with the number of bounds.
+    listed = ",".join(f'{{"key":{text},"first":{first}}}' for text, first in sorted(bounds.items(), key=lambda bound: bound[1]))
+    kind = T.ArrayType(T.StructType([T.StructField("key", told.schema["key"].dataType), T.StructField("first", T.LongType())]))
+    constant = F.from_json(F.lit(f"[{listed}]"), kind, options)
+    bucket = _at_or_before(constant, key, len(bounds))
+    start = F.coalesce(F.get(constant, F.col("_bucket") - 1)["first"], F.lit(0))
+    rows = records.withColumn("_bucket", bucket)
     nth = F.row_number().over(Window.partitionBy("_bucket").orderBy(*[_quoted(name) for name in order_by]))
-    return rows.withColumn("_index", F.col("_start") + nth - 1).drop("_bucket", "_start"), total
+    return rows.withColumn("_index", start + nth - 1).drop("_bucket"), total
 
 
 def with_row_number(records: DataFrame, *order_by: str, name: str = "_index") -> DataFrame:

@@ -61,7 +61,7 @@ def _widths(asked: DataFrame, stored: DataFrame) -> DataFrame:
     met = words(asked, "a").join(words(stored, "b"), ["domain", "family", "word"]).groupBy("domain", "family").agg(F.sum(F.col("a") * F.col("b")).alias("met"))
     both = sizes(asked, "a").join(sizes(stored, "b"), ["domain", "family"]).join(met, ["domain", "family"])
     told = both.select("domain", "family", "a", "b", "met", "spare_a", "spare_b", F.greatest("most_a", "most_b").alias("most"), F.least("needed_a", "needed_b").alias("needed"))
-    return told.mapInArrow(_choose, "domain string, family int, width int, expected double")
+    return told.mapInArrow(_choose, "domain string, family int, width int, expected double, sets long")
 
 
 def _choose(batches):
@@ -83,8 +83,8 @@ def _choose(batches):
                     expected = pairs * keys**2 / max(combinations(vocabulary, width), 1.0)
                     options.append(((row["a"] + row["b"]) * keys + expected, width, expected))
             _, width, expected = min(options)
-            out.append({"domain": row["domain"], "family": row["family"], "width": width, "expected": expected})
-        schema = pa.schema([("domain", pa.string()), ("family", pa.int32()), ("width", pa.int32()), ("expected", pa.float64())])
+            out.append({"domain": row["domain"], "family": row["family"], "width": width, "expected": expected, "sets": row["a"]})
+        schema = pa.schema([("domain", pa.string()), ("family", pa.int32()), ("width", pa.int32()), ("expected", pa.float64()), ("sets", pa.int64())])
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
@@ -102,7 +102,7 @@ def _keyed(rows: DataFrame, widths: DataFrame) -> DataFrame:
         lambda found, _: F.flatten(F.transform(found, lambda c: following(c["last"] + 1, c["key"]))),
     )
     placed = rows.join(widths, ["domain", "family"]).withColumn("prefix", F.slice("common", F.lit(1), F.col("spare") + F.col("width")))
-    return placed.withColumn("key", F.explode(F.transform(wider, lambda c: c["key"]))).drop("prefix", "spare", "needed", "width", "expected")
+    return placed.withColumn("key", F.explode(F.transform(wider, lambda c: c["key"]))).drop("prefix", "spare", "needed", "width", "expected", "sets")
 
 
 def _matches(asked: DataFrame, stored: DataFrame, widths: DataFrame, level: float, least: float) -> DataFrame:
@@ -126,8 +126,8 @@ def best_overlaps(asked: DataFrame, stored: DataFrame, least: float) -> DataFram
     parts, rest = [], asked
     a, b = _families(rest, least, least), _families(stored, least, least)
     widths = cut_lineage(_widths(a, b))
-    total = widths.agg(F.sum("expected")).first()[0] or 0
-    if total > MANY * asked.count():
+    expected, sets = widths.agg(F.sum("expected"), F.sum("sets")).first()
+    if (expected or 0) > MANY * (sets or 0):
         for level in LEVELS:
             high = _families(rest, level, least), _families(stored, level, least)
             parts.append(cut_lineage(_matches(*high, cut_lineage(_widths(*high)), level, least)))

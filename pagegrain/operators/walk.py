@@ -61,7 +61,11 @@ class _Steps:
 
     def __init__(self, pages: DataFrame, tasks: DataFrame, pagination: dict | None):
         self.pages, self.fixed = pages, pagination
-        self.addresses = cut_lineage(page_addresses(pages))
+        # Long expressions, so each is built once.
+        self.address = urls.sanitise_url(F.col("url"))
+        kind = F.col("_rule.type") if pagination is None else pagination.get("type") or "link"
+        self.following = urls.next_page(kind, F.col("url"), F.col("_raw"), F.col("_rule.parameter"))
+        self.addresses = cut_lineage(page_addresses(pages, self.address))
         if pagination is not None:
             self.links, self.scanned = _all_links(pages, pagination), None
         else:
@@ -77,35 +81,35 @@ class _Steps:
             linked = linked.select(_rule_column(self.fixed).alias("_rule"), "url")
         return asked.unionByName(linked.select("_rule", "url")).distinct()
 
-    def of(self, states: DataFrame) -> DataFrame:
-        here = states.withColumn("_at", urls.sanitise_url(F.col("url"))).join(self.addresses, "_at").drop("_at")
+    def here(self, states: DataFrame) -> DataFrame:
+        """States whose page is stored."""
+        return states.withColumn("_at", self.address).join(self.addresses, "_at").drop("_at")
+
+    def of(self, here: DataFrame) -> DataFrame:
         links = self.links
         if self.fixed is None:
             # Pages of other hosts, and of hosts with many rules, are read for the rules that reach them.
             hosts = self.pages.select("page_id", urls.domain(F.col("url")).alias("_host"))
             done = self.scanned.select("_host", F.explode("_rules").alias("_rule"))
             wanted = here.where(F.col("_rule.selector") != "").select("page_id", "_rule").distinct()
-            missing = cut_lineage(wanted.join(hosts, "page_id").join(done, ["_host", "_rule"], "left_anti").select("page_id", "_rule"))
-            size = text_bytes(missing)
-            if size:
+            missing = wanted.join(hosts, "page_id").join(done, ["_host", "_rule"], "left_anti").select("page_id", "_rule")
+            if not missing.isEmpty():
+                missing = cut_lineage(missing)
+                size = text_bytes(missing)
                 links = links.unionByName(_raw_links(broadcast_if_small(missing, size=size), self.pages))
-        kind = F.col("_rule.type") if self.fixed is None else self.fixed.get("type") or "link"
-        following = urls.next_page(kind, F.col("url"), F.col("_raw"), F.col("_rule.parameter"))
-        linked = here.join(links, self.on, "left").withColumn("_next", F.when(F.col("_raw").isNotNull() & (F.col("_rule.selector") != ""), following))
+        linked = here.join(links, self.on, "left").withColumn("_next", F.when(F.col("_raw").isNotNull() & (F.col("_rule.selector") != ""), self.following))
         return linked.select("_rule", "url", "page_id", F.when(F.col("_next") != F.col("url"), F.col("_next")).alias("_next"))
 
     def table(self, tasks: DataFrame) -> DataFrame:
         """Steps of all addresses that can be met. Those written in another way than their page's are added until there are none."""
-        known = cut_lineage(self.starts(tasks))
-        table = cut_lineage(self.of(known))
-        fresh = table
+        table = fresh = cut_lineage(self.of(self.here(self.starts(tasks))))
         while True:
             target = fresh.where("_next is not null").select("_rule", F.col("_next").alias("url")).distinct()
-            new = cut_lineage(target.join(known, ["_rule", "url"], "left_anti"))
+            new = self.here(target.join(table, ["_rule", "url"], "left_anti"))
             if new.isEmpty():
                 return table
-            fresh = cut_lineage(self.of(new))
-            known, table = known.unionByName(new), table.unionByName(fresh)
+            fresh = cut_lineage(self.of(cut_lineage(new)))
+            table = table.unionByName(fresh)
 
 
 def walk_pages(
@@ -131,25 +135,27 @@ def walk_pages(
         max_pages = 1
     limit = F.coalesce("pages", F.lit(1)).cast("long")
     limit = limit if max_pages is None else F.least(limit, F.lit(max_pages))
-    asked = cut_lineage(tasks.select("task_id", limit.alias("_pages"), _rule_column(pagination).alias("_rule"), "url").where("_pages > 0"))
+    asked = tasks.select("task_id", limit.alias("_pages"), _rule_column(pagination).alias("_rule"), "url").where("_pages > 0")
     longest = asked.agg(F.max("_pages")).first()[0] or 0
     if longest < 2:
         here = asked.withColumn("_at", urls.sanitise_url(F.col("url"))).join(page_addresses(pages), "_at")
         return here.select("task_id", F.lit(1).alias("page_no"), "url", "page_id")
-    # Numbers are given once, in a checkpoint, and stand for a rule and an address.
-    table = cut_lineage(_Steps(pages, asked, pagination).table(asked).withColumn("_from", F.monotonically_increasing_id()))
+    # The table is checkpointed, so its rows have the same numbers wherever it is read.
+    table = _Steps(pages, asked, pagination).table(asked).withColumn("_from", F.monotonically_increasing_id())
     names = table.select("_rule", "url", "_from")
     to = names.select("_rule", F.col("url").alias("_next"), F.col("_from").alias("_to"))
     jump = cut_lineage(table.where("_next is not null").join(to, ["_rule", "_next"]).select("_from", "_to"))
-    visits = cut_lineage(asked.join(names, ["_rule", "url"]).select("task_id", "_pages", F.lit(0).cast("long").alias("_no"), F.col("_from").alias("_state")))
+    visits = asked.join(names, ["_rule", "url"]).select("task_id", "_pages", F.lit(0).cast("long").alias("_no"), F.col("_from").alias("_state"))
     length = 1
     while length < longest:
+        visits = cut_lineage(visits)
         further = visits.where(F.col("_no") + length < F.col("_pages")).join(jump, F.col("_state") == F.col("_from"))
-        visits = cut_lineage(visits.unionByName(further.select("task_id", "_pages", (F.col("_no") + length).alias("_no"), F.col("_to").alias("_state"))))
+        visits = visits.unionByName(further.select("task_id", "_pages", (F.col("_no") + length).alias("_no"), F.col("_to").alias("_state")))
         length *= 2
         if length < longest:
             second = jump.select(F.col("_from").alias("_to"), F.col("_to").alias("_then"))
-            jump = cut_lineage(jump.join(second, "_to").select("_from", F.col("_then").alias("_to")))
+            jump = jump.join(second, "_to").select("_from", F.col("_then").alias("_to"))
+            jump = cut_lineage(jump) if 2 * length < longest else jump
     places = table.select(F.col("_from").alias("_state"), "url", "page_id")
     return visits.join(places, "_state").select("task_id", (F.col("_no") + 1).cast("int").alias("page_no"), "url", "page_id")
 

@@ -55,8 +55,8 @@ def test_empty_stored_config_is_generated_anew(spark):
 
 
 def test_unusable_rules_list_bad_selectors_only(spark):
-    rows = spark.sql("select 't' as task_id, array(named_struct('name', 'n', 'selector', 'li:nth-child(odd)', 'container', cast(null as boolean)), named_struct('name', 'm', 'selector', 'li', 'container', cast(null as boolean))) as selectors union all select 'u', null")
-    assert [tuple(r) for r in extract.unusable_rules(rows).collect()] == [("t", "n", "li:nth-child(odd)", False)]
+    rows = spark.sql("select 't' as task_id, array(named_struct('name', 'n', 'selector', 'li:nth-child(odd of .x)', 'container', cast(null as boolean)), named_struct('name', 'm', 'selector', 'li', 'container', cast(null as boolean))) as selectors union all select 'u', null")
+    assert [tuple(r) for r in extract.unusable_rules(rows).collect()] == [("t", "n", "li:nth-child(odd of .x)", False)]
 
 
 def test_chunks_shuffle_the_wide_rows_once(spark, sf):
