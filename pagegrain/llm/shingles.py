@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 from pagegrain.llm.common import spans_of
 from pagegrain.llm.hashing import LOWER, VALUES, Sums, mix, words
 
 SHINGLE = 5
+#: Longer words are hashed by a keyed digest: a polynomial modulo 2^64 is the same for a Thue-Morse word and its complement.
+LONG_WORD = 32
 STEPS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -15,7 +19,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     """Hash, start and end of each word, and the first word of each text."""
     starts, ends, first = words(data, offsets, spans_of)
     sums = Sums(VALUES[LOWER[data]] if lower else VALUES[data])
-    return sums.of(starts, ends), starts, ends, first
+    hashes = sums.of(starts, ends)
+    for at in np.flatnonzero(ends - starts > LONG_WORD):
+        word = data[starts[at] : ends[at]]
+        hashes[at] = int.from_bytes(blake2b((LOWER[word] if lower else word).tobytes(), digest_size=8).digest(), "little")
+    return hashes, starts, ends, first
 
 
 def runs(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -104,3 +104,10 @@ def test_components_of_a_path(spark):
     out = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {i: 0 for i in range(60)} | {90: 90, 100: 90}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_thue_morse_words_do_not_link(docs):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = near_dedup.near_duplicates(docs([f"a b c d {word}", f"a b c d {other}", f"A b c d {word.upper()}"]))
+    assert {r["doc_id"]: r["component_id"] for r in rows.collect()} == {0: 0, 1: 1, 2: 0}

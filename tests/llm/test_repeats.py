@@ -108,3 +108,12 @@ def test_collection_transform_and_prefixes():
         a, b = suffixes[at - 1][0], suffixes[at][0]
         n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert common[at] == n
+
+
+def test_thue_morse_words_stay_apart(docs):
+    """Two words of 2,048 letters whose polynomial hashes modulo 2^64 are equal, whatever the letters' values."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [" ".join(f"word{i}" for i in range(19)) + " " + last for last in (word, other, word)]
+    rows = {r["doc_id"]: r for r in fm_index.remove_repeated_words(docs(texts)).collect()}
+    assert [rows[i]["n_removed"] for i in range(3)] == [0, 0, 20]
