@@ -42,12 +42,13 @@ SPACES = frozenset(["br", "mtd", "mtr"])
 UNSEEN = frozenset(["annotation", "annotation-xml"])  # a formula's source beside the formula
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg noframes object".split())
-JUNK = frozenset("nav footer aside form button select fieldset dialog menu".split()) | RAW
+JUNK = frozenset("nav footer aside button select menu".split()) | RAW
+WRAPPERS = frozenset("form fieldset dialog".split())  # site builders put whole pages into them
 PARAGRAPHS = frozenset("p pre blockquote li dd td th figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENCLOSING = frozenset(["article", "main"])
 SAME_CLOSES = {"li": "li", "dd": "dt dd", "dt": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 JUNK_WORDS = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|nav|navbar|navigation|menu|breadcrumbs?|"
     r"header|masthead|footer|sidebar|aside|rail|widgets?|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|"
@@ -140,6 +141,8 @@ class Page:
             return
         number, (_, _, junk, _) = len(self.tags), self._open[-1]
         good, own, weak = 0, tag in JUNK, 0
+        if tag in WRAPPERS:
+            weak = PLAIN
         if tag == "header" and not (self._count.get("article") or self._count.get("main")):
             weak = HEADER
         if not own and rest and tag not in ("html", "body"):
@@ -147,6 +150,7 @@ class Page:
                 value = value.strip("\"'")
                 if name.lower() == "role":
                     own = own or (value.lower() in ROLES and tag not in ENCLOSING)
+                    weak = max(weak, PLAIN if value.lower() == "form" and tag not in ENCLOSING else 0)
                 else:
                     names = MODIFIERS.sub(" ", value)
                     if tag not in ENCLOSING and JUNK_WORDS.search(names):

@@ -70,6 +70,24 @@ def test_names_of_wrappers_and_headings_drop_no_text(shape):
     assert main_text(f"<html><body><nav>menu</nav><div class=ad>{P}</div>{shape.format(first, second)}<div class='related'><p>{P}</p></div></body></html>") == "\n".join(want)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><form id='aspnetForm' action='/x'><input type=hidden value=1><div class=menu>menu</div><article>{}</article><div class=footer>foot</div></form></body>",
+        "<body><form id='aspnetForm'><div id=content>{}</div></form></body>",
+        "<body><form><div><div>{}</div></div><button>Go</button></form></body>",
+        "<main><fieldset>{}</fieldset></main>",
+        "<body><div role=form><article>{}</article></div></body>",
+        "<dialog open><article>{}</article></dialog>",
+        "<body><form><table><tr><td>{}</td></tr></table></form><form><p>Your name</p><input></form></body>",
+        "<body><form><article>{}</article><section id=comments>" + f"<p>{P}</p>" * 9 + "</section></form></body>",
+    ],
+)
+def test_pages_wrapped_in_forms_keep_their_text(page):
+    paragraphs = [f"{n} {P}" for n in range(6)]
+    assert main_text(page.format("".join(f"<p>{p}</p>" for p in paragraphs))) == "\n".join(paragraphs)
+
+
 def test_formulas_stay_in_their_paragraph():
     formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><msup><mi>y</mi><mn>2</mn></msup></mrow><annotation encoding='application/x-tex'>x=y^2</annotation></semantics></math>"
     assert main_text(f"<article><p>{P} Here {formula} holds.</p><p>{P}</p></article>") == f"{P} Here x=y2 holds.\n{P}"
