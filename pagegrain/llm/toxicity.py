@@ -22,7 +22,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.llm.common import buffers, record, spans_of, steps, stored
@@ -32,7 +32,7 @@ BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
 PER_CLASS = 4000
 THRESHOLD = 0.7
-RIDGE = 1e-3
+RIDGE = 3e-3
 LEAST_ODDS = 2.0
 SWAP_WEIGHT = 1.0
 ROUNDS = 120
@@ -160,9 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """The model, learnt from the labelled rows of ``docs``."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     # Ids alone are ranked, of rows that can teach; at most 2 * per_class of them are broadcast, so no text is shuffled.
-    chosen = known.join(rows.select("id"), "id", "left_semi").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_class)
+    # Each task keeps the first ``per_class`` ids of a label, however many rows it has.
+    able = known.join(rows.select("id"), "id", "left_semi")
+    first, second = (able.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class) for k in (0, 1))
+    chosen = first.unionByName(second)
     sample = rows.join(F.broadcast(chosen.select("id", "label")), "id").select("label", "text")
     sample = stored(sample.mapInArrow(_sampled(identities), "label int, own binary, swapped binary"), "toxicity-sample").collect()
     sample.sort(key=lambda r: (r["label"], r["own"]))
