@@ -54,8 +54,13 @@ def test_random_tokens_pass_and_prose_fails_the_battery(alphabet):
     rng = np.random.default_rng(1)
     likely = [secrets.battery("".join(rng.choice(list(alphabet), 48))) for _ in range(200)]
     assert np.mean([p[0] >= secrets.RANDOM_P for p in likely if p]) > 0.97
-    prose = secrets.battery("thequickbrownfoxjumpsoverthelazydogandthenrunsaway")
-    assert prose[0] < secrets.RANDOM_P
+    # No sentence made to use every letter: such a text is as uniform as a key, and only long ones can be told apart.
+    for prose in (
+        "itwasthebestoftimesitwastheworstoftimesitwastheageofwisdom", "alltheworldisastageandallthemenandwomenmerelyplayers",
+        "wehavenothingtofearbutfearitselfsaidthepresidenttothenation", "internationalizationandlocalizationofsoftwareproducts",
+        "thereisnothingeithergoodorbadbutthinkingmakesitsoforus", "thisisalongidentifierwithoutanyseparatorsinitatall",
+    ):
+        assert secrets.battery(prose)[0] < secrets.RANDOM_P
     assert secrets.battery("a" * 60)[0] < secrets.RANDOM_P and secrets.battery("12345678901234567890") is None
 
 
