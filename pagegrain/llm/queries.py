@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import column_bwt, decontamination, exact_search, fm_index, language, main_text, merkle, near_dedup, packing, pieces, secrets, token_alignment, toxicity
+from pagegrain.llm import column_bwt, decontamination, exact_search, fm_index, language, main_text, merkle, near_dedup, oracles, packing, pieces, secrets, token_alignment, toxicity
 from pagegrain.llm.common import fold, stored, table
 
 
@@ -120,6 +120,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_substring_dedup": oracles.REPEATED_WORDS,
+    "op8_near_dedup": oracles.NEAR_COPIES,
     "op9_exact_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
