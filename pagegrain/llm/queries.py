@@ -122,6 +122,7 @@ QUERIES = {
 ORACLES = {
     "op3_substring_dedup": oracles.REPEATED_WORDS,
     "op8_near_dedup": oracles.NEAR_COPIES,
+    "op12_merkle": oracles.MANIFEST,
     "op9_exact_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
