@@ -13,7 +13,10 @@ rising order per shingle and stop where no register can still change, so the wor
    standard errors of the limit or above it is checked on the full sets. Links give components.
 4. Buckets whose members lie in several components may hold links between members other than the
    smallest. Such buckets are cut into blocks, and block pairs compare sketches across components in
-   bounded groups; only pairs that pass the estimate leave the task, and are checked on the full sets.
+   bounded groups. A group of edited copies may hold very many pairs at 0.5 to 0.7, which no sketch of this
+   length tells from the limit, so each set also has a parity bitmap: the bits in which two of them differ
+   are at most the shingles in which the sets differ, so a pair with too many is no link for certain. Only
+   pairs that pass the estimate and this bound leave the task, and are checked on the full sets.
 
 So every pair with a common band is either checked or already in one component. At the limit of 0.75 a
 pair has no common band with a chance of 5e-6, less above it.
@@ -46,6 +49,8 @@ MARGIN = 0.25  # six standard errors of an estimate near the limit
 BLOCK = 512
 PAIRS = 16384  # pairs estimated at once
 SALT = 256  # partners that share one copy of a set
+LEAST_BITS, MOST_BITS = 256, 1 << 14  # width of a parity bitmap
+CHECKED_ROWS = 256  # full sets taken from a batch at once
 
 
 def sketches(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
@@ -84,6 +89,51 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return mix(packed + (np.arange(packed.shape[1], dtype=np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)).view(np.int64)
 
 
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """A bitmap about four times as wide as the set is large: bit i is the parity of the shingles that fall on i.
+
+    Bitmaps of two widths compare after the wider one is folded in half by XOR.
+    """
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(shingles) - 1).bit_length())) if len(shingles) else LEAST_BITS
+    at = (mix(shingles ^ np.uint64(0x8CB92BA72F3D8DD7)) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+class Parities:
+    """The parity bitmaps of a block's rows, kept per width, the wider ones folded on first use."""
+
+    def __init__(self, bitmaps: list[bytes]):
+        self.bitmaps = bitmaps
+        self.width = np.array([len(b) for b in bitmaps], np.int64)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _table(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        if width not in self.tables:
+            place = np.full(len(self.bitmaps), -1)
+            # Sizes that allow a link differ by a third at most, so widths by one step.
+            rows = []
+            for at in np.flatnonzero((self.width == width) | (self.width == 2 * width)):
+                bits = np.frombuffer(self.bitmaps[at], np.uint64)
+                place[at] = len(rows)
+                rows.append(bits if len(bits) * 8 == width else bits[: len(bits) // 2] ^ bits[len(bits) // 2 :])
+            self.tables[width] = place, np.stack(rows)
+        return self.tables[width]
+
+    def allow(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the rows' sets may reach the limit. At the limit they differ in (100 - LIMIT) / (100 + LIMIT) of their sizes' sum."""
+        out = np.zeros(len(x), bool)
+        width = np.minimum(self.width[x], self.width[y])
+        for w in np.unique(width):
+            place, bits = self._table(int(w))
+            of = np.flatnonzero(width == w)
+            # Some 4 MB of bitmaps at once.
+            for part in np.array_split(of, max(1, len(of) * int(w) >> 22)):
+                u, v = x[part], y[part]
+                differ = np.bitwise_count(bits[place[u]] ^ bits[place[v]]).sum(1, dtype=np.int64)
+                out[part] = differ * (100 + LIMIT) <= (n[u] + n[v]) * (100 - LIMIT)
+        return out
+
+
 def joint_estimate(k1: np.ndarray, k2: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
     """Jaccard similarity of each pair of rows by maximum likelihood, given both set sizes."""
     larger, smaller = (k1 > k2).sum(1), (k1 < k2).sum(1)
@@ -129,17 +179,18 @@ def sketch_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``id, set``: the full sets of the wanted ids."""
-    schema = pa.schema([("id", pa.int64()), ("set", pa.binary())])
+    """``id, set, bits``: the full sets of the wanted ids and their parity bitmaps."""
+    schema = pa.schema([("id", pa.int64()), ("set", pa.binary()), ("bits", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for rows, data, offsets in steps(iter([batch])):
-                yield record(schema, rows.column(0), [s.tobytes() for s in shingle_sets(data, offsets)])
+                sets = shingle_sets(data, offsets)
+                yield record(schema, rows.column(0), [s.tobytes() for s in sets], [parity_bits(s) for s in sets])
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     # The same plan at every size: a merge join, whether or not the ids would fit a broadcast.
-    return narrow.join(wanted.select("id").hint("merge"), "id", "left_semi").mapInArrow(run, "id long, set binary")
+    return narrow.join(wanted.select("id").hint("merge"), "id", "left_semi").mapInArrow(run, "id long, set binary, bits binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -166,7 +217,7 @@ def _checked(batches):
     """Rows come sorted by (a, salt, partner): the set of ``a`` first, then those of its partners."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     key, held = None, None
-    for batch in batches:
+    for batch in (batch.slice(at, CHECKED_ROWS) for batch in batches for at in range(0, batch.num_rows, CHECKED_ROWS)):
         links = []
         for a, salt, b, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if b is None:
@@ -185,8 +236,8 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the limit. A set moves once for each of its partners' groups."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("salts"))
     salted = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b")
-    partner = salted.join(sets.toDF("b", "set"), "b").select("a", "salt", "b", "set")
-    centre = salted.select("a", "salt").distinct().join(sets.toDF("a", "set"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "set")
+    partner = salted.join(sets.select(F.col("id").alias("b"), "set"), "b").select("a", "salt", "b", "set")
+    centre = salted.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), "set"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "set")
     rows = centre.unionByName(partner).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return rows.mapInArrow(_checked, "a long, b long")
 
@@ -195,6 +246,7 @@ def _across(table: pa.Table, starts: np.ndarray):
     """(a, b) of likely pairs within the groups of rows that begin at ``starts``, from different components."""
     i, j, ids, component, n, block = (np.asarray(table[c]) for c in ("i", "j", "id", "component", "n", "block"))
     k = _matrix(table["sketch"].combine_chunks())
+    parities = Parities(table["bits"].to_pylist())
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def likely():
@@ -206,6 +258,8 @@ def _across(table: pa.Table, starts: np.ndarray):
             u, v = x[at : at + PAIRS], y[at : at + PAIRS]
             near = (k[u] == k[v]).sum(1) >= k.shape[1] * (LIMIT / 100 - MARGIN)
             u, v = u[near], v[near]
+            near = parities.allow(u, v, n)
+            u, v = u[near], v[near]
             ok = _likely(k[u], k[v], n[u], n[v])
             yield np.minimum(ids[u], ids[v])[ok], np.maximum(ids[u], ids[v])[ok]
 
@@ -243,15 +297,15 @@ def _block_pairs(batches):
             yield record(schema, a, b)
 
 
-def _mixed_pairs(members: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+def _mixed_pairs(members: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Likely pairs of different components within a bucket."""
     known = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = known.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = mixed.where("low <> high").select("key", F.ceil(F.col("members") / BLOCK).alias("blocks"))
     rows = known.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.join(classes.select("id", "n", "sketch"), "id")
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "n", "sketch", "block")
+    rows = rows.join(classes.select("id", "n", "sketch").join(sets.select("id", "bits"), "id"), "id")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "n", "sketch", "bits", "block")
     # Work grows with pairs, not bytes, so the number of tasks isn't left to the rows' size.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -288,7 +342,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     again = stored(likely_pairs(apart.select("a", "b").join(nearest, ["a", "b"], "left_anti"), classes), "pairs")
     links = stored(links.unionByName(linked_pairs(again, sets)), "linked")
     found, tested = stored(components(links), "components"), tested.unionByName(again)
-    more = stored(_mixed_pairs(members.select("key", "id"), found, classes).join(tested, ["a", "b"], "left_anti"), "more-pairs")
+    more = stored(_mixed_pairs(members.select("key", "id"), found, classes, sets).join(tested, ["a", "b"], "left_anti"), "more-pairs")
     links = links.unionByName(linked_pairs(more, sets))
     found = stored(components(links), "components")
 

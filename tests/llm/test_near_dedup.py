@@ -111,3 +111,44 @@ def test_thue_morse_words_do_not_link(docs):
     other = word.translate(str.maketrans("ab", "ba"))
     rows = near_dedup.near_duplicates(docs([f"a b c d {word}", f"a b c d {other}", f"A b c d {word.upper()}"]))
     assert {r["doc_id"]: r["component_id"] for r in rows.collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_parity_bound_refuses_no_link_and_most_pairs_well_below():
+    rng = np.random.default_rng(4)
+    pairs = []
+    for n in [1, 2, 3, 7, 60, 64, 65, 146, 1000, 3000, 9000]:
+        for share in [0.5, 0.6, 0.7, 0.75, 0.8, 1.0]:
+            common = round(2 * n * share / (1 + share))
+            own = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+            # Of equal size, and with all differing shingles on one side.
+            pairs.append((own[:n], own[n - common : 2 * n - common]))
+            pairs.append((own[:n], own[: max(1, round(n * share))]))
+    sets = [s for pair in pairs for s in pair]
+    n = np.array([len(s) for s in sets])
+    x = np.arange(0, len(sets), 2)
+    ok = near_dedup.Parities([near_dedup.parity_bits(s) for s in sets]).allow(x, x + 1, n)
+    truth = []
+    for a, b in pairs:
+        common = len(np.intersect1d(a, b))
+        truth.append(common / (len(a) + len(b) - common))
+    truth = np.array(truth)
+    assert ok[truth >= 0.75].all()
+    large = np.array([len(a) >= 60 for a, _ in pairs])
+    assert not ok[(truth <= 0.61) & large].any()
+
+
+def test_edited_copies_that_do_not_link_leave_no_pairs(docs, prose, monkeypatch):
+    base, sent = prose(9, 150), []
+    checked = near_dedup.linked_pairs
+
+    def counted(pairs, sets):
+        pairs = pairs.persist()
+        sent.append(pairs.count())
+        return checked(pairs, sets)
+
+    monkeypatch.setattr(near_dedup, "linked_pairs", counted)
+    # 3 % of the words edited in each: two copies share about 0.6 of their shingles.
+    texts = {i: edited(base, i, 0.033) for i in range(120)}
+    assert found(near_duplicates(docs(list(texts.values())))) == brute(texts)
+    # Of 7,140 pairs, nearly all of them in a common bucket.
+    assert sent[2] < 500, sent
