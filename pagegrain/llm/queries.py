@@ -48,7 +48,7 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = stored(secrets.scan(table(spark, sf_dir, "documents")), "secrets")
     found = secrets.find_secrets(scanned, secrets.limits(scanned))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    counts = [secrets.count_of(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(secrets.shown("base"), 256).alias("base_sha256"), secrets.shown("spans").alias("spans"))
 
 

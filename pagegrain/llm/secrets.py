@@ -208,6 +208,11 @@ def find_secrets(scanned: DataFrame, least: list[int]) -> DataFrame:
     return scanned.select("doc_id", "base", F.array_sort(F.concat("base", method_spans(least))).alias("spans"))
 
 
+def count_of(kind: int) -> Column:
+    """Base spans of a kind. The filter's function takes the span alone: a second parameter would be its place."""
+    return F.size(F.filter("base", lambda span: span["kind"] == kind)).cast("long")
+
+
 def shown(spans: str) -> Column:
     """``kind:start:end``, comma-joined."""
     kinds = F.array(*[F.lit(k) for k in KINDS])

@@ -87,3 +87,15 @@ def test_empty_table_and_repeated_rows(docs):
     assert secrets.limits(secrets.scan(docs([]))) == [secrets.BINS] * len(secrets.CLASSES)
     assert secrets.redact(docs([])).count() == 0
     assert secrets.scan(docs(["token=12345678"] * 2, ids=[None, None])).count() == 2
+
+
+def test_query_counts_each_kind_by_itself(spark, tmp_path):
+    """Several spans of one kind in a text, and kinds in any order: counts must not depend on a span's place."""
+    access, digits = "AKIA" + "B2" * 8, "0123456789abcdef" * 2
+    texts = [access, digits, f"{digits} {access} {digits}", f"token=abcdefgh {access} {access}", "token=abcdefgh secret=12345678 token: 'abcdefgh'", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in op6_secrets(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        own, r = base(text), rows[i]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for _, k, _ in own) for x in range(3)], text
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in own).encode()).hexdigest()
