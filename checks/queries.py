@@ -37,8 +37,9 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def placed(df: DataFrame) -> DataFrame:
-    """Rows with their place in the order they come in."""
-    return records.with_row_number(df.withColumn("_came", F.monotonically_increasing_id()), "_came", name="place").drop("_came")
+    """Rows with their place in the order they come in; stored first, as their ids depend on how the sort was split, and numbering reads them twice."""
+    came = storage.cut_lineage(df.withColumn("_came", F.monotonically_increasing_id()))
+    return records.with_row_number(came, "_came", name="place").drop("_came")
 
 
 def rule(name: str, selector: str, kind: str = "text", **more) -> dict:

@@ -173,3 +173,21 @@ def test_chain_keeps_metadata_rows(spark):
     df = spark.createDataFrame([(1, " ", None)], "_ord int, name string, price string")
     out = type_and_clean(df, keep=("_ord",), processed_at="t").first()
     assert out.title is None and out._metadata.processed_at == "t"
+
+
+# -- the order that rows come in ------------------------------------------------------------
+
+
+def test_places_hold_when_the_sort_is_split_in_another_way_at_each_read(spark):
+    """The key column alone fits fewer partitions than whole rows do, so ids given after a sort differ between two reads."""
+    from checks.queries import placed
+
+    key = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        rows = spark.range(0, 6000, 1, 6).select("id", (F.col("id") * 7919 % 6000).alias("rank"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+        got = placed(rows.orderBy("rank")).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == 6000 and all(r.rank == r.place for r in got)
