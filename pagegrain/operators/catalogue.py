@@ -20,6 +20,24 @@ def _safe(name: str = "task_id") -> Column:
     return texts.safe_id(F.col(name))
 
 
+def _newest(catalogue: DataFrame) -> list[Column]:
+    """Order of several configs of a task."""
+    timed = "generated_at" in catalogue.schema["metadata"].dataType.names
+    at = [F.col("metadata.generated_at").desc_nulls_last()] if timed else []
+    return [*at, F.xxhash64(F.to_json(F.struct("selectors", "pagination")))]
+
+
+def _there() -> Column:
+    """Whether a config has any part; an unreadable file leaves none."""
+    return F.col("selectors").isNotNull() | F.col("pagination").isNotNull() | F.col("metadata").isNotNull()
+
+
+def one_per_task(catalogue: DataFrame) -> DataFrame:
+    """A task's one config, with its safe id in ``_safe``: of several, as appended tables hold them, the newest readable one, as ``save`` keeps it."""
+    known = catalogue.withColumn("_safe", _safe())
+    return first_per_key(known, [F.col("_safe")], [_there().desc(), *_newest(catalogue)])
+
+
 def save(catalogue: DataFrame, incoming: DataFrame) -> DataFrame:
     """Upsert by task; of several incoming rows of a task the newest wins.
 
@@ -28,12 +46,7 @@ def save(catalogue: DataFrame, incoming: DataFrame) -> DataFrame:
     """
     stored = catalogue.withColumn("_new", F.lit(0))
     fresh = incoming.select(*catalogue.columns).withColumn("_new", F.lit(1))
-    newest = [
-        F.col("_new").desc(),
-        F.col("metadata.generated_at").desc_nulls_last(),
-        F.xxhash64(F.to_json(F.struct("selectors", "pagination"))),
-    ]
-    return first_per_key(stored.unionByName(fresh), [_safe()], newest).drop("_new")
+    return first_per_key(stored.unionByName(fresh), [_safe()], [F.col("_new").desc(), *_newest(catalogue)]).drop("_new")
 
 
 def get(catalogue: DataFrame, task_ids: DataFrame) -> DataFrame:
@@ -132,7 +145,7 @@ def find_similar(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     ``requests(url, data_description, ...)`` in, the requests that have a match out,
     with ``match_task_id``, ``score``, ``selectors`` and ``pagination``. Ties go to the
-    smallest task id.
+    smallest task id, and of several configs of a task the newest is given.
 
     Both sides first shrink to distinct (host, word set) pairs, so a description
     that fills a third of the rows is compared once. Equal sets meet in a plain
@@ -181,7 +194,8 @@ def find_similar(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
         F.col("domain").alias("_domain"), F.col("words").alias("_words"), "score",
         F.col("task_id").alias("match_task_id"),
     )
-    configs = catalogue.select(F.col("task_id").alias("match_task_id"), "selectors", "pagination")
+    newest = first_per_key(catalogue, [F.col("task_id")], [_there().desc(), *_newest(catalogue)])
+    configs = newest.select(F.col("task_id").alias("match_task_id"), "selectors", "pagination")
     return (
         asked.join(best, ["_domain", "_words"])
         .drop("_domain", "_words")
@@ -200,10 +214,10 @@ def resolve(tasks: DataFrame, catalogue: DataFrame, use_saved: bool = True) -> D
     """Tasks with their stored config, ``to_generate`` where there is none to use.
 
     A stored config without any part, as an unreadable file leaves it, counts as
-    none; one with an empty list of selectors is a config.
+    none; one with an empty list of selectors is a config. A task has one row here for
+    each it has in ``tasks``, however many configs are stored for it (see ``one_per_task``).
     """
-    there = F.col("selectors").isNotNull() | F.col("pagination").isNotNull() | F.col("metadata").isNotNull()
-    known = catalogue.select(_safe().alias("_safe"), "selectors", "pagination", (F.lit(use_saved) & there).alias("_saved"))
+    known = one_per_task(catalogue).select("_safe", "selectors", "pagination", (F.lit(use_saved) & _there()).alias("_saved"))
     joined = tasks.join(known, _safe() == F.col("_safe"), "left")
     missing = ~F.coalesce("_saved", F.lit(False))
     return joined.select(

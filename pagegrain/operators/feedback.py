@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagegrain import fixed_values as fixed
 from pagegrain.functions import text as texts
 from pagegrain.functions import urls, values
+from pagegrain.operators.catalogue import one_per_task
 
 
 def valid_rating(rating: Column) -> Column:
@@ -98,10 +99,9 @@ def common_issues(feedback: DataFrame) -> DataFrame:
 
 
 def to_refine(feedback: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Low-rated entries with the stored selectors of their task, matched by safe id like every lookup."""
+    """Low-rated entries, once each, with the stored selectors of their task, matched by safe id like every lookup."""
     low = feedback.where(F.col("rating") < fixed.REFINE_BELOW).select(
         "task_id", "url", "data_description", "rating", "feedback", "timestamp"
     )
-    safe = texts.safe_id(F.col("task_id"))
-    stored = catalogue.select(safe.alias("_safe"), "selectors", "pagination")
-    return low.join(stored, safe == F.col("_safe")).drop("_safe")
+    stored = one_per_task(catalogue).select("_safe", "selectors", "pagination")
+    return low.join(stored, texts.safe_id(F.col("task_id")) == F.col("_safe")).drop("_safe")

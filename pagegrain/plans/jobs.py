@@ -43,7 +43,12 @@ def scrape_tasks(tasks: DataFrame, pages: DataFrame, catalogue: DataFrame) -> Da
     per row, to be spread with ``extract.record_columns``.
     """
     ready = store.resolve(tasks, catalogue).where(~F.col("to_generate"))
-    return extract_by_task(walk_pages(ready, pages), pages, catalogue)
+    return extract_by_task(walk_pages(ready, pages), pages, _rules(ready))
+
+
+def _rules(ready: DataFrame) -> DataFrame:
+    """The selectors that resolving chose, once for each task, however often it is asked for or stored."""
+    return ready.select("task_id", "selectors").dropDuplicates(["task_id"])
 
 
 class TaskRun(NamedTuple):
@@ -71,12 +76,12 @@ def run_tasks(
     """
     resolved = store.resolve(tasks, catalogue)
     ready = resolved.where(~F.col("to_generate"))
-    found = cut_lineage(extract_by_task(walk_pages(ready, pages), pages, catalogue))
+    found = cut_lineage(extract_by_task(walk_pages(ready, pages), pages, _rules(ready)))
     empty = store.to_retry(ready, found)
     unusable = unusable_rules(catalogue)
     if refined is not None:
         again = store.resolve(empty.select(*tasks.columns), refined).where(~F.col("to_generate"))
-        more = cut_lineage(extract_by_task(walk_pages(again, pages), pages, refined))
+        more = cut_lineage(extract_by_task(walk_pages(again, pages), pages, _rules(again)))
         found = found.unionByName(more)
         empty = store.to_retry(empty, more)
         unusable = unusable.unionByName(unusable_rules(refined))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pagegrain import schemas, storage
 from pagegrain.operators import catalogue, feedback
+from pagegrain.plans import jobs
 from pagegrain.sources import readers, writers
 from pagegrain.streaming import arrivals
 
@@ -86,6 +87,23 @@ def test_refinement(spark):
     assert stamped.refined and stamped.original_selectors[0].selector == "h1" and stamped.generated_at == 5.0
 
 
+def test_several_configs_of_a_task_multiply_nothing(spark):
+    """An appended catalogue holds old and new configs of a task: the newest readable one is used, once."""
+    base = stored(spark, [("t1", "http://a.com/x", "name and price", 1.0), ("t1", "http://a.com/x", "name and price", 3.0), ("t1", "http://a.com/x", "name and price", 2.0)])
+    newest = F.when(F.col("metadata.generated_at") == 3.0, "h2").otherwise("h1")
+    base = base.withColumn("selectors", F.transform("selectors", lambda rule: rule.withField("selector", newest)))
+    base = base.unionByName(spark.createDataFrame([("t1", None, None, None), ("t2", None, None, None), ("t2", None, None, None)], schemas.CATALOGUE))
+    tasks = spark.createDataFrame([("t1", "http://a.com/x", 1), ("t2", "http://a.com/x", 1)], "task_id string, url string, pages int")
+    resolved = sorted((r.task_id, r.to_generate, r.selectors and r.selectors[0].selector) for r in catalogue.resolve(tasks, base).collect())
+    assert resolved == [("t1", False, "h2"), ("t2", True, None)]
+    assert [(r.timestamp, r.selectors[0].selector) for r in feedback.to_refine(entries(spark, RATED), base).where("task_id = 't1'").collect()] == [(3.0, "h2")]
+    requests = spark.createDataFrame([("http://a.com", "name and price now")], "url string, data_description string")
+    assert [(r.match_task_id, r.selectors[0].selector) for r in catalogue.find_similar(requests, base).collect()] == [("t1", "h2")]
+    pages = spark.createDataFrame([(1, "http://a.com/x", "<h1>one</h1><h2>two</h2>")], schemas.PAGES)
+    found = jobs.scrape_tasks(tasks.unionByName(tasks.where("task_id = 't1'")), pages, base)
+    assert [(r.task_id, r.record) for r in found.collect()] == [("t1", {"f": ["two"]})] * 2
+
+
 def best_by_hand(url, text, rows):
     """Compare with every stored row of the host."""
     host = lambda u: u.split("//")[-1].split("/")[0]
