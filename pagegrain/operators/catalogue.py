@@ -98,15 +98,14 @@ COMMON = 50
 
 
 def _parts(sets: DataFrame, counts: DataFrame, *carried: str) -> DataFrame:
-    """Each set with its common words, rarest first, and its other words."""
+    """Each set with its common words, rarest first, and its other words; ``counts`` has the common ones only."""
     known = sets.select("domain", "words", *carried, F.explode("words").alias("word")).join(
         counts, ["domain", "word"], "left"
     )
-    n = F.coalesce("n", F.lit(0))
-    ranked = F.array_sort(F.collect_list(F.when(n > COMMON, F.struct(n.alias("n"), "word"))))
+    ranked = F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "word"))))
     return known.groupBy("domain", "words", *carried).agg(
         F.transform(ranked, lambda pair: pair["word"]).alias("common"),
-        F.collect_list(F.when(n <= COMMON, F.col("word"))).alias("rare"),
+        F.collect_list(F.when(F.col("n").isNull(), F.col("word"))).alias("rare"),
     )
 
 
@@ -123,7 +122,7 @@ def _by_rare_words(asked: DataFrame, stored: DataFrame) -> DataFrame:
     a = asked.select("domain", "words", F.col("rare").alias("a_rare"), F.explode("rare").alias("word"))
     b = stored.select("domain", F.col("words").alias("b_words"), "task_id", F.col("rare").alias("b_rare"), F.explode("rare").alias("word"))
     first = F.col("word") == F.array_min(F.array_intersect("a_rare", "b_rare"))
-    pairs = a.join(b, ["domain", "word"]).where(_fit(F.size("words"), F.size("b_words")) & first)
+    pairs = a.join(b.hint("merge"), ["domain", "word"]).where(_fit(F.size("words"), F.size("b_words")) & first)
     return pairs.select("domain", "words", "task_id", similarity(F.col("words"), F.col("b_words")).alias("score"))
 
 
@@ -137,7 +136,7 @@ def _by_common_words(asked: DataFrame, stored: DataFrame) -> DataFrame:
     classes = own.select("domain", "common", "size").distinct()
     kept = stored.groupBy("domain", "common", F.size("words").alias("size")).agg(F.min("task_id").alias("task_id"))
     best = best_overlaps(classes, kept, fixed.SIMILARITY_THRESHOLD)
-    return own.join(best, ["domain", "common", "size"]).select("domain", "words", "task_id", "score")
+    return own.join(best.hint("merge"), ["domain", "common", "size"]).select("domain", "words", "task_id", "score")
 
 
 def find_similar(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -153,6 +152,9 @@ def find_similar(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     and meet there, or share common words alone; then their score depends on these
     and the sizes only, and whole classes of sets are compared at once. The better of
     the two is the exact best match, and no full host group is paired with another.
+
+    Texts that follow a template fill a hundred times their size on disk, so Spark would take
+    tables of any number of sets for small and send them through the driver: joins of sets merge.
     """
     asked = requests.withColumns(
         {
@@ -175,13 +177,13 @@ def find_similar(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     sets = asked.select(F.col("_domain").alias("domain"), F.col("_words").alias("words"))
     sets = cut_lineage(sets.where(F.size("words") > 0).distinct())
 
-    equal = sets.join(stored, ["domain", "words"]).select(
+    equal = sets.join(stored.hint("merge"), ["domain", "words"]).select(
         "domain", "words", F.lit(1.0).alias("score"), "task_id"
     )
-    rest = sets.join(stored, ["domain", "words"], "left_anti")
+    rest = sets.join(stored.hint("merge"), ["domain", "words"], "left_anti")
     counts = stored.select("domain", F.explode("words").alias("word")).groupBy("domain", "word").agg(
         F.count(F.lit(1)).alias("n")
-    )
+    ).where(F.col("n") > COMMON)
     asked_parts, stored_parts = cut_lineage(_parts(rest, counts)), cut_lineage(_parts(stored, counts, "task_id"))
     scored = _by_rare_words(asked_parts, stored_parts).unionByName(_by_common_words(asked_parts, stored_parts))
     scored = scored.where(F.col("score") > fixed.SIMILARITY_THRESHOLD)
@@ -197,9 +199,9 @@ def find_similar(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     newest = first_per_key(catalogue, [F.col("task_id")], [_there().desc(), *_newest(catalogue)])
     configs = newest.select(F.col("task_id").alias("match_task_id"), "selectors", "pagination")
     return (
-        asked.join(best, ["_domain", "_words"])
+        asked.join(best.hint("merge"), ["_domain", "_words"])
         .drop("_domain", "_words")
-        .join(configs, "match_task_id")
+        .join(configs.hint("merge"), "match_task_id")
     )
 
 

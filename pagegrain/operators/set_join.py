@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.storage import cut_lineage
+from pagegrain.storage import broadcast_if_small, cut_lineage
 
 WIDEST = 6
 MOST_KEYS = 512  # combinations of one set in one family
@@ -58,7 +58,7 @@ def _widths(asked: DataFrame, stored: DataFrame) -> DataFrame:
             F.count("*").alias(name), F.avg("spare").alias(f"spare_{name}"), F.max("spare").alias(f"most_{name}"), F.min("needed").alias(f"needed_{name}")
         )
 
-    met = words(asked, "a").join(words(stored, "b"), ["domain", "family", "word"]).groupBy("domain", "family").agg(F.sum(F.col("a") * F.col("b")).alias("met"))
+    met = words(asked, "a").join(words(stored, "b").hint("merge"), ["domain", "family", "word"]).groupBy("domain", "family").agg(F.sum(F.col("a") * F.col("b")).alias("met"))
     both = sizes(asked, "a").join(sizes(stored, "b"), ["domain", "family"]).join(met, ["domain", "family"])
     told = both.select("domain", "family", "a", "b", "met", "spare_a", "spare_b", F.greatest("most_a", "most_b").alias("most"), F.least("needed_a", "needed_b").alias("needed"))
     return told.mapInArrow(_choose, "domain string, family int, width int, expected double, sets long")
@@ -106,10 +106,11 @@ def _keyed(rows: DataFrame, widths: DataFrame) -> DataFrame:
 
 
 def _matches(asked: DataFrame, stored: DataFrame, widths: DataFrame, level: float, least: float) -> DataFrame:
+    widths = broadcast_if_small(widths)  # else Spark may take the sets for the smaller side
     a = _keyed(asked, widths)
     b = _keyed(stored, widths).select("domain", "family", "key", F.col("common").alias("b_common"), F.col("size").alias("b_size"), "task_id")
     larger = F.greatest("size", "b_size")
-    pairs = a.join(b, ["domain", "family", "key"]).where((_bucket(larger) == F.col("family")) & (F.least(F.size("common"), F.size("b_common")) >= _needed(larger, level, least)))
+    pairs = a.join(b.hint("merge"), ["domain", "family", "key"]).where((_bucket(larger) == F.col("family")) & (F.least(F.size("common"), F.size("b_common")) >= _needed(larger, level, least)))
     shared = F.size(F.array_intersect("common", "b_common"))
     best = F.min(F.struct((-(shared / larger)).alias("minus"), "task_id")).alias("best")
     found = pairs.where(shared >= _needed(larger, level, least)).groupBy("domain", "common", "size").agg(best)
@@ -131,7 +132,7 @@ def best_overlaps(asked: DataFrame, stored: DataFrame, least: float) -> DataFram
         for level in LEVELS:
             high = _families(rest, level, least), _families(stored, level, least)
             parts.append(cut_lineage(_matches(*high, cut_lineage(_widths(*high)), level, least)))
-            rest = cut_lineage(rest.join(parts[-1], ["domain", "common", "size"], "left_anti"))
+            rest = cut_lineage(rest.join(parts[-1].hint("merge"), ["domain", "common", "size"], "left_anti"))
         a = _families(rest, least, least)
     out = _matches(a, b, widths, least, least)
     for part in parts:

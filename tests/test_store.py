@@ -257,3 +257,13 @@ def test_arrivals(spark, tmp_path, sf):
     config = {"selectors": [{"name": "headline", "selector": "h1"}]}
     arrivals.append_new_records(spark, str(tmp_path / "pages"), config, str(tmp_path / "r"), str(tmp_path / "rs")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "r")).count() == pages.count()
+
+def test_similar_sends_no_sets_through_the_driver(spark, tmp_path):
+    """Small files can hold any number of templated texts, so their size must not make Spark broadcast sets."""
+    stored(spark, [(f"t{at}", "http://a.com", f"name price size of number {at}", 1.0) for at in range(300)]).write.parquet(f"{tmp_path}/stored")
+    asked = [(at, "http://a.com", f"name price size of number r{at}") for at in range(300)]
+    spark.createDataFrame(asked, "id int, url string, data_description string").write.parquet(f"{tmp_path}/asked")
+    found = catalogue.find_similar(spark.read.parquet(f"{tmp_path}/asked"), spark.read.parquet(f"{tmp_path}/stored"))
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert all("family" in line and "BuildRight" in line for line in plan if "BroadcastHashJoin" in line)  # widths by host only
+    assert {r.id: (r.match_task_id, r.score) for r in found.collect()} == {at: ("t0", 5 / 6) for at in range(300)}
