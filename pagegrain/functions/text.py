@@ -48,6 +48,10 @@ def _is_text(kind: pa.DataType) -> bool:
     return pa.types.is_string(kind) or pa.types.is_large_string(kind) or pa.types.is_string_view(kind)
 
 
+#: Strings that are Python objects at once; a whole batch of pages would hold several times its size.
+AT_ONCE = 256
+
+
 def _map_leaves(values: pa.Array, fn) -> pa.Array:
     """Apply ``fn`` to every string at any depth of an Arrow array.
 
@@ -56,7 +60,8 @@ def _map_leaves(values: pa.Array, fn) -> pa.Array:
     """
     kind = values.type
     if _is_text(kind):
-        return pa.array([None if s is None else fn(s) for s in values.to_pylist()], kind)
+        runs = (values.slice(at, AT_ONCE).to_pylist() for at in range(0, max(len(values), 1), AT_ONCE))
+        return pa.concat_arrays([pa.array([None if s is None else fn(s) for s in run], kind) for run in runs])
     if pa.types.is_map(kind):
         rows = values.to_pylist()
         pairs = [pair for row in rows if row is not None for pair in row]

@@ -1,7 +1,9 @@
 """Cases of the last review that the registered queries can't show: errors, plans, growth."""
 
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,17 @@ def test_fixed_rule_walk_reads_markup_once(spark, sf, monkeypatch):
     monkeypatch.setattr(walk, "_all_links", lambda pages, pagination, f=walk._all_links: scans.append(1) or f(pages, pagination))
     QUERIES["b8_pagination_walk"](spark, sf).count()
     assert len(scans) == 1
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_a_batch_of_texts_is_not_held_as_python_objects(kind):
+    """Python's own memory stays at a few texts, however many a batch has; results and nulls are as before."""
+    given = [None if at % 7 == 0 else f"é{at}" + "x" * 4000 for at in range(5000)]
+    values = pa.array(given, kind)
+    tracemalloc.start()
+    got = text._map_leaves(values, str.upper)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 << 20
+    assert got.type == kind and got.to_pylist() == [s and s.upper() for s in given]
+    assert text._map_leaves(pa.array([], kind), str.upper).to_pylist() == []
