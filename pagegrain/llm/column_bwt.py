@@ -6,7 +6,8 @@ of all suffixes read so far; a round reads it once, finds for each fragment wher
 one symbol, belongs (the symbol's rank among all before its last place), and writes the stream anew
 with the next symbols merged in. The common prefixes of neighbouring suffixes are a second stream: a
 new suffix shares one symbol more than the least prefix between its last place and the previous place
-with the same symbol; its successor likewise. Streams stay in memory, as a shard is bounded.
+with the same symbol; its successor likewise. Fragments are kept in the order of their last places, so
+that these prefixes are found in one pass. Streams are arrays in memory, as a shard is bounded.
 
 At the end, neighbours with a common prefix of a whole window share that window. See ``repeats`` for how
 documents reach the shards and for nulls, repeated rows and ids. A text shorter than a window is kept.
@@ -14,8 +15,6 @@ documents reach the shards and for nulls, repeated rows and ids. A text shorter
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,34 +25,9 @@ from pagegrain.llm.repeats import Kind, remove_repeats
 WINDOW = 100
 
 
-class Stream:
-    """A sequence of numbers that is read and written from end to end, like an external file."""
-
-    def __init__(self, kind: type, values: np.ndarray):
-        self.kind, self.file = kind, io.BytesIO()
-        self.write(values)
-
-    def write(self, values: np.ndarray) -> None:
-        self.file.seek(0)
-        self.file.write(np.ascontiguousarray(values, self.kind).data)
-        self.file.truncate()
-
-    def read(self) -> np.ndarray:
-        return np.frombuffer(self.file.getvalue(), self.kind)
-
-
-def _range_minima(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Least value of each non-empty range [start, end)."""
-    order = np.argsort(starts, kind="stable")
-    pairs = np.stack([starts[order], ends[order]], 1).ravel()
-    out = np.empty(len(starts), values.dtype)
-    out[order] = np.minimum.reduceat(np.append(values, values.dtype.type(0)), pairs)[::2]
-    return out
-
-
 def _by_symbol(symbols: np.ndarray) -> np.ndarray:
     """Places in order of symbol and place (Arrow counts symbols, which takes linear time)."""
-    return pc.array_sort_indices(pa.array(symbols)).to_numpy().astype(np.int64)
+    return pc.array_sort_indices(pa.array(symbols)).to_numpy().view(np.int64)
 
 
 def collection(fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,45 +41,46 @@ def collection(fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     owner = np.repeat(np.arange(count), length)
     last = np.cumsum(length)
     columns[last[owner] - 1 - np.arange(len(joined)), owner] = joined + 1
-    transform, prefixes = Stream(np.uint8, columns[0]), Stream(np.uint16, np.zeros(count))
-    place = np.arange(count)
+    transform, common = columns[0], np.zeros(count + 1, np.uint16)  # one more, for ranges up to the end
+    on = at = np.arange(count)  # fragments in the order of their last places
     for read in range(1, longest + 1):
-        on = np.flatnonzero(length >= read)
-        b, common = transform.read(), prefixes.read()
-        order = _by_symbol(b)
-        begun = int((b == 0).sum())
-        rank = np.empty(len(b), np.int64)
-        rank[order] = np.arange(len(b))
-        at = place[on]
-        own, symbol = rank[at], b[at]
-        to = own - begun + count
-
-        def neighbour(step: int, own=own, order=order, b=b, symbol=symbol):
-            near = own + step
-            inside = (near >= 0) & (near < len(b))
-            near = order[np.where(inside, near, 0)]
-            return near, inside & (b[near] == symbol)
-
-        fresh = np.zeros(len(on), np.uint16)
-        before, has = neighbour(-1)
-        if has.any():
-            fresh[has] = _range_minima(common, before[has] + 1, at[has] + 1) + 1
-        after, has = neighbour(1)
-        shifted = _range_minima(common, at[has] + 1, after[has] + 1) + 1 if has.any() else fresh[:0]
-
-        new = np.zeros(len(b) + len(on), bool)
-        new[to] = True
-        old = ~new
-        out = np.empty(len(new), np.uint8)
-        out[to], out[old] = columns[read][on], b
-        shared = np.empty(len(new), np.uint16)
+        going = length[on] >= read
+        on, at = on[going], at[going]
+        # Ranks by runs of equal symbols: repeats make them long, and only they are sorted.
+        size = len(transform)
+        begins = np.flatnonzero(np.concatenate([[True], transform[1:] != transform[:-1], [True]]))
+        heads = transform[begins[:-1]]
+        runs = _by_symbol(heads)
+        nth = np.empty(len(runs), np.int32)
+        nth[runs] = np.arange(len(runs), dtype=np.int32)
+        earlier = np.cumsum(np.diff(begins)[runs])  # symbols in runs up to each, by symbol and place
+        run = np.searchsorted(begins, at, "right") - 1
+        # By symbol and last place, as the new places, from here on, but for the ranges.
+        by = heads[run].argsort(kind="stable")
+        on, at, run = on[by], at[by], run[by]
+        symbol, own = heads[run], nth[run]
+        to = earlier[own] + at - begins[run + 1] + count - int(np.count_nonzero(transform == 0))
+        left, right = runs[np.maximum(own - 1, 0)], runs[np.minimum(own + 1, len(runs) - 1)]
+        inner, outer = at > begins[run], at + 1 < begins[run + 1]
+        has_before = inner | (own > 0) & (heads[left] == symbol)
+        has_after = outer | (own + 1 < len(runs)) & (heads[right] == symbol)
+        before, after = np.where(inner, at, begins[left + 1]) - 1, np.where(outer, at + 1, begins[right])
+
+        # Ranges follow each other by last place, so that what lies between them is read once at most.
+        ranges = np.empty((len(at), 3), np.int64)
+        ranges[by] = np.stack([np.where(has_before, before + 1, at), at + 1, np.where(has_after, after, at) + 1], 1)
+        least = np.minimum.reduceat(common, ranges.ravel()).reshape(-1, 3)[by] + np.uint16(1)
+
+        old = np.ones(size + len(to) + 1, bool)
+        old[to] = False
+        shared = np.empty(len(old), np.uint16)
         shared[old] = common
-        shared[to[has] + 1] = shifted
-        shared[to] = fresh
-        transform.write(out)
-        prefixes.write(shared)
-        place[on] = to
-    return transform.read(), prefixes.read(), length
+        shared[to[has_after] + 1] = least[has_after, 1]
+        shared[to] = np.where(has_before, least[:, 0], 0)
+        out = np.empty(len(old) - 1, np.uint8)
+        out[old[:-1]], out[to] = transform, columns[read][on]
+        transform, common, at = out, shared, to
+    return transform, common[:-1], length
 
 
 def find(fragments: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -5,8 +5,8 @@ equal windows within a shard.
 
 1. Each window has an anchor, its gram with the smallest hash. Neighbouring windows with the same anchor
    form a fragment; equal windows have equal anchors, so they can only lie in fragments of one anchor.
-2. Anchors that occur once in the corpus end there: their windows are unique. Counting is a two-column
-   aggregation with partial sums, and hot anchors join back to their documents by an equi-join.
+2. Anchors that occur once in the corpus end there: their windows are unique. Anchors are shuffled once,
+   sorted, and neighbours compared as a stream, so that a hot anchor is never held as a whole.
 3. Equal fragments become one, with its first place in the corpus; every later copy is covered whole.
 4. Where an anchor has several different fragments, these are dealt by anchor to shards of bounded size,
    and the shard's index reports windows that occur earlier (an anchor's only fragment has no other to
@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ PLACE = np.uint64((1 << PLACE_BITS) - 1)
 SHARD_BYTES = 1 << 20
 HOT_BYTES = 4 << 20  # fragments of one anchor that a shard still takes, estimated from their lengths
 WORD_BYTES = 8
+SALT = np.uint64(0xD1342543DE82EF95)  # tells texts apart in a hash of text number and anchor
 
 
 @dataclass(frozen=True)
@@ -80,16 +82,15 @@ def fragments(values: np.ndarray, first: np.ndarray, window: int, gram: int) ->
     hashes = mix((sums.sums[gram:] - sums.sums[:-gram]) * sums.back[: n - gram + 1])
     # The smallest hash, of equal ones the leftmost: its place is carried in the low bits.
     least = sliding_min((hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64), window - gram + 1)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(least)]
-    starts = np.flatnonzero(np.arange(len(least)) + window <= first[1:][text])
-    if not len(starts):
-        return fragments(values[:0], first[:1], window, gram)
-    anchor = (least[starts] & PLACE).astype(np.int64)
-    begins = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    last = starts[np.concatenate([begins[1:] - 1, [len(starts) - 1]])]
-    starts, anchor = starts[begins], anchor[begins]
-    text, ends = text[starts], last + window
-    return text, starts - first[text], ends - starts, hashes[anchor], sums.of(starts, ends)
+    cuts = np.concatenate([[True], least[1:] != least[:-1]])
+    cuts[first[first < len(least)]] = True
+    starts = np.flatnonzero(cuts)
+    nexts = np.append(starts[1:], len(least))
+    text = np.searchsorted(first, starts, "right") - 1
+    inside = starts + window <= first[1:][text]
+    starts, text = starts[inside], text[inside]
+    ends = np.minimum(nexts[inside] - 1 + window, first[1:][text])
+    return text, starts - first[text], ends - starts, hashes[(least[starts] & PLACE).astype(np.int64)], sums.of(starts, ends)
 
 
 def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -106,17 +107,33 @@ def _anchors(kind: Kind):
             for rows, data, offsets in steps(iter([batch])):
                 values, first = kind.values(data, offsets)
                 text, _, _, anchor, _ = fragments(values, first, kind.window, kind.gram)
-                order = np.lexsort((anchor, text))
-                text, anchor = text[order], anchor[order]
+                key = mix(anchor + text.astype(np.uint64) * SALT)
+                order = key.argsort()
+                text, anchor, key = text[order], anchor[order], key[order]
                 if len(text) > 2:
-                    same = (text[2:] == text[:-2]) & (anchor[2:] == anchor[:-2])
-                    keep = np.concatenate([[True, True], ~same])
+                    keep = np.concatenate([[True, True], key[2:] != key[:-2]])
                     text, anchor = text[keep], anchor[keep]
                 yield record(schema, anchor.view(np.int64), np.asarray(rows.column(0))[text])
 
     return run
 
 
+def _shared(batches):
+    """Of rows in order of anchor those whose anchor others have too; neighbours tell."""
+    schema = pa.schema([("anchor", pa.int64()), ("row", pa.int64())])
+    anchor, row, known = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)  # the last row before a batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, row = (np.concatenate([x, np.asarray(c)]) for x, c in zip((anchor, row), batch.columns))
+        same = np.concatenate([anchor[1:] == anchor[:-1], [False]])
+        same[1:] |= same[:-1].copy()
+        same[: len(known)] |= known
+        yield record(schema, anchor[:-1][same[:-1]], row[:-1][same[:-1]])
+        anchor, row, known = anchor[-1:], row[-1:], same[-1:]
+    yield record(schema, anchor[known], row[known])
+
+
 def _packed(batches):
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("packed", pa.binary())])
     press = zstandard.ZstdCompressor(3)
@@ -133,20 +150,16 @@ def _cut(kind: Kind, whole: bool):
     part = pa.struct([("anchor", pa.int64()), ("content", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("packed", pa.binary()), ("fragments", pa.list_(part))])
 
-    def found_in(raws: list[bytes], shared: list[list[int]]) -> tuple[list[int], list[list[dict]]]:
-        """Symbols and fragments of shared anchors of several texts."""
+    def found_in(raws: list[bytes], shared: list[list[int]]) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+        """Symbols of several texts, how many fragments of shared anchors each has, and these."""
         data = np.frombuffer(b"".join(raws), np.uint8)
-        values, first = kind.values(data, np.concatenate([[0], np.cumsum([len(r) for r in raws])]))
+        values, first = kind.values(data, np.concatenate([[0], np.cumsum([len(r) for r in raws], dtype=np.int64)]))
         text, start, length, anchor, content = fragments(values, first, kind.window, kind.gram)
         owner = np.repeat(np.arange(len(shared)), [len(s) for s in shared]).astype(np.uint64)
         of = np.array([x for s in shared for x in s], np.int64).view(np.uint64)
-        salt = np.uint64(0xD1342543DE82EF95)
-        keep = np.isin(mix(anchor + text.astype(np.uint64) * salt), mix(of + owner * salt))
-        text = text[keep]
-        columns = (x[keep].tolist() for x in (anchor.view(np.int64), content.view(np.int64), start, length))
-        rows = [dict(zip(("anchor", "content", "start", "length"), f)) for f in zip(*columns)]
-        cuts = np.searchsorted(text, np.arange(len(raws) + 1))
-        return np.diff(first).tolist(), [rows[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        keep = np.isin(mix(anchor + text.astype(np.uint64) * SALT), mix(of + owner * SALT))
+        columns = [pa.array(x[keep]) for x in (anchor.view(np.int64), content.view(np.int64), start, length)]
+        return np.diff(first), np.bincount(text[keep], minlength=len(raws)), pa.StructArray.from_arrays(columns, fields=list(part))
 
     def run(batches):
         open_ = zstandard.ZstdDecompressor()
@@ -160,17 +173,16 @@ def _cut(kind: Kind, whole: bool):
                 row, doc, packed, shared = (c[at : at + len(raws)] for c in columns)
                 at += len(raws)
                 marked = [i for i, s in enumerate(shared) if s]
-                counts, lists = found_in([raws[i] for i in marked], [shared[i] for i in marked]) if marked else ([], [])
-                known = dict(zip(marked, zip(counts, lists)))
-                out = []
-                for i, raw in enumerate(raws):
-                    if i in known:
-                        out.append((row[i], doc[i], known[i][0], None, packed[i], known[i][1]))
-                    else:
-                        symbols = kind.symbols(raw)
-                        digest = hashlib.sha256(kind.joined(symbols)).hexdigest()
-                        out.append((row[i], doc[i], len(symbols), digest, packed[i] if whole else None, []))
-                yield record(schema, *map(list, zip(*out)))
+                counts, held, found = found_in([raws[i] for i in marked], [shared[i] for i in marked])
+                n, sizes = np.zeros(len(raws), np.int64), np.zeros(len(raws) + 1, np.int32)
+                n[marked], sizes[1:][marked] = counts, held
+                digests, kept = [None] * len(raws), list(packed)
+                for i in set(range(len(raws))).difference(marked):
+                    symbols = kind.symbols(raws[i])
+                    n[i], digests[i] = len(symbols), hashlib.sha256(kind.joined(symbols)).hexdigest()
+                    kept[i] = packed[i] if whole else None
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), found)
+                yield record(schema, row, doc, n, digests, kept, lists)
 
     return run
 
@@ -183,11 +195,14 @@ def _contents(kind: Kind):
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                out = []
-                for row, doc, packed, wanted in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                    symbols = kind.symbols(open_.decompress(packed))
-                    out += [(w["anchor"], w["hot"], doc, row, w["start"], kind.joined(symbols[w["start"] : w["start"] + w["length"]])) for w in wanted]
-                yield record(schema, *(map(list, zip(*out)) if out else [[] for _ in schema]))
+                part = batch.slice(at, 256)
+                of, (anchor, start, length, hot) = _listed(part.column(3))
+                out, last, symbols = [], -1, None
+                for i, a, b in zip(of.tolist(), start.to_pylist(), (np.asarray(start) + np.asarray(length)).tolist()):
+                    if i != last:
+                        last, symbols = i, kind.symbols(open_.decompress(part.column(2)[i].as_py()))
+                    out.append(kind.joined(symbols[a:b]))
+                yield record(schema, anchor, hot, part.column(1).take(of), part.column(0).take(of), start, out)
 
     return run
 
@@ -247,24 +262,38 @@ def _finished(kind: Kind, whole: bool):
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                out = []
-                for doc, n, digest, packed, found in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                    spans: list[tuple[int, int]] = []
-                    for start, end in sorted((s["start"], s["end"]) for s in found or ()):
-                        if spans and start <= spans[-1][1]:
-                            spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
-                        else:
-                            spans.append((start, end))
-                    kept = None
+                part = batch.slice(at, 256)
+                of, (start, end) = _listed(part.column(4))
+                cuts, start, end = _joined(np.asarray(of), np.asarray(start), np.asarray(end), part.num_rows)
+                total = np.concatenate([[0], np.cumsum(end - start)])
+                spans = list(zip(start.tolist(), end.tolist()))
+                digests, texts = part.column(2).to_pylist(), []
+                for i, packed in enumerate(part.column(3).to_pylist()):
+                    texts.append(None if packed is None else kind.without(kind.symbols(open_.decompress(packed)), spans[cuts[i] : cuts[i + 1]]))
                     if packed is not None:
-                        kept = kind.without(kind.symbols(open_.decompress(packed)), spans)
-                        digest = hashlib.sha256(kept).hexdigest()
-                    out.append((doc, n, sum(e - s for s, e in spans), len(spans), [x for s in spans for x in s], digest, kept)[: len(schema)])
-                yield record(schema, *(map(list, zip(*out)) if out else [[] for _ in schema]))
+                        digests[i] = hashlib.sha256(texts[-1]).hexdigest()
+                flat = pa.ListArray.from_arrays(pa.array(cuts * 2, pa.int32()), pa.array(np.stack([start, end], 1).ravel()))
+                yield record(schema, part.column(0), part.column(1), np.diff(total[cuts]), np.diff(cuts), flat, digests, *[texts] * whole)
 
     return run
 
 
+def _listed(lists: pa.ListArray) -> tuple[pa.Array, list[pa.Array]]:
+    """Row number and fields of every struct in lists; null lists have none."""
+    return pc.list_parent_indices(lists), lists.flatten().flatten()
+
+
+def _joined(text: np.ndarray, start: np.ndarray, end: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that touch or overlap made one: where each text's spans begin, their starts and ends."""
+    order = np.lexsort((start, text))
+    base = text[order] << PLACE_BITS
+    reach = np.maximum.accumulate(base + end[order])
+    begins = np.flatnonzero(np.concatenate([[True], (base + start[order])[1:] > reach[:-1]])[: len(text)])
+    lasts = np.append(begins[1:], len(text))[: len(begins)] - 1
+    cuts = np.searchsorted(text[order][begins], np.arange(texts + 1))
+    return cuts, start[order][begins], reach[lasts] - base[lasts]
+
+
 def remove_repeats(docs: DataFrame, kind: Kind, find: Callable, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """``doc_id, n, n_removed, n_spans, spans, kept_sha256`` of every row, and what is left (``kept``) if asked for.
 
@@ -272,8 +301,8 @@ def remove_repeats(docs: DataFrame, kind: Kind, find: Callable, doc_id: str = "d
     """
     rows = _identified(docs, doc_id, text)
     anchors = rows.where("doc_id is not null").select("row", "text").mapInArrow(_anchors(kind), "anchor long, row long")
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    own = anchors.join(shared, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("shared"))
+    shared = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "anchor long, row long")
+    own = shared.groupBy("row").agg(F.collect_set("anchor").alias("shared"))
     packed = rows.select("row", "doc_id", "text").mapInArrow(_packed, "row long, doc_id long, packed binary")
     cut = packed.join(own, "row", "left").select("row", "doc_id", "packed", F.when(F.col("doc_id").isNotNull(), F.col("shared")).alias("shared"))
     cut = stored(cut.mapInArrow(_cut(kind, with_text), CUT), "cut")

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagegrain.llm import column_bwt, fm_index, repeats
@@ -117,3 +118,51 @@ def test_thue_morse_words_stay_apart(docs):
     texts = [" ".join(f"word{i}" for i in range(19)) + " " + last for last in (word, other, word)]
     rows = {r["doc_id"]: r for r in fm_index.remove_repeated_words(docs(texts)).collect()}
     assert [rows[i]["n_removed"] for i in range(3)] == [0, 0, 20]
+
+
+def test_rounds_sort_runs_only(monkeypatch):
+    """A round of the column-wise construction sorts the runs of its stream, not all of it."""
+    passage = bytes(np.random.default_rng(5).integers(97, 123, 60).astype(np.uint8))
+    fragments = [passage[:n] + passage[-20:] for n in range(20, 60)] * 5
+    sizes, plain = [], column_bwt._by_symbol
+    monkeypatch.setattr(column_bwt, "_by_symbol", lambda symbols: sizes.append(len(symbols)) or plain(symbols))
+    transform, common, length = column_bwt.collection(fragments)
+    assert len(transform) == len(common) == sum(length) + len(fragments)
+    streams = sum(len(fragments) + int(np.minimum(length, read).sum()) for read in range(int(length.max())))
+    assert sum(sizes) < streams / 2
+
+
+def test_texts_are_cut_for_anchors_once(docs, prose, monkeypatch):
+    plans, plain = {}, repeats.stored
+    monkeypatch.setattr(repeats, "stored", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().sparkPlan().toString()) and plain(df, name))
+    column_bwt.remove_repeated_bytes(docs([prose(1), prose(1), prose(2)])).collect()
+    assert plans["cut"].count("Scan") == 2  # for the anchors, and for the texts themselves
+
+
+def test_fragments_hold_every_window_of_one_anchor():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        first = np.concatenate([[0], np.cumsum(rng.integers(0, 30, 6))])
+        values = rng.integers(1, 1 << 62, 4, dtype=np.uint64)[rng.integers(0, 4, first[-1])]
+        text, start, length, anchor, _ = repeats.fragments(values, first, 8, 3)
+        held = sorted((t, s + i) for t, s, n in zip(text.tolist(), start.tolist(), length.tolist()) for i in range(n - 7))
+        assert held == [(t, i) for t, n in enumerate(np.diff(first).tolist()) for i in range(n - 7)]
+        assert len(anchor) == len(text)
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 20])
+def test_anchors_of_others_are_told_across_batches(size):
+    anchors, rows = pa.array([1, 2, 2, 3, 4, 4, 4, 4, 4, 5, 6, 6], pa.int64()), pa.array(range(12), pa.int64())
+    table = pa.table({"anchor": anchors, "row": rows})
+    batches = [table.slice(0, 0).combine_chunks().to_batches(), table.to_batches(size)]
+    got = [r for b in repeats._shared(iter(sum(batches, []))) for r in b.column(1).to_pylist()]
+    assert got == [1, 2, 4, 5, 6, 7, 8, 10, 11]
+    assert sum(b.num_rows for b in repeats._shared(iter([]))) == 0
+
+
+def test_spans_that_touch_are_one():
+    text, start, end = np.array([2, 0, 0, 0, 2]), np.array([4, 9, 0, 3, 0]), np.array([6, 12, 5, 9, 3])
+    cuts, begins, ends = repeats._joined(text, start, end, 4)
+    assert cuts.tolist() == [0, 1, 1, 3, 3] and begins.tolist() == [0, 0, 4] and ends.tolist() == [12, 3, 6]
+    cuts, begins, _ = repeats._joined(text[:0], start[:0], end[:0], 2)
+    assert cuts.tolist() == [0, 0, 0] and len(begins) == 0
