@@ -5,7 +5,8 @@ cut them into groups; two tokens that end there are linked. One of two linked to
 other, so the pairs of ids that can ever be linked are counted by the vocabularies (``possible_pairs``),
 whatever the corpus: that bounds all that is sent to tasks or to the driver here.
 
-Texts are tokenised once, into a stored table of ids. Tasks align them and hand on each distinct pair with
+Texts are tokenised once, into a stored table of ids: they are cut at spaces, where words of both tokenizers
+begin, and words a task has not met yet are tokenised together (``WordTable``). Tasks align them and hand on each distinct pair with
 its count. The distinct pairs get a minimal perfect hash, built shard by shard (``pair_hash``); counts are
 laid into dense vectors indexed by it, one per part of the table, which a tree of sums with ``FAN`` vectors
 to a node brings down to one. The second pass aligns the stored ids again and looks counts up; keys beside
@@ -19,19 +20,23 @@ aligned whole.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.llm.common import record, stored
-from pagegrain.llm.packing import BYTE_CHARS, Words
+from pagegrain.llm.packing import BYTE_CHARS, UNSAFE, Words
 from pagegrain.llm.pair_hash import SHARD_KEYS, PerfectHash, build, shard_of
-from pagegrain.llm.pieces import Gather, Pieces, Segmented
+from pagegrain.llm.pieces import MARKER, Gather, Pieces, Segmented
 
 CHUNK = 1 << 12  # numbers of one piece of a dense vector
 FAN = 32
 HELD_CHUNKS = 300_000
+HELD_WORDS = 600_000
+NEW_WORDS = 1 << 15  # tokenised in one call
 HELD_PAIRS = 1 << 21
 ROWS = 256
 
@@ -70,6 +75,94 @@ class Aligner:
         same = all(len(got) == len(told) and (got == told).all() for got in (self.a(a), self.b(b)))
         return (a, b) if same else (none, none)
 
+    def words_of(self, text: str | None) -> list[str] | None:
+        """The text cut at spaces, where words of both tokenizers begin; nothing if it takes more than that to tell."""
+        if not text or text[0].isspace() or not self.words.byte_level or "<|" in text or MARKER in text or UNSAFE.search(text):
+            return None
+        return text.split(" ")
+
+
+class Ragged:
+    """Lists of ids under numbers from 0, laid end to end."""
+
+    def __init__(self):
+        self.ids, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self.starts = self.sizes
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+
+    def __call__(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Their ids end to end, and where each list ends."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(int(sizes.sum()))], ends
+
+
+class WordTable:
+    """Ids of both kinds of the words of many texts: those not met before are tokenised together, in one text.
+
+    Only words whose tokens give back their bytes are here; a text with another one is tokenised as a whole.
+    """
+
+    def __init__(self, both: Aligner):
+        self.both = both
+        self.spaced = (both.a.sizes > 0) & (both.a.blob[np.minimum(both.a.starts, len(both.a.blob) - 1)] == 32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.odd: set[str] = set()
+        self.kinds = (Ragged(), Ragged())
+
+    def _split(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Ids of both kinds and how many each word has; nothing if they don't give back the words."""
+        both, told = self.both, " " + " ".join(words)
+        a = np.array(both.words.tokenizer.encode_batch_fast([told], add_special_tokens=False)[0].ids, "<u4")
+        lists = both.pieces.model.encode(words, num_threads=1)
+        b = np.fromiter(chain.from_iterable(lists), "<u4")
+        raw = np.frombuffer(told.encode(), np.uint8)
+        same = all(len(got) == len(raw) and (got == raw).all() for got in (both.a(a), both.b(b)))
+        first = np.flatnonzero(self.spaced[a])
+        if not same or len(first) != len(words):
+            return None
+        return [(a, np.diff(np.append(first, len(a)))), (b, np.array(list(map(len, lists)), np.int64))]
+
+    def _add(self, words: list[str]) -> None:
+        found = self._split(words)
+        if found is None and len(words) > 1:
+            half = len(words) // 2
+            self._add(words[:half])
+            self._add(words[half:])
+        elif found is None:
+            self.odd.update(words)
+        else:
+            self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+            for kind, own in zip(self.kinds, found):
+                kind.add(*own)
+
+    def tokens(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of both kinds of each text, 32 bit each, as ``Aligner.tokens`` has them."""
+        cut = [self.both.words_of(text) for text in texts]
+        met = set().union(*(words for words in cut if words))
+        if len(self.number) + len(self.odd) + len(met) > HELD_WORDS:
+            self.clear()
+        new = list(met.difference(self.number, self.odd))
+        for at in range(0, len(new), NEW_WORDS):
+            self._add(new[at : at + NEW_WORDS])
+        cut = [None if words is None or (self.odd and not self.odd.isdisjoint(words)) else words for words in cut]
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(filter(None, cut))), np.int64)
+        lasts = np.cumsum([len(words) for words in cut if words], dtype=np.int64) - 1
+        out = []
+        for kind in self.kinds:
+            ids, ends = kind(numbers)
+            cuts = [0, *ends[lasts].tolist()]
+            out.append([ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])])
+        plain = zip(*out)
+        pairs = [next(plain) if words else tuple(x.tobytes() for x in self.both.tokens(text)) for words, text in zip(cut, texts)]
+        return [a for a, _ in pairs], [b for _, b in pairs]
+
 
 def sizes_of(byte_path: str, piece_path: str) -> tuple[np.ndarray, np.ndarray]:
     both = Aligner(byte_path, piece_path)
@@ -110,10 +203,9 @@ def tokenised(docs: DataFrame, byte_path: str, piece_path: str, doc_id: str = "d
     schema = pa.schema([("doc_id", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches):
-        both = Aligner(byte_path, piece_path)
+        table = WordTable(Aligner(byte_path, piece_path))
         for part in _slices(batches):
-            found = [both.tokens(value) for value in part.column(1).to_pylist()]
-            yield record(schema, part.column(0), [a.tobytes() for a, _ in found], [b.tobytes() for _, b in found])
+            yield record(schema, part.column(0), *table.tokens(part.column(1).to_pylist()))
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, a binary, b binary")

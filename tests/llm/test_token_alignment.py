@@ -119,3 +119,33 @@ def test_linked_pairs_are_bounded_by_the_vocabularies(spark, sf):
     found = token_alignment.Alignment(spark.read.parquet(f"{sf}/documents.parquet"), A, B)
     bound = token_alignment.possible_pairs(A, B)
     assert 0 < len(found.counts.keys) <= bound < 500_000
+
+
+def test_new_words_are_tokenised_together(monkeypatch):
+    """As text by text, with few calls, and whatever the table holds."""
+    rng = np.random.default_rng(8)
+    words = ["the", "Straße", "don't", "a,b", "12", "x\ny", "x\n\ny\n", "日本", "é\t", "🙂!", "(see", "\x00", "ing", "'s"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 12))) for _ in range(300)]
+    texts += [None, "", " ", " a", "a ", "a  b", "\na", "a \n b", "a▁b", "▁", "a <|endoftext|> b", "<s> a", "x" * 3000]
+    both = token_alignment.Aligner(A, B)
+    alone = [tuple(ids.tobytes() for ids in both.tokens(text)) for text in texts]
+    for held, new in ((600_000, 1 << 15), (5, 1 << 15), (600_000, 3)):
+        monkeypatch.setattr(token_alignment, "HELD_WORDS", held)
+        monkeypatch.setattr(token_alignment, "NEW_WORDS", new)
+        table = token_alignment.WordTable(both)
+        calls, plain = [], table._split
+        monkeypatch.setattr(table, "_split", lambda w, calls=calls, plain=plain: calls.append(w) or plain(w))
+        got = [pair for at in range(0, len(texts), 50) for pair in zip(*table.tokens(texts[at : at + 50]))]
+        assert got == alone
+        if held > len(words) and new > len(words):
+            assert len(calls) <= -(-len(texts) // 50) and len(sum(calls, [])) == len(set(sum(calls, [])))
+
+
+def test_words_whose_bytes_are_not_given_back_are_left_to_whole_texts(monkeypatch):
+    both = token_alignment.Aligner(A, B)
+    texts = ["one odd word", "two words", "odd", "three of them"]
+    alone = [tuple(ids.tobytes() for ids in both.tokens(text)) for text in texts]
+    table = token_alignment.WordTable(both)
+    plain = table._split
+    monkeypatch.setattr(table, "_split", lambda words: None if "odd" in words else plain(words))
+    assert list(zip(*table.tokens(texts))) == alone and table.odd == {"odd"}
