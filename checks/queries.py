@@ -135,12 +135,12 @@ def a2_broken_files(spark, sf):
     made = inputs.tasks(spark, sf)
     good = F.to_json(F.struct(F.array(F.struct(F.lit("t").alias("name"), F.lit("h1").alias("selector"))).alias("selectors")))
     text = F.when(F.col("page_id") % 5 == 0, F.lit('{"selectors": [')).otherwise(good)
-    # Each task moves its own files into place: the driver would move them one by one.
-    placing = {"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
-    made.select(text.alias("value")).write.options(**placing).text(path)
-    files = spark.read.text(path, wholetext=True)
-    asked = files.select(F.col("_metadata.file_name").alias("task_id"), F.col("value").startswith('{"selectors":[{').alias("readable"))
-    done = store.resolve(asked, readers.read_catalogue(spark, path))
+    writers.write_each(made.select(text.alias("value")), path)
+    asked = readers.by_shelf(spark, path, lambda folders: spark.read.text(folders, wholetext=True).select(
+        F.col("_metadata.file_name").alias("task_id"), F.col("value").startswith('{"selectors":[{').alias("readable")
+    ))
+    # File names fill a fraction of their size on disk: by that, Spark would send the catalogue through the driver.
+    done = store.resolve(asked.hint("merge"), readers.read_catalogue(spark, path))
     return done.groupBy("readable", "to_generate").agg(F.count(F.lit(1)).alias("n"))
 
 

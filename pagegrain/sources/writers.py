@@ -14,6 +14,9 @@ from pagegrain.storage import remove_scratch, scratch_path
 
 log = logging.getLogger(__name__)
 
+#: Files that ``write_each`` lays into a folder, about.
+SHELF = 500
+
 
 def csv_columns(records: DataFrame) -> list[Column]:
     """Columns in name order, nested values as JSON text."""
@@ -55,6 +58,18 @@ def write_json(records: DataFrame, path: str, mode: str = "errorifexists", **opt
     return path
 
 
+def write_each(texts: DataFrame, path: str) -> str:
+    """A file for each row of a table of one text column, in folders ``shelf=<n>`` of about ``SHELF`` files.
+
+    A task fills a folder of its own, which moves into place as one. All file names differ. ``readers.by_shelf``
+    lists some folders at a time, where one folder of all files would fill the driver's memory.
+    """
+    shelves = max(-(-texts.count() // SHELF), texts.sparkSession.sparkContext.defaultParallelism)
+    dealt = texts.repartition(shelves).withColumn("shelf", F.spark_partition_id())
+    dealt.write.option("maxRecordsPerFile", 1).partitionBy("shelf").text(path)
+    return path
+
+
 FORMATS = {"csv": write_csv, "json": write_json}
 
 
