@@ -25,6 +25,8 @@ ITEM_SCHEMA = T.StructType(
     ]
 )
 STAMP = "2024-01-01T00:00:00"
+#: For many small scratch files on a local disk: no checksum file beside each, which is as large and takes a process (chmod) of its own.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": True}
 
 
 def query(fn):
@@ -135,7 +137,7 @@ def a2_broken_files(spark, sf):
     made = inputs.tasks(spark, sf)
     good = F.to_json(F.struct(F.array(F.struct(F.lit("t").alias("name"), F.lit("h1").alias("selector"))).alias("selectors")))
     text = F.when(F.col("page_id") % 5 == 0, F.lit('{"selectors": [')).otherwise(good)
-    writers.write_each(made.select(text.alias("value")), path)
+    writers.write_each(made.select(text.alias("value")), path, **PLAIN_FILES)
     asked = readers.by_shelf(spark, path, lambda folders: spark.read.text(folders, wholetext=True).select(
         F.col("_metadata.file_name").alias("task_id"), F.col("value").startswith('{"selectors":[{').alias("readable")
     ))

@@ -15,7 +15,7 @@ from pagegrain.storage import remove_scratch, scratch_path
 log = logging.getLogger(__name__)
 
 #: Files that ``write_each`` lays into a folder, about.
-SHELF = 500
+SHELF = 250
 
 
 def csv_columns(records: DataFrame) -> list[Column]:
@@ -58,7 +58,7 @@ def write_json(records: DataFrame, path: str, mode: str = "errorifexists", **opt
     return path
 
 
-def write_each(texts: DataFrame, path: str) -> str:
+def write_each(texts: DataFrame, path: str, **options) -> str:
     """A file for each row of a table of one text column, in folders ``shelf=<n>`` of about ``SHELF`` files.
 
     A task fills a folder of its own, which moves into place as one. All file names differ. ``readers.by_shelf``
@@ -66,7 +66,7 @@ def write_each(texts: DataFrame, path: str) -> str:
     """
     shelves = max(-(-texts.count() // SHELF), texts.sparkSession.sparkContext.defaultParallelism)
     dealt = texts.repartition(shelves).withColumn("shelf", F.spark_partition_id())
-    dealt.write.option("maxRecordsPerFile", 1).partitionBy("shelf").text(path)
+    dealt.write.options(maxRecordsPerFile=1, **options).partitionBy("shelf").text(path)
     return path
 
 
